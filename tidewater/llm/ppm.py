@@ -2,9 +2,9 @@
 
 Training documents' A-Z-lowered bytes, followed by an end symbol, give counts of all (order + 1)-byte grams; shorter
 grams' counts are their sums, so the gram table is the whole context trie.  A byte's probability in its longest seen
-context is count / (total + distinct); the rest is the escape, to the context one byte shorter, in which symbols seen in
-the longer one are excluded from counts and distinct symbols alike; after the empty context the symbols left are
-equally likely.  A document's score is its log10 probability with the trained trie ("pretrained" code length).
+context is (2 * count - 1) / (2 * total); the rest, distinct / (2 * total), is the escape (method D) to the context one
+byte shorter, in which symbols seen in the longer one are excluded from counts and distinct symbols alike; after the
+empty context the symbols left are equally likely.  A document's score is its log10 probability with the trained trie ("pretrained" code length).
 
 All levels needed for a byte share the two bytes before it, so the trie is dealt out by those: contexts are derived
 in parallel, and scored in blocks of at most ``block_grams`` grams, each broadcast for one pass over the documents.  The
@@ -88,9 +88,9 @@ def look_up(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Trie:
     """Log10 probabilities from gram counts; complete for contexts whose longest grams are all given.
 
-    Level k holds grams of k + 1 bytes: ``key``, ``logn`` (of the count) and ``first`` (log probability when the search starts at
+    Level k holds grams of k + 1 bytes: ``key``, ``logn`` (of 2 * count - 1) and ``first`` (log probability when the search starts at
     this level); and contexts of k bytes: ``ctx``, ``esc`` (log escape when it starts there), and for a search that comes down from
-    the context to the next shorter one, ``down`` (log of what is left there, counts and symbols) and ``pass_on`` (log escape).
+    the context to the next shorter one, ``down`` (log of twice the counts left there) and ``pass_on`` (log escape).
     """
 
     def __init__(self, key: np.ndarray, n: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None):
@@ -110,8 +110,8 @@ class Trie:
             g, m = grams[k]
             ctx, t, d = group_sums(g >> 8, m, np.ones(len(g), np.int64))
             owner = np.searchsorted(ctx, g >> 8)
-            first = np.log10(m) - np.log10((t + d)[owner]) if len(g) else np.zeros(0)
-            level = {"key": g, "logn": np.log10(m) if len(g) else np.zeros(0), "first": first, "ctx": ctx, "esc": np.log10(d / (t + d))}
+            first = np.log10(2 * m - 1) - np.log10(2 * t[owner]) if len(g) else np.zeros(0)
+            level = {"key": g, "logn": np.log10(2 * m - 1) if len(g) else np.zeros(0), "first": first, "ctx": ctx, "esc": np.log10(d / (2 * t))}
             total[k] = (ctx, t, d)
             if k:
                 at, _ = look_up(grams[k - 1][0], g & ((1 << 8 * k) - 1))
@@ -121,7 +121,7 @@ class Trie:
                 left_d = total[k - 1][2][up] - d if len(ctx) else np.zeros(0)
             else:
                 left_n, left_d = np.zeros(len(ctx)), SYMBOLS - d
-            whole = left_n + left_d
+            whole = 2 * left_n if k else left_d
             level["down"] = np.log10(np.maximum(whole, 1))
             level["pass_on"] = np.where(left_d > 0, np.log10(np.maximum(left_d, 1)) - level["down"], 0.0) if k else np.zeros(len(ctx))
             self.levels[k] = level
