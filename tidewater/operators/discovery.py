@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_time, pct_rank, ratio, safe_corr, zscore
+from .durable import durable
 
 
 def to_long(panel: DataFrame, features: list[str]) -> DataFrame:
@@ -116,19 +117,19 @@ def greedy_dedup(scored: DataFrame, correlated: DataFrame, most: float = 0.9) ->
     Equals taking features from the best down: in each round those without an undecided better neighbour stay and their
     neighbours go.  Ties are neighbours of neither.  Rounds are few, and features are hundreds, not rows of the panel.
     """
-    near = correlated.filter(F.abs("corr") > most)
+    near, scored = correlated.filter(F.abs("corr") > most), durable(scored)
     s = scored.select("feature", F.abs("ic_ir").alias("s"))
     both = near.select("a", "b").union(near.select("b", "a")).toDF("worse", "better")
-    beats = both.join(s.toDF("worse", "sw"), "worse").join(s.toDF("better", "sb"), "better").filter("sw < sb").select("worse", "better").checkpoint()
+    beats = durable(both.join(s.toDF("worse", "sw"), "worse").join(s.toDF("better", "sb"), "better").filter("sw < sb").select("worse", "better"))
     undecided, kept = s.select("feature"), None
     while True:
         blocked = beats.join(undecided.withColumnRenamed("feature", "better"), "better").select(F.col("worse").alias("feature")).distinct()
-        stay = undecided.join(blocked, "feature", "left_anti").checkpoint()
+        stay = durable(undecided.join(blocked, "feature", "left_anti"))
         if stay.isEmpty():
             break
         kept = stay if kept is None else kept.union(stay)
         gone = beats.join(stay.withColumnRenamed("feature", "better"), "better").select(F.col("worse").alias("feature")).distinct()
-        undecided = undecided.join(stay, "feature", "left_anti").join(gone, "feature", "left_anti").checkpoint()
+        undecided = durable(undecided.join(stay, "feature", "left_anti").join(gone, "feature", "left_anti"))
     return scored.join(kept, "feature", "left_semi") if kept is not None else scored
 
 

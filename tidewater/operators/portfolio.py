@@ -75,13 +75,13 @@ def sticky(selected: DataFrame, calendar: DataFrame) -> DataFrame:
     """Dates of the calendar without a selection keep the previous one.  ``selected``: (date, ticker); a book is a bounded list per date."""
     books = calendar.join(selected.groupBy("date").agg(F.collect_list("ticker").alias("book")), "date", "left")
     held = F.last("book", ignorenulls=True).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    return books.select("date", F.explode(held).alias("ticker"))
+    return books.select("date", held.alias("book")).select("date", F.explode("book").alias("ticker"))
 
 
 def rank_and_hold(panel: DataFrame, signal: str, eligible: Column, pct: float = 0.1, least_names: int = 5, least_held: int = 5, lag_periods: int = 1, weighting: str = "equal", root: str | None = "root", descending: bool = True) -> DataFrame:
     """(date, ticker, weight): everything is read ``lag_periods`` rows before the date, so no book sees its own period."""
     w = by_time()
-    keep = [c for c in (signal, "adtv", root) if c]
+    keep = dict.fromkeys(c for c in (signal, "adtv", root) if c)
     seen = panel.withColumn("_ok", eligible).select("date", "ticker", *(F.lag(c, lag_periods).over(w).alias(c) if c != root else F.col(c) for c in keep), F.lag("_ok", lag_periods).over(w).alias("_ok"))
     names = seen.filter(F.coalesce("_ok", F.lit(False)) & F.col(signal).isNotNull())
     if root:
