@@ -11,7 +11,7 @@ from . import adapters as a
 from .oracle import BARS, FILINGS, MARKET, PANEL, SPLITS, lag, pct_rank, roll
 from .registry import half_up, query, rounded
 
-W = c.by_time()
+W = c.by_time  # called where it is used: a window needs a session
 CATEGORY = {"mom13": "momentum", "mom4": "momentum", "vol13": "risk", "drawdown26": "risk", "volume4": "volume", "range4": "range"}
 
 FEATURES = f"""{PANEL}, wide AS (SELECT date, ticker, round({lag('close', 1)} / {lag('close', 13)} - 1, 9) AS mom13, round(close / {lag('close', 4)} - 1, 9) AS mom4, round({roll('stddev_samp', 'ret', 13, 7)}, 9) AS vol13,
@@ -26,8 +26,8 @@ ic AS (SELECT feature, horizon, date, covar_samp(rx, ry) / nullif(stddev_samp(rx
 def features(spark, sf):
     p = a.panel(spark, sf)
     wide = p.select(
-        "date", "ticker", half_up(c.ratio(c.shift("close", 1, W), c.shift("close", 13, W)) - 1, 9).alias("mom13"), half_up(c.pct_change("close", 4, W), 9).alias("mom4"), half_up(c.roll_std("ret", 13, W, 7), 9).alias("vol13"),
-        half_up(c.ratio("close", c.roll_max("close", 26, W, 1)) - 1, 9).alias("drawdown26"), half_up(c.roll_mean("volume", 4, W, 2), 4).alias("volume4"), half_up(c.roll_mean(c.ratio(F.col("high") - F.col("low"), "close"), 4, W, 2), 9).alias("range4"),
+        "date", "ticker", half_up(c.ratio(c.shift("close", 1, W()), c.shift("close", 13, W())) - 1, 9).alias("mom13"), half_up(c.pct_change("close", 4, W()), 9).alias("mom4"), half_up(c.roll_std("ret", 13, W(), 7), 9).alias("vol13"),
+        half_up(c.ratio("close", c.roll_max("close", 26, W(), 1)) - 1, 9).alias("drawdown26"), half_up(c.roll_mean("volume", 4, W(), 2), 4).alias("volume4"), half_up(c.roll_mean(c.ratio(F.col("high") - F.col("low"), "close"), 4, W(), 2), 9).alias("range4"),
     )
     return d.to_long(wide, list(CATEGORY))
 

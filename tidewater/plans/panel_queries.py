@@ -12,14 +12,14 @@ from . import adapters as a
 from .oracle import BARS, MARKET, PANEL, lag, pct_rank, roll
 from .registry import half_up, query, rounded
 
-W = c.by_time()
+W = c.by_time  # called where it is used: a window needs a session
 AMIHUD = "abs(ret) / nullif(volume, 0)"
 
 
 @query("momentum_rank", f"""WITH {PANEL}, m AS (SELECT date, ticker, round({lag('close', 1)} / {lag('close', 13)} - 1, 9) AS mom FROM panel)
 SELECT date, ticker, round(mom, 6) AS mom, round({pct_rank('mom', 'date')}, 6) AS mom_rank FROM m""")
 def momentum_rank(spark, sf):
-    m = a.panel(spark, sf).withColumn("mom", half_up(c.ratio(c.shift("close", 1, W), c.shift("close", 13, W)) - 1, 9))
+    m = a.panel(spark, sf).withColumn("mom", half_up(c.ratio(c.shift("close", 1, W()), c.shift("close", 13, W())) - 1, 9))
     return rounded(m.withColumn("mom_rank", c.pct_rank("mom", ["date"])), "date", "ticker", "mom", "mom_rank")
 
 
@@ -56,26 +56,26 @@ def at_rebalance(spark, sf):
 @query("shift_change_diff", f"""WITH {PANEL} SELECT date, ticker, round({lag('close', 4)}, 6) AS lag4, round(lead(close, 4) OVER (PARTITION BY ticker ORDER BY date), 6) AS lead4, round(close / {lag('close', 13)} - 1, 6) AS change13,
 round(close - {lag('close', 4)}, 6) AS diff4, round(ln(close), 6) AS log_close, CASE WHEN ret > 0 THEN round(ret, 6) END AS gain, round(CASE WHEN ret IS NOT NULL THEN greatest(least(ret, 0.1), -0.1) END, 6) AS clipped FROM panel""")
 def shift_change_diff(spark, sf):
-    p = a.panel(spark, sf).select("date", "ticker", c.shift("close", 4, W).alias("lag4"), c.shift("close", -4, W).alias("lead4"), c.pct_change("close", 13, W).alias("change13"), c.diff("close", 4, W).alias("diff4"), c.log("close").alias("log_close"), c.where("ret", F.col("ret") > 0).alias("gain"), c.clip("ret", -0.1, 0.1).alias("clipped"))
+    p = a.panel(spark, sf).select("date", "ticker", c.shift("close", 4, W()).alias("lag4"), c.shift("close", -4, W()).alias("lead4"), c.pct_change("close", 13, W()).alias("change13"), c.diff("close", 4, W()).alias("diff4"), c.log("close").alias("log_close"), c.where("ret", F.col("ret") > 0).alias("gain"), c.clip("ret", -0.1, 0.1).alias("clipped"))
     return rounded(p, *p.columns)
 
 
 @query("rolling_basic", f"""WITH {PANEL} SELECT date, ticker, round({roll('sum', 'ret', 13)}, 6) AS sum13, round({roll('avg', 'ret', 13)}, 6) AS mean13, round({roll('stddev_samp', 'ret', 13)}, 6) AS std13,
 round({roll('var_samp', 'ret', 13)}, 6) AS var13, round({roll('min', 'close', 13)}, 6) AS min13, round({roll('max', 'close', 13)}, 6) AS max13 FROM panel""")
 def rolling_basic(spark, sf):
-    p = a.panel(spark, sf).select("date", "ticker", c.roll_sum("ret", 13, W).alias("sum13"), c.roll_mean("ret", 13, W).alias("mean13"), c.roll_std("ret", 13, W).alias("std13"), c.roll_var("ret", 13, W).alias("var13"), c.roll_min("close", 13, W).alias("min13"), c.roll_max("close", 13, W).alias("max13"))
+    p = a.panel(spark, sf).select("date", "ticker", c.roll_sum("ret", 13, W()).alias("sum13"), c.roll_mean("ret", 13, W()).alias("mean13"), c.roll_std("ret", 13, W()).alias("std13"), c.roll_var("ret", 13, W()).alias("var13"), c.roll_min("close", 13, W()).alias("min13"), c.roll_max("close", 13, W()).alias("max13"))
     return rounded(p, *p.columns)
 
 
 @query("rolling_median", f"WITH {PANEL} SELECT date, ticker, round({roll('quantile_cont({}, 0.5)', 'close', 13)}, 6) AS median13, round({roll('quantile_cont({}, 0.5)', 'volume', 13, 5)}, 6) AS volume13 FROM panel")
 def rolling_median(spark, sf):
-    p = a.panel(spark, sf).select("date", "ticker", c.roll_median("close", 13, W).alias("median13"), c.roll_median("volume", 13, W, 5).alias("volume13"))
+    p = a.panel(spark, sf).select("date", "ticker", c.roll_median("close", 13, W()).alias("median13"), c.roll_median("volume", 13, W(), 5).alias("volume13"))
     return rounded(p, *p.columns)
 
 
 @query("rolling_skew_kurt", f"WITH {PANEL} SELECT date, ticker, round({roll('skewness', 'ret', 26, 13)}, 5) AS skew26, round({roll('kurtosis', 'ret', 26, 13)}, 5) AS kurt26 FROM panel")
 def rolling_skew_kurt(spark, sf):
-    p = a.panel(spark, sf).select("date", "ticker", half_up(c.roll_skew("ret", 26, W, 13), 5).alias("skew26"), half_up(c.roll_kurt("ret", 26, W, 13), 5).alias("kurt26"))
+    p = a.panel(spark, sf).select("date", "ticker", half_up(c.roll_skew("ret", 26, W(), 13), 5).alias("skew26"), half_up(c.roll_kurt("ret", 26, W(), 13), 5).alias("kurt26"))
     return p
 
 
@@ -90,8 +90,8 @@ def ewm_moments(spark, sf):
 SELECT date, ticker, round(close / ma40 - 1, 6) AS ma_distance, round(close / top52 - 1, 6) AS drawdown52, round(close / ma10, 6) AS ratio_to_mean10, CASE WHEN coalesce(close > ma40, false) THEN 1 ELSE 0 END AS above_ma40,
 round(close / year_ago - 1, 6) AS yoy, round(close - year_ago, 6) AS yoy_delta FROM x""")
 def trend_signals(spark, sf):
-    ma40, top = c.roll_mean("close", 40, W, 20), c.roll_max("close", 52, W, 1)
-    p = a.panel(spark, sf).select("date", "ticker", (c.ratio("close", ma40) - 1).alias("ma_distance"), (c.ratio("close", top) - 1).alias("drawdown52"), c.ratio("close", c.roll_mean("close", 10, W, 5)).alias("ratio_to_mean10"), c.flag(F.col("close") > ma40).alias("above_ma40"), c.pct_change("close", 52, W).alias("yoy"), c.diff("close", 52, W).alias("yoy_delta"))
+    ma40, top = c.roll_mean("close", 40, W(), 20), c.roll_max("close", 52, W(), 1)
+    p = a.panel(spark, sf).select("date", "ticker", (c.ratio("close", ma40) - 1).alias("ma_distance"), (c.ratio("close", top) - 1).alias("drawdown52"), c.ratio("close", c.roll_mean("close", 10, W(), 5)).alias("ratio_to_mean10"), c.flag(F.col("close") > ma40).alias("above_ma40"), c.pct_change("close", 52, W()).alias("yoy"), c.diff("close", 52, W()).alias("yoy_delta"))
     return rounded(p, *p.columns)
 
 
@@ -100,8 +100,8 @@ def trend_signals(spark, sf):
 count(*) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS n FROM panel)
 SELECT date, ticker, round({lag('vol')}, 6) AS vol, round({lag('best')}, 6) AS best, round({lag('worst')}, 6) AS worst, round((ret - m) / nullif(vol, 0), 6) AS z, round(hl, 6) AS range_mean, round(CASE WHEN n >= 13 THEN wr END, 6) AS win_rate FROM x""")
 def risk_signals(spark, sf):
-    x = a.panel(spark, sf).select("date", "ticker", "ret", c.roll_std("ret", 13, W).alias("vol"), c.roll_mean("ret", 13, W).alias("m"), c.roll_max("ret", 13, W).alias("best"), c.roll_min("ret", 13, W).alias("worst"), c.roll_mean(c.ratio(F.col("high") - F.col("low"), "close"), 13, W, 7).alias("range_mean"), c.win_rate("ret", 13, W).alias("win_rate"))
-    x = x.select("date", "ticker", *(c.shift(k, 1, W).alias(k) for k in ("vol", "best", "worst")), F.try_divide(F.col("ret") - F.col("m"), F.nullif(F.col("vol"), F.lit(0.0))).alias("z"), "range_mean", "win_rate")
+    x = a.panel(spark, sf).select("date", "ticker", "ret", c.roll_std("ret", 13, W()).alias("vol"), c.roll_mean("ret", 13, W()).alias("m"), c.roll_max("ret", 13, W()).alias("best"), c.roll_min("ret", 13, W()).alias("worst"), c.roll_mean(c.ratio(F.col("high") - F.col("low"), "close"), 13, W(), 7).alias("range_mean"), c.win_rate("ret", 13, W()).alias("win_rate"))
+    x = x.select("date", "ticker", *(c.shift(k, 1, W()).alias(k) for k in ("vol", "best", "worst")), F.try_divide(F.col("ret") - F.col("m"), F.nullif(F.col("vol"), F.lit(0.0))).alias("z"), "range_mean", "win_rate")
     return rounded(x, *x.columns)
 
 
@@ -109,8 +109,8 @@ def risk_signals(spark, sf):
 SELECT date, ticker, round((volume - m) / nullif(s, 0), 6) AS volume_z, round(short / nullif(m, 0), 6) AS volume_ratio, round({roll('avg', 'impact', 26, 13)} * 1e6, 6) AS amihud FROM x""")
 def volume_signals(spark, sf):
     p = a.panel(spark, sf).withColumn("impact", F.try_divide(F.abs("ret"), F.nullif(F.col("volume"), F.lit(0.0))))
-    m, s = c.roll_mean("volume", 26, W, 13), c.roll_std("volume", 26, W, 13)
-    x = p.select("date", "ticker", F.try_divide(F.col("volume") - m, F.nullif(s, F.lit(0.0))).alias("volume_z"), F.try_divide(c.roll_mean("volume", 4, W, 2), F.nullif(m, F.lit(0.0))).alias("volume_ratio"), (c.roll_mean("impact", 26, W, 13) * 1e6).alias("amihud"))
+    m, s = c.roll_mean("volume", 26, W(), 13), c.roll_std("volume", 26, W(), 13)
+    x = p.select("date", "ticker", F.try_divide(F.col("volume") - m, F.nullif(s, F.lit(0.0))).alias("volume_z"), F.try_divide(c.roll_mean("volume", 4, W(), 2), F.nullif(m, F.lit(0.0))).alias("volume_ratio"), (c.roll_mean("impact", 26, W(), 13) * 1e6).alias("amihud"))
     return rounded(x, *x.columns)
 
 
@@ -121,8 +121,8 @@ FROM z WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 25 PRECEDING
 def beta_autocorr(spark, sf):
     p = a.panel(spark, sf).join(F.broadcast(a.market(spark, sf)), "date", "left")
     both = F.col("ret").isNotNull() & F.col("mret").isNotNull()
-    p = p.withColumn("r", F.when(both, F.col("ret"))).withColumn("l", F.lag("r").over(W))
-    x = p.select("date", "ticker", c.roll_beta("r", "mret", 26, W, 16).alias("beta26"), c.roll_beta("r", "l", 26, W, 13).alias("autocorr26"))
+    p = p.withColumn("r", F.when(both, F.col("ret"))).withColumn("l", F.lag("r").over(W()))
+    x = p.select("date", "ticker", c.roll_beta("r", "mret", 26, W(), 16).alias("beta26"), c.roll_beta("r", "l", 26, W(), 13).alias("autocorr26"))
     return rounded(x, *x.columns)
 
 
@@ -137,8 +137,8 @@ def market_series(spark, sf):
 @query("glitch_flags", f"""WITH {PANEL}, x AS (SELECT date, ticker, ret, CASE WHEN coalesce(ret > 1 OR ret < -0.45, false) THEN 1 ELSE 0 END AS g FROM panel), y AS (SELECT *, {roll('max', 'g', 12)} AS has_glitch FROM x)
 SELECT date, ticker, has_glitch, CASE WHEN coalesce(has_glitch, 0) <> 1 THEN round(ret, 6) END AS masked, count(ret) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS history FROM y""")
 def glitch_flags(spark, sf):
-    x = a.panel(spark, sf).withColumn("g", c.flag((F.col("ret") > 1) | (F.col("ret") < -0.45))).withColumn("has_glitch", c.roll_max("g", 12, W))
-    return x.select("date", "ticker", "has_glitch", half_up(c.mask_glitch("ret", "has_glitch"), 6).alias("masked"), F.count("ret").over(c.history(W)).alias("history"))
+    x = a.panel(spark, sf).withColumn("g", c.flag((F.col("ret") > 1) | (F.col("ret") < -0.45))).withColumn("has_glitch", c.roll_max("g", 12, W()))
+    return x.select("date", "ticker", "has_glitch", half_up(c.mask_glitch("ret", "has_glitch"), 6).alias("masked"), F.count("ret").over(c.history(W())).alias("history"))
 
 
 @query("forward_returns", f"""WITH {PANEL}, h AS (SELECT unnest([5, 10, 20, 60]) AS horizon), x AS (SELECT date, ticker, 5 AS horizon, lead(close, 5) OVER w / close - 1 AS f FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date)
@@ -162,19 +162,19 @@ def cross_section(spark, sf):
 
 @query("universe_mask", f"""WITH {PANEL} SELECT date, ticker, CASE WHEN coalesce({roll('avg', 'volume', 20, 10)} >= 100000, false) AND coalesce(close >= 1, false) AND count(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 100 THEN 1 ELSE 0 END AS in_universe FROM panel""")
 def universe_mask(spark, sf):
-    ok = F.coalesce(c.roll_mean("volume", 20, W, 10) >= 100_000, F.lit(False)) & F.coalesce(F.col("close") >= 1, F.lit(False)) & (F.count("close").over(c.history(W)) >= 100)
+    ok = F.coalesce(c.roll_mean("volume", 20, W(), 10) >= 100_000, F.lit(False)) & F.coalesce(F.col("close") >= 1, F.lit(False)) & (F.count("close").over(c.history(W())) >= 100)
     return a.panel(spark, sf).select("date", "ticker", c.flag(ok).alias("in_universe"))
 
 
 @query("price_drops", f"WITH {BARS}, x AS (SELECT date, ticker, close, {lag('close')} AS prior FROM bars) SELECT date, ticker, round(close, 6) AS close, round(prior, 6) AS prior, round(close / prior, 6) AS ratio FROM x WHERE close / prior < 0.4 ORDER BY close / prior, ticker, date LIMIT 20")
 def price_drops(spark, sf):
-    x = a.bars(spark, sf).withColumn("prior", F.lag("close").over(W)).withColumn("r", c.ratio("close", "prior")).filter("r < 0.4")
+    x = a.bars(spark, sf).withColumn("prior", F.lag("close").over(W())).withColumn("r", c.ratio("close", "prior")).filter("r < 0.4")
     return x.orderBy("r", "ticker", "date").limit(20).select("date", "ticker", half_up("close").alias("close"), half_up("prior").alias("prior"), half_up("r").alias("ratio"))
 
 
 @query("liquidity_median", f"WITH {PANEL}, x AS (SELECT date, ticker, coalesce(volume, 0) AS v FROM panel) SELECT date, ticker, round({roll('quantile_cont({}, 0.5)', 'v', 26)}, 6) AS adtv FROM x")
 def liquidity_median(spark, sf):
-    return a.panel(spark, sf).withColumn("v", F.coalesce("volume", F.lit(0.0))).select("date", "ticker", half_up(c.roll_median("v", 26, W), 6).alias("adtv"))
+    return a.panel(spark, sf).withColumn("v", F.coalesce("volume", F.lit(0.0))).select("date", "ticker", half_up(c.roll_median("v", 26, W()), 6).alias("adtv"))
 
 
 @query("expanding_percentile", f"""WITH {MARKET}, x AS (SELECT date, level, row_number() OVER (ORDER BY date) AS n FROM market)
@@ -191,7 +191,7 @@ y AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc
 z AS (SELECT date, ticker, close, count(tr) OVER w AS k, sum(tr * pow(1 - 2.0 / 15, -i)) OVER w AS s, sum(CASE WHEN tr IS NOT NULL THEN pow(1 - 2.0 / 15, -i) END) OVER w AS t FROM y WINDOW w AS (PARTITION BY ticker ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT date, ticker, round(CASE WHEN k >= 14 THEN s / t END / close, 5) AS atr FROM z""")
 def true_range(spark, sf):
-    pc = F.lag("close").over(W)
+    pc = F.lag("close").over(W())
     x = a.panel(spark, sf).withColumn("tr", F.when(pc.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))))
     return ewm(x.select("date", "ticker", "close", "tr"), "tr", 14).select("date", "ticker", half_up(c.ratio("tr_ewm_mean", "close"), 5).alias("atr"))
 

@@ -11,7 +11,7 @@ from . import adapters as a
 from .oracle import MARKET, PANEL, PNL, lag, pct_rank, roll
 from .registry import half_up, query, rounded
 
-W = c.by_time()
+W = c.by_time  # called where it is used: a window needs a session
 
 SIGNALS = f"""{PANEL}, {MARKET},
 s0 AS (SELECT p.date, p.ticker, s_nationkey AS root, close, ret, round({roll('avg', 'volume', 13, 4).replace('PARTITION BY ticker', 'PARTITION BY p.ticker')}, 4) AS adtv,
@@ -25,8 +25,8 @@ def signals(spark, sf):
     """The panel with one column per named signal, company roots and average volume."""
     p = a.panel(spark, sf).join(F.broadcast(a.roots(spark, sf)), "ticker")  # roots: one row a ticker, as the panel's tickers are few against its rows
     s = p.select(
-        "date", "ticker", "root", "close", "ret", half_up(c.roll_mean("volume", 13, W, 4), 4).alias("adtv"), half_up(c.ratio(c.shift("close", 1, W), c.shift("close", 13, W)) - 1, 9).alias("mom"),
-        half_up(c.roll_std("ret", 13, W), 9).alias("vol"), half_up(c.roll_mean("ret", 13, W), 9).alias("mean"), half_up(c.win_rate("ret", 13, W, 1), 9).alias("win"), half_up(c.ratio("close", c.roll_mean("close", 26, W, 13)) - 1, 9).alias("dist"),
+        "date", "ticker", "root", "close", "ret", half_up(c.roll_mean("volume", 13, W(), 4), 4).alias("adtv"), half_up(c.ratio(c.shift("close", 1, W()), c.shift("close", 13, W())) - 1, 9).alias("mom"),
+        half_up(c.roll_std("ret", 13, W()), 9).alias("vol"), half_up(c.roll_mean("ret", 13, W()), 9).alias("mean"), half_up(c.win_rate("ret", 13, W(), 1), 9).alias("win"), half_up(c.ratio("close", c.roll_mean("close", 26, W(), 13)) - 1, 9).alias("dist"),
     )
     s = s.withColumns({"low_vol": -F.col("vol"), "sharpe": half_up(F.try_divide(F.col("mean"), F.nullif(F.col("vol"), F.lit(0.0))), 9), "reversion": -F.col("dist"), "frog": half_up(F.col("win") - F.abs("mom"), 9)})
     return s.withColumn("multi", half_up(0.5 * c.pct_rank("mom", ["date"]) + 0.5 * c.pct_rank("low_vol", ["date"]), 9))
