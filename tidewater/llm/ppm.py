@@ -124,7 +124,7 @@ class Trie:
             whole = 2 * left_n if k else left_d
             level["down"] = np.log10(np.maximum(whole, 1))
             level["pass_on"] = np.where(left_d > 0, np.log10(np.maximum(left_d, 1)) - level["down"], 0.0) if k else np.zeros(len(ctx))
-            self.levels[k] = level
+            self.levels[k] = {name: x.astype(np.float32) if x.dtype == np.float64 else x for name, x in level.items()}
 
     def score(self, key: np.ndarray) -> np.ndarray:
         """Log10 probability of the last byte of each gram after the others."""
@@ -160,7 +160,7 @@ def blocks(grams: DataFrame, order: int, block_grams: int) -> list[set[int]]:
     return out
 
 
-def score(df: DataFrame, order: int = 5, hot_words: int = 200_000, block_grams: int = 4_000_000, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, order: int = 5, hot_words: int = 200_000, block_grams: int = 2_000_000, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     if not 2 <= order <= 6:
         raise ValueError("order is 2 to 6, so that a gram fits a long and two bytes precede the last")
@@ -171,11 +171,13 @@ def score(df: DataFrame, order: int = 5, hot_words: int = 200_000, block_grams:
     counts = train(rows, order)
     words, grams = counts.filter("word is not null"), counts.filter("gram is not null").select("gram", "n")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    hot = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(hot_words).collect()}
+    top = words.orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
+    hot = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
+    del top
     spark = df.sparkSession
     shared_words = spark.sparkContext.broadcast(hot)
-    low_rows = grams.groupBy(F.expr("gram & 65535").alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").collect()  # at most 65,536
-    low = (np.array([r["gram"] for r in low_rows], np.int64), np.array([r["n"] for r in low_rows], np.int64))
+    low = grams.groupBy(F.expr("gram & 65535").alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toArrow()  # at most 65,536 rows
+    low = (low["gram"].to_numpy(), low["n"].to_numpy())
     base_log = math.log10(totals["n"] + totals["v"] + 1)
 
     def word_part(texts, rows_, hot_counts):
@@ -231,14 +233,15 @@ def score(df: DataFrame, order: int = 5, hot_words: int = 200_000, block_grams:
     for i, block in enumerate(dealt):
         whole = len(dealt) == 1
         part = grams if whole else grams.filter(F.expr("cast(shiftright(gram, 8) & 65535 as int)").isin(sorted(block)))
-        table = part.toPandas()  # at most about ``block_grams`` rows
+        table = part.toArrow()  # at most about ``block_grams`` rows
         pairs = None
         if not whole:
             pairs = np.zeros(65536, bool)
             pairs[sorted(block if i else set(range(65536)) - set().union(*dealt[1:]))] = True
-        trie = Trie(table["gram"].to_numpy(np.int64), table["n"].to_numpy(np.int64), order, low)
+        trie = Trie(table["gram"].to_numpy(), table["n"].to_numpy(), order, low)
         del table
         run = scorer(block, spark.sparkContext.broadcast((trie, pairs)), i == 0)
+        del trie
         got = rows.select("row", "text").mapInArrow(run, "row bigint, n_tokens bigint, n_known bigint, logs double, code double, word binary, n bigint")
         scored = got if scored is None else scored.union(got)
     c = F.coalesce("c", F.lit(0))
