@@ -15,8 +15,10 @@ each; an empty table gives an empty result; extra columns are left out.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import as_bytes, cut, id_text, pieces
+from .token_counts import byte_letters
 
 
 class Encoder:
-    """Token ids by the tokenizers library; a word's ids are kept, as words never share a token across a single space."""
+    """Token ids as the tokenizers library gives them.
+
+    Words never share a token across a single space, so a word's ids are looked up once, from the same vocabulary and
+    merges by the tiktoken library, which is faster on single words; texts with other blanks or special strings go
+    through tokenizers as a whole.
+    """
 
     def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # at a line's start, after a space
         self.newline = self.ids(["\n"])[0]
 
@@ -41,9 +57,11 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str], kind: int) -> None:
-        """Looks up new words.  One that holds a blank or is empty stays unknown: its text is encoded as a whole."""
-        new = [w for w in words.difference(self.known[kind]) if w.split() == [w]]
-        self.known[kind].update(zip(new, self.ids([" " + w for w in new] if kind else new)))
+        """Looks up new words.  One that holds a blank or a special string, or is empty, stays unknown: its text is encoded as a whole."""
+        known, ids, lead, special = self.known[kind], self.words, " " * kind, self.special
+        for w in words.difference(known):
+            if w.split() == [w] and not any(x in w for x in special):
+                known[w] = array("I", ids(lead + w)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
