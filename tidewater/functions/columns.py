@@ -162,10 +162,13 @@ def growth(r: str | Column, w: WindowSpec) -> Column:
 
 
 def pct_rank(x: str | Column, across: list[str]) -> Column:
-    """Rank as a share of the known values, ties averaged, NULL for NULL."""
+    """Rank as a share of the known values, ties averaged, NULL for NULL.
+
+    Ties are the row's peers in the same ordered window, so one shuffle and one sort serve all three parts.
+    """
     x = col(x)
     ordered = Window.partitionBy(*across).orderBy(x.asc_nulls_last())
-    tied = Window.partitionBy(*across, x)
+    tied = ordered.rangeBetween(Window.currentRow, Window.currentRow)
     return F.when(x.isNotNull(), (F.rank().over(ordered) + (F.count(F.lit(1)).over(tied) - 1) / 2) / F.count(x).over(Window.partitionBy(*across)))
 
 
