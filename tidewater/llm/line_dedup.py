@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from ._text import as_bytes, cut, pieces
 
 FLUSH = 400_000
+TOKENS_A_PART = 5_000_000  # about a million keys: what one task sorts and joins
+PAIRS_AT_ONCE = 2_000_000
 
 
-def token_frequencies(rows: DataFrame, ranked: int) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of the most frequent tokens, sorted, and how often each occurs."""
+def token_frequencies(rows: DataFrame, ranked: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Digests of the most frequent tokens, sorted, how often each occurs, and the sum of that."""
 
     def count(batches):
         seen: Counter = Counter()
@@ -51,9 +53,10 @@ def token_frequencies(rows: DataFrame, ranked: int) -> tuple[np.ndarray, np.ndar
                 yield out()
         yield out()
 
-    top = rows.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(ranked).toPandas()
-    top = top.sort_values("token")
-    return top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    top = rows.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(ranked).toArrow()
+    token, n = top["token"].to_numpy(), top["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order], int(n.sum())
 
 
 def digests(words: list[bytes]) -> np.ndarray:
@@ -63,12 +66,12 @@ def digests(words: list[bytes]) -> np.ndarray:
 class Lines:
     """Token sets of the lines of a batch of texts, each in the global order."""
 
-    def __init__(self, texts: list[bytes], tokens: np.ndarray, times: np.ndarray, wanted: list | None = None):
+    def __init__(self, texts: list[bytes], tokens: np.ndarray, times: np.ndarray):
         owner, number, words = [], [], []
         for i, text in enumerate(texts):
             lines = text.lower().split(b"\n")
-            for j in range(len(lines)) if wanted is None else wanted[i]:
-                w = lines[j].split()
+            for j, x in enumerate(lines):
+                w = x.split()
                 if w:
                     owner.append(i)
                     number.append(j)
@@ -120,35 +123,91 @@ def spread(start: np.ndarray, count: np.ndarray, label: np.ndarray) -> tuple[np.
     return np.repeat(start, count) + step, np.repeat(label, count), step
 
 
+def pack(key: np.ndarray, ident: np.ndarray, size: np.ndarray, left: np.ndarray) -> bytes:
+    """Keys as one block of bytes, for a narrow shuffle: 40 bits of each key, which with the part are enough to meet by."""
+    counts = pa.compress(np.concatenate([size, left]).astype("<u4").tobytes(), codec="zstd", asbytes=True)
+    low = key.view(np.uint64) >> np.uint64(24)
+    return len(key).to_bytes(4, "little") + low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes() + ident.astype("<i8").tobytes() + counts
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    n = int.from_bytes(blob[:4], "little")
+    key = np.frombuffer(blob, "<u4", n, 4).astype(np.int64) | np.frombuffer(blob, np.uint8, n, 4 + 4 * n).astype(np.int64) << 32
+    counts = np.frombuffer(pa.decompress(blob[4 + 13 * n :], decompressed_size=8 * n, codec="zstd", asbytes=True), "<u4").astype(np.int64)
+    return key, np.frombuffer(blob, "<i8", n, 4 + 5 * n), counts[:n], counts[n:]
+
+
+def candidates(key: np.ndarray, ident: np.ndarray, size: np.ndarray, left: np.ndarray, num: int, den: int):
+    """Pairs (a, b), a < b, of different lines that share a key and pass the length and positional filters; each pair once.
+
+    Pairs are made for a bounded number of rows at a time, so a group's square is never held; only pairs that pass stay.
+    """
+    order = np.lexsort((ident, key))
+    key, ident = key[order], ident[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
+    key, ident, size, left = key[new], ident[new], size[order][new], left[order][new]
+    ends = np.searchsorted(key, key, side="right") if len(key) else np.zeros(0, np.int64)
+    after = ends - np.arange(len(key)) - 1
+    upto = np.cumsum(after)
+    found, held, i = [], 0, 0
+    while i < len(key):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS_AT_ONCE, side="right")))
+        b, a, _ = spread(np.arange(i + 1, j + 1), after[i:j], np.arange(i, j))
+        ok = (den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])) & ((num + den) * np.minimum(left[a], left[b]) >= num * (size[a] + size[b]))
+        found.append(np.stack([ident[a[ok]], ident[b[ok]]], axis=1))
+        held += len(found[-1])
+        i = j
+        if held > PAIRS_AT_ONCE or i >= len(key):
+            both = np.concatenate(found)
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            once = np.ones(len(both), bool)
+            once[1:] = (both[1:] != both[:-1]).any(axis=1)
+            found, held = [], 0
+            yield np.ascontiguousarray(both[once, 0]), np.ascontiguousarray(both[once, 1])
+
+
 def classes(rows: DataFrame, num: int, den: int, ranked: int, frequent: int, most_broadcast: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``rows``: (row, doc_id, text).  Returns all lines (row, doc_id, line, id), the first line of each class (id, first), and
     the links between different classes (a, b), each once."""
     if not den < 2 * num < 2 * den:
         raise ValueError("the similarity must be over a half and under one")
-    tokens, times = token_frequencies(rows, ranked)
-    shared = rows.sparkSession.sparkContext.broadcast((tokens, times))
+    tokens, times, total = token_frequencies(rows, ranked)
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((tokens, times))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TOKENS_A_PART)
 
     def run(batches):
         for batch in pieces(batches, 2_000_000):
             lines = Lines(as_bytes(batch.column("text")), *shared.value)
             key, line, left = lines.keys(num, den, frequent)
-            by = np.argsort(line, kind="stable")
-            edges = pa.array(np.searchsorted(line[by], np.arange(len(lines.id) + 1)).astype(np.int32))
-            owner = pa.array(lines.owner)
+            part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            by = np.argsort(part, kind="stable")
+            key, line, left, part = key[by], line[by], left[by], part[by]
+            ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)) if len(part) else []
+            blobs = [pack(key[i:j], lines.id[line[i:j]], lines.size[line[i:j]], left[i:j]) for i, j in zip([0, *ends], ends)]
+            owner, n, k = pa.array(lines.owner), len(lines.id), len(blobs)
+            joined = lambda x, y: pa.concat_arrays([x, y])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(owner), batch.column("doc_id").take(owner), pa.array(lines.number.astype(np.int32)), pa.array(lines.id), pa.array(lines.size.astype(np.int32)), pa.ListArray.from_arrays(edges, pa.array(key[by])), pa.ListArray.from_arrays(edges, pa.array(left[by].astype(np.int32)))],
-                ["row", "doc_id", "line", "id", "size", "keys", "lefts"],
+                [
+                    *(joined(batch.column(c).take(owner), pa.nulls(k, batch.column(c).type)) for c in ("row", "doc_id")),
+                    joined(pa.array(lines.number.astype(np.int32)), pa.nulls(k, pa.int32())), joined(pa.array(lines.id), pa.nulls(k, pa.int64())),
+                    joined(pa.nulls(n, pa.int32()), pa.array([part[e - 1] for e in ends], pa.int32())), joined(pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())),
+                ],
+                ["row", "doc_id", "line", "id", "part", "blob"],
             )
 
-    all_lines = rows.mapInArrow(run, f"row bigint, doc_id {kind}, line int, id bigint, size int, keys array<bigint>, lefts array<int>").persist(StorageLevel.DISK_ONLY)
-    firsts = all_lines.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "line")).alias("first"))
-    met = all_lines.filter("size(keys) > 0").select("id", "size", F.explode(F.arrays_zip("keys", "lefts")).alias("k")).select(F.col("k.keys").alias("key"), "id", "size", F.col("k.lefts").alias("left"))
-    met = met.repartition("key").groupBy("key", "id").agg(F.first("size").alias("size"), F.max("left").alias("left"))
-    other = met.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "left")))
-    enough = (num + den) * F.least("left", "left2") >= num * (F.col("size") + F.col("size2"))
-    similar_size = den * F.least("size", "size2") >= num * F.greatest("size", "size2")
-    pairs = cut(met.join(other, "key").filter(F.col("id") < F.col("id2")).filter(similar_size & enough).select("id", "id2").distinct())
+    def meet(batches):
+        blobs = [unpack(x) for batch in batches for x in batch.column("blob").to_pylist()]
+        for a, b in candidates(*map(np.concatenate, zip(*blobs)), num, den) if blobs else ():
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["id", "id2"])
+
+    made = rows.mapInArrow(run, f"row bigint, doc_id {kind}, line int, id bigint, part int, blob binary").persist(StorageLevel.DISK_ONLY)
+    pairs = cut(made.filter("part is not null").select("part", "blob").repartition(parts, "part").mapInArrow(meet, "id bigint, id2 bigint").distinct())
+    all_lines = made.filter("part is null").drop("part", "blob").persist(StorageLevel.DISK_ONLY)
+    firsts = cut(all_lines.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "line")).alias("first")))
+    made.unpersist()
 
     wanted = pairs.select("id").union(pairs.select("id2")).distinct().join(firsts, "id").groupBy("first.row").agg(F.collect_list("first.line").alias("lines"))
     wanted = cut(wanted)
@@ -157,18 +216,26 @@ def classes(rows: DataFrame, num: int, den: int, ranked: int, frequent: int, mos
 
     def contents(batches):
         for batch in pieces(batches, 2_000_000):
-            lines = Lines(as_bytes(batch.column("text")), *shared.value, batch.column("lines").to_pylist())
-            edges = pa.array(np.append(lines.start, len(lines.token)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(lines.id), pa.ListArray.from_arrays(edges, pa.array(lines.token))], ["id", "tokens"])
-
-    content = rows.join(wanted, "row").select("text", "lines").mapInArrow(contents, "id bigint, tokens array<bigint>")
+            at, found = [], []
+            for i, (text, numbers) in enumerate(zip(as_bytes(batch.column("text")), batch.column("lines").to_pylist())):
+                lines = text.lower().split(b"\n")
+                at += [i] * len(numbers)
+                found += [b" ".join(sorted(set(lines[j].split()))) for j in numbers]
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), pa.array([j for x in batch.column("lines").to_pylist() for j in x], pa.int32()), pa.array(found, pa.binary())], ["row", "line", "tokens"])
+
+    def verify(batches):
+        for batch in batches:
+            sets = [[set(x.split(b" ")) for x in batch.column(c).to_pylist()] for c in ("tokens", "tokens2")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("id2")], ["a", "b"]).filter(pa.array([(num + den) * len(x & y) >= num * (len(x) + len(y)) for x, y in zip(*sets)], pa.bool_()))
+
+    texts = rows.join(wanted, "row").select("row", "text", "lines").mapInArrow(contents, "row bigint, line int, tokens binary")
+    content = cut(texts.join(firsts.select("id", "first.row", "first.line"), ["row", "line"]).select("id", "tokens"))
     both = pairs.join(content, "id").join(content.select(F.col("id").alias("id2"), F.col("tokens").alias("tokens2")), "id2")
-    overlap = F.size(F.array_intersect("tokens", "tokens2"))
-    links = both.filter((num + den) * overlap >= num * (F.size("tokens") + F.size("tokens2"))).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    links = both.mapInArrow(verify, "a bigint, b bigint")
     return all_lines, firsts, cut(links)
 
 
-def judged(docs: DataFrame, num: int = 4, den: int = 5, ranked: int = 400_000, frequent: int = 64, most_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judged(docs: DataFrame, num: int = 4, den: int = 5, ranked: int = 200_000, frequent: int = 1000, most_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line with a word: row, doc_id, line, class_doc_id, class_line, n_links, removed."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     all_lines, firsts, links = classes(rows, num, den, ranked, frequent, most_broadcast)
@@ -195,7 +262,10 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def remove_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the removed lines, in the same columns.  ``docs`` must read the same twice, as files do."""
     gone = judged(docs, **options).filter("removed").groupBy("row").agg(F.collect_list("line").alias("_gone"))
-    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone.withColumnRenamed("row", "_row"), "_row", "left")
+    gone = cut(gone.withColumnRenamed("row", "_row"))
+    if gone.agg(F.coalesce(F.sum(F.size("_gone") + 8), F.lit(0))).first()[0] <= options.get("most_broadcast", 500_000) * 8:  # counts both documents and lines
+        gone = F.broadcast(gone)  # else the texts are shuffled
+    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
