@@ -77,7 +77,7 @@ def two_leg_value(spark, sf):
 
 
 @query("trend_tilt", f"""WITH {MARKET}, x AS (SELECT date, coalesce(lag(level) OVER o > avg(level) OVER (ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING), false) AS up, coalesce(lag(rate) OVER o < lag(rate, 4) OVER o, false) AS easing FROM market WINDOW o AS (ORDER BY date))
-SELECT date, CASE WHEN up AND easing THEN 0.6 WHEN up THEN 0.45 WHEN easing THEN 0.3 ELSE 0.15 END AS equity, CASE WHEN up AND easing THEN 0.4 WHEN up THEN 0.55 WHEN easing THEN 0.7 ELSE 0.85 END AS cash FROM x""")
+SELECT date, CAST(CASE WHEN up AND easing THEN 0.6 WHEN up THEN 0.45 WHEN easing THEN 0.3 ELSE 0.15 END AS DOUBLE) AS equity, CAST(CASE WHEN up AND easing THEN 0.4 WHEN up THEN 0.55 WHEN easing THEN 0.7 ELSE 0.85 END AS DOUBLE) AS cash FROM x""")
 def trend_tilt(spark, sf):
     o = Window.orderBy("date")  # one row a week
     m = a.market(spark, sf).withColumn("up", F.lag("level").over(o) > F.avg("level").over(o.rowsBetween(-26, -1))).withColumn("easing", F.lag("rate").over(o) < F.lag("rate", 4).over(o))

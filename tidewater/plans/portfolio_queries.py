@@ -108,7 +108,7 @@ def blended_weights(spark, sf):
 
 
 @query("regime_share", f"""WITH {MARKET}, x AS (SELECT date, lag(rate, 1) OVER o < lag(rate, 4) OVER o AS easing, lag(level, 1) OVER o > avg(level) OVER (ORDER BY date ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING) AS up FROM market WINDOW o AS (ORDER BY date))
-SELECT date, CASE WHEN coalesce(easing AND up, false) THEN 0.2 WHEN coalesce(easing OR up, false) THEN 0.1 ELSE 0.0 END AS held_share, CASE WHEN coalesce(easing AND up, false) THEN false WHEN coalesce(easing OR up, false) THEN false ELSE true END AS parked FROM x""")
+SELECT date, CAST(CASE WHEN coalesce(easing AND up, false) THEN 0.2 WHEN coalesce(easing OR up, false) THEN 0.1 ELSE 0.0 END AS DOUBLE) AS held_share, CASE WHEN coalesce(easing AND up, false) THEN false WHEN coalesce(easing OR up, false) THEN false ELSE true END AS parked FROM x""")
 def regime_share(spark, sf):
     o = Window.orderBy("date")  # one row a week
     m = a.market(spark, sf).withColumn("easing", F.lag("rate", 1).over(o) < F.lag("rate", 4).over(o)).withColumn("up", F.lag("level", 1).over(o) > F.avg("level").over(o.rowsBetween(-40, -1)))
