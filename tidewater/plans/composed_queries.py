@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import discovery as d
 from ..operators import fundamentals as fu
-from ..operators import portfolio
+from ..operators import grid, portfolio
 from . import adapters as a
 from .discovery_queries import IC, features, ic
 from .discovery_queries import FEATURES
-from .oracle import FILINGS, MARKET, lag
+from .oracle import CASH, FILINGS, MARKET, PANEL, lag, pct_rank
 from .portfolio_queries import SIGNALS, signals
 from .registry import half_up, query, rounded
 
@@ -113,3 +113,46 @@ def discovery_report(spark, sf):
     s = d.ic_summary(ic(spark, sf)).withColumn("s", half_up(F.abs("ic_ir")))
     place = F.row_number().over(Window.partitionBy("horizon").orderBy(F.desc("s"), "feature"))
     return s.select("horizon", "feature", place.alias("place"), c.flag(F.try_divide(F.col("test_ic"), F.nullif(F.col("train_ic"), F.lit(0.0))) < 0.5).alias("overfit"))
+
+
+@query("dividend_score", f"""WITH {PANEL}, {CASH}, mc AS (SELECT ticker, last_day(date) AS period, arg_max(close, date) FILTER (WHERE close IS NOT NULL) AS close FROM panel GROUP BY 1, 2), md AS (SELECT ticker, last_day(ex_date) AS period, sum(value) AS paid FROM cash GROUP BY 1, 2),
+y AS (SELECT ticker, period, round(sum(coalesce(paid, 0)) OVER (PARTITION BY ticker ORDER BY period ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) / close, 9) AS y FROM mc LEFT JOIN md USING (ticker, period)),
+k AS (SELECT ticker, period, y, avg(y) OVER w + stddev_samp(y) OVER w AS cap FROM y WINDOW w AS (PARTITION BY ticker ORDER BY period ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+c AS (SELECT ticker, period, CASE WHEN y IS NOT NULL AND cap IS NOT NULL THEN least(y, cap) END AS c0, lag(y, 12) OVER w AS y1, lag(cap, 12) OVER w AS k1, lag(y, 24) OVER w AS y2, lag(cap, 24) OVER w AS k2 FROM k WINDOW w AS (PARTITION BY ticker ORDER BY period))
+SELECT ticker, period, round((c0 + CASE WHEN y1 IS NOT NULL AND k1 IS NOT NULL THEN least(y1, k1) END + CASE WHEN y2 IS NOT NULL AND k2 IS NOT NULL THEN least(y2, k2) END) / 3, 6) AS score FROM c""")
+def dividend_score(spark, sf):
+    """Mean of the trailing yields now, one and two years ago, each at most its five-year mean plus one deviation."""
+    w = c.by_time("ticker", "period")
+    closes = grid.resample(a.panel(spark, sf), "ME", last=["close"])
+    paid = grid.resample(a.cash_events(spark, sf).withColumnRenamed("ex_date", "date"), "ME", total=["value"])
+    y = closes.join(paid, ["ticker", "period"], "left").withColumn("y", half_up(F.sum(F.coalesce("value_sum", F.lit(0.0))).over(c.frame(w, 12)) / F.col("close"), 9))
+    cap = F.avg("y").over(c.frame(w, 60)) + F.stddev_samp("y").over(c.frame(w, 60))
+    y = y.withColumn("cap", cap).withColumn("c", F.when(F.col("y").isNotNull() & F.col("cap").isNotNull(), F.least("y", "cap")))
+    return y.select("ticker", "period", half_up((F.col("c") + F.lag("c", 12).over(w) + F.lag("c", 24).over(w)) / 3).alias("score"))
+
+
+@query("mean_reversion_composite", f"""WITH {SIGNALS}, z AS (SELECT *, -mom AS fall FROM signals), r AS (SELECT date, ticker, ({pct_rank('fall', 'date')} + {pct_rank('reversion', 'date')} + {pct_rank('low_vol', 'date')} + {pct_rank('win', 'date')}) / 4 AS score FROM z),
+g AS (SELECT date, coalesce(lag(rate) OVER o > lag(rate, 4) OVER o, false) AS rising, coalesce(lag(level) OVER o < 0.8 * max(level) OVER (ORDER BY date ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING), false) AS fallen FROM market WINDOW o AS (ORDER BY date))
+SELECT r.date, ticker, round(score, 6) AS score, CASE WHEN rising AND fallen THEN 0 ELSE 1 END AS open FROM r JOIN g USING (date)""")
+def mean_reversion_composite(spark, sf):
+    """Mean of four ranks, and whether the risk gate is open: not with rates rising and the market a fifth under its yearly high."""
+    o = Window.orderBy("date")  # one row a week
+    gate = a.market(spark, sf).select("date", (c.flag(F.lag("rate").over(o) > F.lag("rate", 4).over(o)) * c.flag(F.lag("level").over(o) < 0.8 * F.max("level").over(o.rowsBetween(-52, -1)))).alias("shut"))
+    s = signals(spark, sf).withColumn("fall", -F.col("mom"))
+    ranks = [c.pct_rank(k, ["date"]) for k in ("fall", "reversion", "low_vol", "win")]
+    s = s.withColumn("score", (ranks[0] + ranks[1] + ranks[2] + ranks[3]) / 4)
+    return s.join(F.broadcast(gate), "date").select("date", "ticker", half_up("score").alias("score"), (1 - F.col("shut")).alias("open"))
+
+
+@query("signal_guard", f"""WITH {IC}, s AS (SELECT feature, date, avg(ic) OVER (PARTITION BY feature ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY feature ORDER BY date) AS n FROM ic WHERE horizon = 13),
+q AS (SELECT feature, date, round(m, 9) AS m FROM s WHERE n % 13 = 0), f AS (SELECT *, CASE WHEN sign(m) <> sign(lag(m) OVER w) THEN 1 ELSE 0 END AS flip FROM q WINDOW w AS (PARTITION BY feature ORDER BY date)),
+d AS (SELECT *, CASE WHEN flip = 1 AND lag(flip) OVER w = 1 THEN 0 WHEN flip = 0 AND coalesce(lag(flip) OVER w, 0) = 0 THEN 1 END AS state FROM f WINDOW w AS (PARTITION BY feature ORDER BY date)),
+a AS (SELECT feature, date, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY feature ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS active FROM d) SELECT feature, date, active, round(CASE WHEN active = 1 THEN 1.0 / sum(active) OVER (PARTITION BY date) ELSE 0 END, 6) AS weight FROM a""")
+def signal_guard(spark, sf):
+    """Each quarter, a feature whose trailing IC changed sign twice running is switched off until two quarters without a change; weight goes to the others."""
+    w = c.by_time("feature")
+    s = ic(spark, sf).filter("horizon = 13").withColumn("m", half_up(F.avg("ic").over(c.frame(w, 52)), 9)).withColumn("n", F.row_number().over(w)).filter("n % 13 = 0")
+    s = s.withColumn("flip", c.flag(F.signum("m") != F.signum(F.lag("m").over(w)))).withColumn("before", F.lag("flip").over(w))
+    state = F.when((F.col("flip") == 1) & (F.col("before") == 1), 0).when((F.col("flip") == 0) & (F.coalesce("before", F.lit(0)) == 0), 1)
+    s = s.withColumn("state", state).withColumn("active", F.coalesce(F.last("state", ignorenulls=True).over(c.history(w)), F.lit(1)))
+    return s.select("feature", "date", "active", half_up(F.when(F.col("active") == 1, F.lit(1.0) / F.sum("active").over(Window.partitionBy("date"))).otherwise(0.0)).alias("weight"))
