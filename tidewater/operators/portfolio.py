@@ -149,7 +149,8 @@ def turnover(weights: DataFrame, calendar: DataFrame, key: str = "ticker") -> Da
     return weights.select("date", key, "weight").union(ended).groupBy("date", key).agg(F.sum("weight").alias("d")).groupBy("date").agg(F.sum(F.abs("d")).alias("turnover"))
 
 
-def blend(df: DataFrame, a: str, b: str, part: float = 0.5) -> Column:
+def blend(a: str | Column, b: str | Column, part: float = 0.5) -> Column:
+    """``part`` of a and the rest of b."""
     return part * col(a) + (1 - part) * col(b)
 
 

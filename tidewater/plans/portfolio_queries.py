@@ -256,9 +256,9 @@ def contribution_nav(spark, sf):
     return metrics.contribution_nav(m, 1000.0).select("date", half_up("nav", 3).alias("nav"))
 
 
-@query("underinvested", f"WITH {SIGNALS}, w AS (SELECT date, multi / count(*) OVER (PARTITION BY date) AS weight FROM signals WHERE multi > 0.3) SELECT date, round(sum(weight), 4) AS invested FROM w GROUP BY 1 HAVING sum(weight) > 0 AND sum(weight) < 1 - 1e-4")
+@query("underinvested", f"WITH {SIGNALS}, w AS (SELECT date, 0.9737137 * multi / count(*) OVER (PARTITION BY date) AS weight FROM signals WHERE multi > 0.3) SELECT date, round(sum(weight), 4) AS invested FROM w GROUP BY 1 HAVING sum(weight) > 0 AND sum(weight) < 1 - 1e-4")
 def underinvested(spark, sf):
-    w = signals(spark, sf).filter("multi > 0.3").withColumn("weight", F.col("multi") / F.count("*").over(Window.partitionBy("date")))
+    w = signals(spark, sf).filter("multi > 0.3").withColumn("weight", 0.9737137 * F.col("multi") / F.count("*").over(Window.partitionBy("date")))
     return metrics.underinvested(w).select("date", half_up("invested", 4).alias("invested"))
 
 
