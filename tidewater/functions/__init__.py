@@ -1 +1 @@
-
+"""Column builders."""

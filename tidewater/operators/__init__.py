@@ -1 +1 @@
-
+"""DataFrame operators: each takes DataFrames and parameters and returns a DataFrame."""

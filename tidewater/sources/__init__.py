@@ -1 +1 @@
-
+"""Readers of raw files."""

@@ -1 +1 @@
-
+"""No unbounded source is in scope: late data are filing versions and re-ingested keys (operators.merge, operators.fundamentals)."""
