@@ -257,6 +257,77 @@ def test_license_scan(spark):
     assert rows(license_scan.scan(empty(spark))) == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """   Copyright 2020 A. Person
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+BSD = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+
+
+def test_license_scan_knows_published_texts(spark):
+    texts = {"MIT": MIT, "Apache-2.0": APACHE, "BSD": BSD, "GPL-3.0-or-later": GPL}
+    whole = {"MIT": ["mit-grant", "asis"], "Apache-2.0": ["apache2-long", "apache2-copy"], "BSD": ["bsd-redistribution"], "GPL-3.0-or-later": ["gpl-redistribute", "gpl-hope"]}
+    flowed = lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))
+    commented = lambda t: "\n".join(f" * {x}".rstrip() for x in t.split("\n"))
+    forms = [str, flowed, commented, lambda t: t.replace("\n", "\r\n"), lambda t: "print(1)\n" + t + "\nmore text"]
+    rows = [(name, form(t)) for name, t in texts.items() for form in forms]
+    got = {r["doc_id"]: r for r in license_scan.scan(frame(spark, [(k, t) for k, (_, t) in enumerate(rows)])).collect()}
+    for k, (name, text) in enumerate(rows):
+        assert (got[k]["licenses"], got[k]["sentence_ids"]) == ([name], whole[name]), text
+
+
 def test_url_filter(spark):
     urls = [(1, "http://a.example.com/en/7x?q=1"), (2, "https://EXAMPLE.com/en/8"), (3, "http://shop.net/de/1#x"), (4, "http://example.net/de/8/9"), (5, "http://notorg/es/"), (6, None), (7, "no scheme com/en/"), (8, "http://x.org"), (9, "ftp://b.org/es/?"), (9, "ftp://b.org/es/?"), (None, "http://com/en/")]
     rules = spark.createDataFrame([("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")], "verdict string, host string, path string")

@@ -6,8 +6,10 @@ in text order, are matched against ordered rules: a rule fits where its identifi
 other among the known sentences, with at most ``max_gap`` unknown sentences between two of them.  Rules
 are tried in order and a sentence serves one rule only, so a fuller license text wins over its parts.
 
-A sentence ends at . ! or ? before white space, or at an empty line; a sentence that is not known as a whole is
-tried line by line too.  Texts without any anchor word of a known sentence cannot match and are passed over.
+A text is cut after . ! ? or : before white space and at every end of line, and a known sentence may run over any
+number of such parts, empty lines and lines of comment marks among them; where several known sentences start at one part, the
+longest is taken.  Unknown parts of one line and sentence count as one unknown sentence.  Texts without any anchor word of a
+known sentence cannot match and are passed over.
 
 Defined results: null or empty text has no sentences and no license; a repeated row gives a repeated
 result; an empty table gives an empty result; extra columns are left out.
@@ -55,7 +57,8 @@ RULES = [
     ("BSD", ["bsd-redistribution"]),
 ]
 ANCHORS = re.compile(rb"licen[sc]e|granted|warrant|distribut", re.I)
-END = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
+END = re.compile(r"(?<=[.!?])\s+|\n")
+COLON = re.compile(r"(?<=:)\s+")
 OTHER = re.compile(r"[\W_]+")
 
 
@@ -63,15 +66,28 @@ def normalise(sentence: str) -> str:
     return OTHER.sub(" ", sentence.lower()).strip()
 
 
-def recognise(text: str, known: dict[str, str]) -> list[str | None]:
+def beginnings(known: dict[str, str]) -> set[str]:
+    """Every known sentence, up to the end of each of its words."""
+    return {key[: m.end()] for key in known for m in re.finditer(r"\w+", key)}
+
+
+def recognise(text: str, known: dict[str, str], begun: set[str]) -> list[str | None]:
     """Sentence identifiers in order; None for an unknown sentence."""
-    out = []
-    for unit in END.split(text):
-        key = normalise(unit)
-        if key in known or "\n" not in unit.strip():
-            out += [known.get(key)] if key else []
-        else:
-            out += [known.get(k) for k in map(normalise, unit.split("\n")) if k]
+    parts = [(n, key) for n, unit in enumerate(END.split(text)) for key in map(normalise, COLON.split(unit)) if key]
+    out, i, unknown = [], 0, None
+    while i < len(parts):
+        n, joined = parts[i]
+        j, found, end = i + 1, None, i + 1
+        while joined in begun:
+            if joined in known:
+                found, end = known[joined], j
+            if j == len(parts):
+                break
+            joined += " " + parts[j][1]
+            j += 1
+        if found or n != unknown:
+            out.append(found)
+        i, unknown = end, None if found else n
     return out
 
 
@@ -92,6 +108,7 @@ def apply_rules(ids: list[str | None], rules: list[tuple[str, list[str]]], max_g
 def scan(df: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, max_gap: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, sentence_ids and licenses (arrays of strings, in text order), n_sentences known, license (the first or null)."""
     known = {normalise(s): k for k, s in sentences.items()}
+    begun = beginnings(known)
     for s in sentences.values():
         if not ANCHORS.search(s.encode()):
             raise ValueError(f"no anchor word in the known sentence {s!r}")
@@ -102,7 +119,7 @@ def scan(df: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES, max_
             licenses = [[]] * batch.num_rows
             for i, text in enumerate(as_bytes(batch.column("text"))):
                 if ANCHORS.search(text):
-                    found = recognise(text.decode(), known)
+                    found = recognise(text.decode(), known, begun)
                     licenses[i] = apply_rules(found, rules, max_gap)
                     ids[i] = [x for x in found if x]
             yield pa.RecordBatch.from_arrays(
