@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import decontamination, line_dedup, packing, simhash, toxicity
+from tidewater.llm import decontamination, line_dedup, near_dup, packing, toxicity
 from tidewater.llm._text import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,8 +29,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8."""
+    return near_dup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

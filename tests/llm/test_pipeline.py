@@ -86,3 +86,39 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
 def test_stages_keep_the_columns_of_documents():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_near_dedup_finds_every_similar_pair(spark):
+    """Copies with a few words changed and lines broken elsewhere, which neither line dedup nor two bits of a fingerprint find."""
+    r = random.Random(3)
+    docs = []
+    for k in range(30):
+        w = " ".join(sentence(r) for _ in range(12)).split()
+        docs.append((k * 10, " ".join(w)))
+        for copy in range(1, 4):
+            x = list(w)
+            for _ in range(copy):
+                x[r.randrange(len(x))] = f"new{r.randrange(10**6)}"
+            docs.append((k * 10 + copy, "\n".join(" ".join(x[i : i + 7 + copy]) for i in range(0, len(x), 7 + copy))))
+    docs += [(1000 + k, docs[0][1] + f" end{k} of it") for k in range(60)] + [(2000, "a b c"), (2001, "A b\nc"), (2002, "a b d"), (2003, None), (2004, ""), (None, docs[4][1]), (None, "alone " + docs[8][1][::-1]), (300, docs[0][1]), (300, docs[0][1])]
+
+    def shingles(t):
+        w = words(t)
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for _, t in docs]
+    group = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0, k))
+    first = {}
+    for k in order:
+        first.setdefault(group[k], k)
+    expected = sorted(((docs[k][0], docs[k][1]) for k in first.values()), key=str)
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1)
+    got = corpus_pipeline.near_dedup_stage(spark, frame, "")
+    assert got.columns == frame.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == expected
+    assert corpus_pipeline.near_dedup_stage(spark, frame.limit(0), "").count() == 0

@@ -27,22 +27,27 @@ from .components import components
 BLOCK = 1 << 15  # hashes whose bits are unpacked at a time
 
 
-def fingerprint(text: bytes, shingle: int, seed: int) -> int:
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
     words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
+    if 0 < len(words) < shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
     else:
         digest = xxhash.xxh64_intdigest
         hashes = [digest(b" ".join(x), seed) for x in zip(*(words[i:] for i in range(shingle)))]
-    h = np.array(hashes, "<u8")
+    return np.array(hashes, "<u8")
+
+
+def fold(h: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), BLOCK):
         ones += np.unpackbits(h[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int, seed: int) -> int:
+    return fold(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(df: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
