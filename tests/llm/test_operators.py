@@ -107,6 +107,15 @@ def test_repetition(spark):
     assert rows(repetition.repetition(empty(spark))) == []
 
 
+def test_repetition_rejects_passages_that_the_base_rule_keeps(spark):
+    own = [f"w{k}" for k in range(800)]
+    twice = own[:400] + own[100:160] + own[400:740]  # 60 words twice: 120 of 800
+    phrases = [w for k in range(0, 680, 34) for w in own[k : k + 34] + own[: 6 * (k % 68 == 0)]]  # 6 words again and again: 66 of 740
+    got = {r["doc_id"]: r for r in repetition.repetition(frame(spark, [(1, " ".join(twice)), (2, " ".join(phrases)), (3, " ".join(own))])).collect()}
+    assert (got[1]["n_words"], got[1]["passage_words"], got[2]["passage_words"]) == (800, 120, 0) and got[2]["covered_words"] > 50
+    assert [(got[i]["base_failed"], got[i]["kept"]) for i in (1, 2, 3)] == [(False, False), (False, True), (False, True)]
+
+
 def test_simhash(spark):
     def fingerprint(t):
         w = words(t)

@@ -88,7 +88,7 @@ def covered(longest: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def measure(texts: list[bytes], min_repeat: int) -> dict[str, np.ndarray]:
+def measure(texts: list[bytes], min_repeat: int, passage: int) -> dict[str, np.ndarray]:
     split = [t.split() for t in texts]
     count = np.array([len(w) for w in split], np.int64)
     seen: dict[bytes, int] = {}
@@ -106,25 +106,28 @@ def measure(texts: list[bytes], min_repeat: int) -> dict[str, np.ndarray]:
         "n_dup_lines": np.array([len(x) - len(set(x)) for x in lines], np.int64),
         "n_repeat_words": per_text(covered(longest, 5)),
         "covered_words": per_text(covered(longest, min_repeat)),
+        "passage_words": per_text(covered(longest, passage)),
         "longest_repeat": most,
     }
 
 
-FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
+FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "passage_words", "longest_repeat"]
 
 
-def repetition(df: DataFrame, min_repeat: int = 5, max_covered: float = 0.2, max_longest: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repetition(df: DataFrame, min_repeat: int = 5, max_covered: float = 0.2, max_longest: int = 100, passage: int = 10, max_passages: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, counts, base_failed and kept.
 
     A text is kept unless the base rule fails it, repeats of at least ``min_repeat`` words cover more than
-    ``max_covered`` of its words, or its longest repeat has more than ``max_longest`` words.
+    ``max_covered`` of its words, repeats of at least ``passage`` words - copied passages, not phrases that recur by
+    themselves, so half the base rule's share is too much - cover more than ``max_passages`` of them, or its longest
+    repeat has more than ``max_longest`` words.
     """
 
     def run(batches):
         for batch in pieces(batches, 2_000_000):
-            m = measure(as_bytes(batch.column("text")), min_repeat)
+            m = measure(as_bytes(batch.column("text")), min_repeat, passage)
             failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-            kept = ~failed & (m["covered_words"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_longest)
+            kept = ~failed & (m["covered_words"] <= max_covered * m["n_words"]) & (m["passage_words"] <= max_passages * m["n_words"]) & (m["longest_repeat"] <= max_longest)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(m[f]) for f in FIELDS), pa.array(failed), pa.array(kept)], ["doc_id", *FIELDS, "base_failed", "kept"])
 
     rows = id_text(df, id_col, text_col)
