@@ -64,6 +64,13 @@ def feature_pairs(spark, sf):
     return d.pairs(f, cats).filter("abs(value) < 1e6").withColumn("value", half_up("value", 4))
 
 
+@query("feature_pairs_all")
+def feature_pairs_all(spark, sf):
+    """Every two features of different categories, whatever the size of the values."""
+    cats = spark.createDataFrame(list(CATEGORY.items()), "feature string, category string")
+    return d.pairs(features(spark, sf), cats)
+
+
 @query("ic_series", f"WITH {IC} SELECT feature, horizon, date, round(ic, 6) AS ic FROM ic")
 def ic_series(spark, sf):
     return rounded(ic(spark, sf), "feature", "horizon", "date", "ic")

@@ -95,6 +95,12 @@ def capped_cap_weights(spark, sf):
     return rounded(portfolio.capped_weights(signals(spark, sf).filter("date >= '1996-01-01'"), "adtv", 0.02), "date", "ticker", "weight")
 
 
+@query("capped_cap_weights_all")
+def capped_cap_weights_all(spark, sf):
+    """All dates, the first year too."""
+    return rounded(portfolio.capped_weights(signals(spark, sf), "adtv", 0.02), "date", "ticker", "weight")
+
+
 @query("inverse_vol_capped")
 def inverse_vol_capped(spark, sf):
     s = signals(spark, sf).filter("vol > 0").withColumn("inv", 1 / F.col("vol"))
