@@ -10,11 +10,18 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BREAK = b"\n"
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG_WORD = 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,11 +39,52 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def placed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, text): rows are numbered by their place, which holds as long as ``df`` reads the same each time."""
+    return df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+
+
+def fields_of(df: DataFrame) -> DataFrame:
+    """(row, fields): the same numbers of rows, and whole rows as one struct, so that no name of theirs can clash."""
+    return df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("fields"))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_digests(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of ``data`` starts, its 64-bit digest (A-Z lowered), and where the line breaks are.
+
+    Words are read eight bytes at a time; those over 64 bytes are digested by XXH64.
+    """
+    raw = np.empty(len(data) + 10, np.uint8)
+    raw[0], raw[len(data) + 1 :] = 10, 10
+    np.take(LOWER, np.frombuffer(data, np.uint8), out=raw[1 : len(data) + 1])
+    gap = np.take(SPACE, raw)
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    digest = mix((eight[start] & KEEP[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        digest[more] = mix(digest[more] * np.uint64(0x9E3779B97F4A7C15) + (eight[start[more] + done] & KEEP[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        digest[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes())
+    return start - 1, digest, np.flatnonzero(raw[1 : len(data) + 1] == 10)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], budget: int = 4_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches re-cut so that each holds about ``budget`` bytes of text, or one row: it bounds a task's memory."""
     for batch in batches:

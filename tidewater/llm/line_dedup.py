@@ -1,256 +1,50 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words (A-Z lowered).  Tokens are put in one global order, rare before frequent: the exact
-frequency decides for the ``ranked`` most frequent tokens, whose table is bounded by that number, and any other token is rarer
-than those and ordered by its hash.  Two lines with Jaccard similarity of at least num/den must share a token within
-the first k - ceil(k * num / den) + 1 of their k tokens (prefix filter).  If the first token they share is frequent, they must
-share a second one within one place more, and the pair of tokens is the key; so a frequent token makes no large group by
-itself.  Keys are shuffled once; lines that meet pass the length filter and the positional filter (what is
-left of both lines after the shared token must suffice), and the survivors are verified on their whole token sets.
+A line is the set of its words (A-Z lowered); ``set_join`` puts words in one order by rarity, finds candidates by prefix, length and
+position, and verifies Jaccard similarity of at least num/den on whole sets.
 
 A line goes if an earlier line - smaller doc_id, then earlier row, then earlier in the text - is similar to it, whether
 or not that one goes too.  Equal sets form one class; a class's later lines all go, and only the first lines of classes are joined.
+A class's links to all others are counted, so a group of n near copies that all differ costs n * n comparisons of 64-bit maps and
+as many verifications; exact copies cost nothing.
 
 Defined results: null or empty texts and blank lines have no tokens, match nothing and stay as they are; rows
 without an id come after all others; repeated rows are later copies of the first; an empty table gives an empty result;
-extra columns are left out by ``report`` and kept by ``remove_lines``, which recounts n_chars where there is such
-a column.  Tokens and classes are known by 64-bit XXH64 digests.
+extra columns are left out by ``report`` and kept by ``remove_lines`` whatever their names, which recounts n_chars where there is
+such a column.  Rows are told apart by their place in the input, so ``docs`` must be a table that reads the same each time, as
+files do.  Words are known by 64-bit digests and classes by 128 bits.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import as_bytes, cut, pieces
-
-FLUSH = 400_000
-TOKENS_A_PART = 5_000_000  # about a million keys: what one task sorts and joins
-PAIRS_AT_ONCE = 2_000_000
-
-
-def token_frequencies(rows: DataFrame, ranked: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Digests of the most frequent tokens, sorted, how often each occurs, and the sum of that."""
-
-    def count(batches):
-        seen: Counter = Counter()
-
-        def out():
-            got = pa.RecordBatch.from_arrays([pa.array(digests(list(seen))), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
-            seen.clear()
-            return got
-
-        for batch in pieces(batches):
-            for text in as_bytes(batch.column("text")):
-                seen.update(text.lower().split())
-            if len(seen) > FLUSH:
-                yield out()
-        yield out()
-
-    top = rows.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "token").limit(ranked).toArrow()
-    token, n = top["token"].to_numpy(), top["n"].to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order], int(n.sum())
-
-
-def digests(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
-
-
-class Lines:
-    """Token sets of the lines of a batch of texts, each in the global order."""
-
-    def __init__(self, texts: list[bytes], tokens: np.ndarray, times: np.ndarray):
-        owner, number, words = [], [], []
-        for i, text in enumerate(texts):
-            lines = text.lower().split(b"\n")
-            for j, x in enumerate(lines):
-                w = x.split()
-                if w:
-                    owner.append(i)
-                    number.append(j)
-                    words.append(w)
-        self.owner, self.number = np.array(owner, np.int64), np.array(number, np.int64)
-        seen: dict[bytes, int] = {}
-        ids = np.array([seen.setdefault(w, len(seen)) for line in words for w in line], np.int64)
-        line = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        digest = digests(list(seen))
-        at = np.minimum(np.searchsorted(tokens, digest), max(len(tokens) - 1, 0))
-        often = np.where(tokens[at] == digest, times[at], 0) if len(tokens) else np.zeros(len(digest), np.int64)
-        order = np.lexsort((digest, often))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        key = np.sort(line << 32 | place[ids])
-        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-        self.line, token = key >> 32, order[key & 0xFFFFFFFF]
-        self.token, self.often = digest[token], often[token]
-        self.size = np.bincount(self.line, minlength=len(words))
-        self.start = np.cumsum(self.size) - self.size
-        mixed = self.token.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-        total = np.add.reduceat(mixed, self.start) if len(words) else np.zeros(0, np.uint64)
-        self.id = (total ^ self.size.astype(np.uint64)).view(np.int64)
-
-    def keys(self, num: int, den: int, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each key: digest, line, and how many shared tokens are still possible for the line."""
-        _, first = np.unique(self.id, return_index=True)
-        first = np.sort(first[self.size[first] * den >= num * (self.size[first] + 1)])  # smaller sets have equal partners only
-        size, start = self.size[first], self.start[first]
-        prefix = size - -(-size * num // den) + 1
-        at, line, place = spread(start, prefix, first)
-        alone = self.often[at] <= frequent
-        out = [(self.token[at[alone]], line[alone], (self.size[line] - place)[alone])]
-        at, line, place = at[~alone], line[~alone], place[~alone]
-        ends = np.minimum((self.size - -(-self.size * num // den) + 2)[line], self.size[line])
-        second, which, step = spread(at + 1, ends - place - 1, np.arange(len(at)))
-        a, b = self.token[at[which]].view(np.uint64), self.token[second].view(np.uint64)
-        both = ((a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x632BE59BD9B4E019))) * np.uint64(0xFF51AFD7ED558CCD)
-        out.append((both.view(np.int64), line[which], self.size[line[which]] - (place[which] + 1 + step) + 1))
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def spread(start: np.ndarray, count: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start, start + 1, ... for each run, its label and the step within the run."""
-    count = np.maximum(count, 0)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(start, count) + step, np.repeat(label, count), step
-
-
-def pack(key: np.ndarray, ident: np.ndarray, size: np.ndarray, left: np.ndarray) -> bytes:
-    """Keys as one block of bytes, for a narrow shuffle: 40 bits of each key, which with the part are enough to meet by."""
-    counts = pa.compress(np.concatenate([size, left]).astype("<u4").tobytes(), codec="zstd", asbytes=True)
-    low = key.view(np.uint64) >> np.uint64(24)
-    return len(key).to_bytes(4, "little") + low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype(np.uint8).tobytes() + ident.astype("<i8").tobytes() + counts
+from . import set_join
+from ._text import cut, fields_of, placed_rows
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n = int.from_bytes(blob[:4], "little")
-    key = np.frombuffer(blob, "<u4", n, 4).astype(np.int64) | np.frombuffer(blob, np.uint8, n, 4 + 4 * n).astype(np.int64) << 32
-    counts = np.frombuffer(pa.decompress(blob[4 + 13 * n :], decompressed_size=8 * n, codec="zstd", asbytes=True), "<u4").astype(np.int64)
-    return key, np.frombuffer(blob, "<i8", n, 4 + 5 * n), counts[:n], counts[n:]
-
-
-def candidates(key: np.ndarray, ident: np.ndarray, size: np.ndarray, left: np.ndarray, num: int, den: int):
-    """Pairs (a, b), a < b, of different lines that share a key and pass the length and positional filters; each pair once.
-
-    Pairs are made for a bounded number of rows at a time, so a group's square is never held; only pairs that pass stay.
-    """
-    order = np.lexsort((ident, key))
-    key, ident = key[order], ident[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-    key, ident, size, left = key[new], ident[new], size[order][new], left[order][new]
-    ends = np.searchsorted(key, key, side="right") if len(key) else np.zeros(0, np.int64)
-    after = ends - np.arange(len(key)) - 1
-    upto = np.cumsum(after)
-    found, held, i = [], 0, 0
-    while i < len(key):
-        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS_AT_ONCE, side="right")))
-        b, a, _ = spread(np.arange(i + 1, j + 1), after[i:j], np.arange(i, j))
-        ok = (den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])) & ((num + den) * np.minimum(left[a], left[b]) >= num * (size[a] + size[b]))
-        found.append(np.stack([ident[a[ok]], ident[b[ok]]], axis=1))
-        held += len(found[-1])
-        i = j
-        if held > PAIRS_AT_ONCE or i >= len(key):
-            both = np.concatenate(found)
-            both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            once = np.ones(len(both), bool)
-            once[1:] = (both[1:] != both[:-1]).any(axis=1)
-            found, held = [], 0
-            yield np.ascontiguousarray(both[once, 0]), np.ascontiguousarray(both[once, 1])
-
-
-def classes(rows: DataFrame, num: int, den: int, ranked: int, frequent: int, most_broadcast: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``rows``: (row, doc_id, text).  Returns all lines (row, doc_id, line, id), the first line of each class (id, first), and
-    the links between different classes (a, b), each once."""
+def judged(docs: DataFrame, num: int = 4, den: int = 5, frequent: int = 1000, most_broadcast: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every line with a word: row, doc_id, line, class_doc_id, class_line, n_links, removed."""
     if not den < 2 * num < 2 * den:
         raise ValueError("the similarity must be over a half and under one")
-    tokens, times, total = token_frequencies(rows, ranked)
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((tokens, times))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TOKENS_A_PART)
-
-    def run(batches):
-        for batch in pieces(batches, 2_000_000):
-            lines = Lines(as_bytes(batch.column("text")), *shared.value)
-            key, line, left = lines.keys(num, den, frequent)
-            part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-            by = np.argsort(part, kind="stable")
-            key, line, left, part = key[by], line[by], left[by], part[by]
-            ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)) if len(part) else []
-            blobs = [pack(key[i:j], lines.id[line[i:j]], lines.size[line[i:j]], left[i:j]) for i, j in zip([0, *ends], ends)]
-            owner, n, k = pa.array(lines.owner), len(lines.id), len(blobs)
-            joined = lambda x, y: pa.concat_arrays([x, y])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(joined(batch.column(c).take(owner), pa.nulls(k, batch.column(c).type)) for c in ("row", "doc_id")),
-                    joined(pa.array(lines.number.astype(np.int32)), pa.nulls(k, pa.int32())), joined(pa.array(lines.id), pa.nulls(k, pa.int64())),
-                    joined(pa.nulls(n, pa.int32()), pa.array([part[e - 1] for e in ends], pa.int32())), joined(pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())),
-                ],
-                ["row", "doc_id", "line", "id", "part", "blob"],
-            )
-
-    def meet(batches):
-        blobs = [unpack(x) for batch in batches for x in batch.column("blob").to_pylist()]
-        for a, b in candidates(*map(np.concatenate, zip(*blobs)), num, den) if blobs else ():
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["id", "id2"])
-
-    made = rows.mapInArrow(run, f"row bigint, doc_id {kind}, line int, id bigint, part int, blob binary").persist(StorageLevel.DISK_ONLY)
-    pairs = cut(made.filter("part is not null").select("part", "blob").repartition(parts, "part").mapInArrow(meet, "id bigint, id2 bigint").distinct())
-    all_lines = made.filter("part is null").drop("part", "blob").persist(StorageLevel.DISK_ONLY)
-    firsts = cut(all_lines.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "line")).alias("first")))
-    made.unpersist()
-
-    wanted = pairs.select("id").union(pairs.select("id2")).distinct().join(firsts, "id").groupBy("first.row").agg(F.collect_list("first.line").alias("lines"))
-    wanted = cut(wanted)
-    if wanted.count() <= most_broadcast:
-        wanted = F.broadcast(wanted)
-
-    def contents(batches):
-        for batch in pieces(batches, 2_000_000):
-            at, found = [], []
-            for i, (text, numbers) in enumerate(zip(as_bytes(batch.column("text")), batch.column("lines").to_pylist())):
-                lines = text.lower().split(b"\n")
-                at += [i] * len(numbers)
-                found += [b" ".join(sorted(set(lines[j].split()))) for j in numbers]
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at, pa.int64())), pa.array([j for x in batch.column("lines").to_pylist() for j in x], pa.int32()), pa.array(found, pa.binary())], ["row", "line", "tokens"])
-
-    def verify(batches):
-        for batch in batches:
-            sets = [[set(x.split(b" ")) for x in batch.column(c).to_pylist()] for c in ("tokens", "tokens2")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("id2")], ["a", "b"]).filter(pa.array([(num + den) * len(x & y) >= num * (len(x) + len(y)) for x, y in zip(*sets)], pa.bool_()))
-
-    texts = rows.join(wanted, "row").select("row", "text", "lines").mapInArrow(contents, "row bigint, line int, tokens binary")
-    content = cut(texts.join(firsts.select("id", "first.row", "first.line"), ["row", "line"]).select("id", "tokens"))
-    both = pairs.join(content, "id").join(content.select(F.col("id").alias("id2"), F.col("tokens").alias("tokens2")), "id2")
-    links = both.mapInArrow(verify, "a bigint, b bigint")
-    return all_lines, firsts, cut(links)
-
-
-def judged(docs: DataFrame, num: int = 4, den: int = 5, ranked: int = 200_000, frequent: int = 1000, most_broadcast: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line with a word: row, doc_id, line, class_doc_id, class_line, n_links, removed."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    all_lines, firsts, links = classes(rows, num, den, ranked, frequent, most_broadcast)
-    ends = links.union(links.select("b", "a")).toDF("id", "other")
-    linked = (
-        ends.join(firsts.select("id", F.col("first").alias("own")), "id").join(firsts.select(F.col("id").alias("other"), F.col("first").alias("its")), "other")
-        .groupBy("id").agg(F.count("*").alias("n_links"), F.max(F.col("its") < F.col("own")).alias("later"))
-    )
-    known = firsts.join(linked, "id", "left")
-    is_first = (F.col("row") == F.col("first.row")) & (F.col("line") == F.col("first.line"))
-    out = all_lines.select("row", "doc_id", "line", "id").join(known, "id").select(
-        "row", "doc_id", "line", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line").alias("class_line"),
+    spark, rows = docs.sparkSession, placed_rows(docs, id_col, text_col)
+    levels, all_lines = set_join.levels(rows, set_join.lines)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "unit")
+    firsts = cut(all_lines.groupBy("h1", "h2").agg(F.min(place).alias("first")))
+    n = firsts.count()
+    parts, side = set_join.sizes(spark, n, 10 * n)
+    found = cut(set_join.candidate_blocks(set_join.dealt_keys(rows, set_join.lines, levels, parts, num, den, frequent), side, num, den))
+    needs = found.filter("blob is null").select("block", "h1", "h2").distinct()
+    content = set_join.contents(rows, set_join.lines, needs, firsts.select("h1", "h2", "first.row", "first.unit"), most_broadcast)
+    parts_of = set_join.verified(content, found.filter("blob is not null").select("block", "blob"), side, num, den, counts=True)
+    linked = parts_of.groupBy("h1", "h2").agg(F.sum("n_links").alias("n_links"), F.max("later").alias("later"))
+    known = cut(firsts.join(linked, ["h1", "h2"], "left"))
+    is_first = (F.col("row") == F.col("first.row")) & (F.col("unit") == F.col("first.unit"))
+    return all_lines.select("row", "doc_id", "unit", "h1", "h2").join(known, ["h1", "h2"]).select(
+        "row", "doc_id", F.col("unit").alias("line"), F.col("first.doc_id").alias("class_doc_id"), F.col("first.unit").alias("class_line"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), (~is_first | F.coalesce("later", F.lit(False))).alias("removed"),
     )
-    return out
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
@@ -260,14 +54,16 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the removed lines, in the same columns.  ``docs`` must read the same twice, as files do."""
-    gone = judged(docs, **options).filter("removed").groupBy("row").agg(F.collect_list("line").alias("_gone"))
-    gone = cut(gone.withColumnRenamed("row", "_row"))
-    if gone.agg(F.coalesce(F.sum(F.size("_gone") + 8), F.lit(0))).first()[0] <= options.get("most_broadcast", 500_000) * 8:  # counts both documents and lines
+    """``docs`` without the removed lines, in the same columns."""
+    id_col, text_col, most = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("most_broadcast", 16_000_000)
+    gone = cut(judged(docs, **options).filter("removed").groupBy("row").agg(F.collect_list("line").alias("gone")))
+    if gone.agg(F.coalesce(F.sum(F.size("gone") * 4 + 48), F.lit(0))).first()[0] <= most:
         gone = F.broadcast(gone)  # else the texts are shuffled
-    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    joined = fields_of(docs).join(gone, "row", "left")
+    text = F.col(f"fields.`{text_col}`")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = {c: F.col(f"fields.`{c}`") for c in docs.columns}
+    out[text_col] = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    if "n_chars" in out and id_col != "n_chars":
+        out["n_chars"] = F.when(F.col("gone").isNull(), out["n_chars"]).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))
+    return joined.select(F.struct(*(c.alias(name) for name, c in out.items())).alias("out")).select("out.*")  # a struct: names of the table do not shadow ours

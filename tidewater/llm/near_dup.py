@@ -2,166 +2,89 @@
 
 A document is the set of its shingles, known by 64-bit digests.  Two documents are linked where the Jaccard similarity of
 their sets is at least num/den, and one document of each connected group stays.  Equal sets form one class, and only
-classes are joined.  Digests in ascending order are the global order, so two similar sets must share a digest within the first
-k - ceil(k * num / den) + 1 of their k digests (prefix filter), and share many of those: all but few of either set must be in
-the other (count filter).  Digests that one class alone has are left out as soon as they meet.
+classes are joined (``set_join``: prefix, length and position, then verification on whole sets).  Two similar sets share many
+digests of their prefixes: all but few of the set whose prefix ends first must be in the other (count filter).
 
-A first round verifies few pairs: fingerprints within two bits of each other, and each class with the first and the last
-one it shares digests with.  The second round verifies every pair that passes the length and count filters and is not yet
-in one group, so no pair at the similarity is missed, and a large group of copies does not cost its square in comparisons.
+A first round verifies few pairs: fingerprints within two bits of each other, and each class with the smallest and the largest
+one it shares a key with.  The second round verifies every pair that passes the filters and is not yet in one group, so no pair
+at the similarity is missed, and a large group of copies does not cost its square in comparisons.
 
-Defined results: null text is empty, and all texts without words are one class; with fewer words than a shingle the whole
-sequence is the only shingle; rows without an id come after all others; an empty table gives an empty result; extra columns are kept.
+Defined results: null text is empty; texts without words are one class; with fewer words than a shingle the whole
+sequence is the only shingle; rows without an id come after all others; an empty table gives an empty result; extra columns are kept
+whatever their names.  Rows are told apart by their place in the input, so ``docs`` must be a table that reads the same each time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import as_bytes, cut, pieces
+from . import set_join
+from ._text import cut, fields_of, placed_rows
 from .components import components
-from .line_dedup import PAIRS_AT_ONCE, pack, spread, unpack
-from .simhash import fold, links, shingle_hashes
-
-CHARS_A_PART = 30_000_000  # about a million keys: what one task sorts
-GOLDEN, MIXED = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-MET = "key bigint, id bigint, size bigint"
-PAIRS = "id bigint, id2 bigint, n bigint, size bigint, size2 bigint"
-
-
-def class_of(s: np.ndarray) -> int:
-    """The digest of a set, as a signed long."""
-    mixed = s * GOLDEN
-    mixed ^= mixed >> np.uint64(29)
-    return int((np.sum(mixed * MIXED, dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64))
-
-
-def shared_keys(key: np.ndarray, ident: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """The rows, in order and each once, whose key more than one set has."""
-    order = np.lexsort((ident, key))
-    key, ident, size = key[order], ident[order], size[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-    key, ident, size = key[new], ident[new], size[new]
-    same = key[1:] == key[:-1]
-    held = np.append(same, False) | np.append(False, same)
-    return [x[held] for x in (key, ident, size)]
-
-
-def open_pairs(key: np.ndarray, ident: np.ndarray, size: np.ndarray, group: np.ndarray, num: int, den: int):
-    """Pairs of different groups that pass the length filter, with how many keys they share and their sizes, for a bounded
-    number of rows at a time."""
-    order = np.lexsort((ident, key))
-    key, ident, size, group = (x[order] for x in (key, ident, size, group))
-    after = np.searchsorted(key, key, side="right") - np.arange(len(key)) - 1
-    upto, i = np.cumsum(after), 0
-    while i < len(key):
-        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS_AT_ONCE, side="right")))
-        b, a, _ = spread(np.arange(i + 1, j + 1), after[i:j], np.arange(i, j))
-        ok = (group[a] != group[b]) & (den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b]))
-        a, b = a[ok], b[ok]
-        both, at, n = np.unique(np.stack([ident[a], ident[b]], axis=1), axis=0, return_index=True, return_counts=True)
-        yield both[:, 0].copy(), both[:, 1].copy(), n, size[a[at]], size[b[at]]
-        i = j
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, seed: int = 42) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id, and of rows that repeat it the first.
-
-    Rows are told apart by their place in the input, so ``docs`` must be a table that reads the same twice, as files do.
-    """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    spark = docs.sparkSession
-    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // CHARS_A_PART)
-
-    def run(batches):
-        for batch in pieces(batches, 2_000_000):
-            fps, ids, keys = [], [], {}
-            for text in as_bytes(batch.column("text")):
-                h = shingle_hashes(text, shingle, seed)
-                s = np.unique(h)
-                fps.append(fold(h))
-                ids.append(class_of(s))
-                if len(s) * den >= num * (len(s) + 1):  # smaller sets have equal partners only
-                    keys[ids[-1]] = (s[: len(s) - -(-len(s) * num // den) + 1].view(np.int64), len(s))
-            n, blobs, at = len(ids), [], []
-            if keys:
-                count = np.array([len(k) for k, _ in keys.values()])
-                key, size = np.concatenate([k for k, _ in keys.values()]), np.repeat([x for _, x in keys.values()], count)
-                ident = np.repeat(np.array(list(keys), np.int64), count)
-                part = (key.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-                by = np.argsort(part, kind="stable")
-                key, ident, size, part = (x[by] for x in (key, ident, size, part))
-                ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
-                blobs = [pack(key[i:j], ident[i:j], size[i:j], size[i:j]) for i, j in zip([0, *ends], ends)]
-                at = [int(part[e - 1]) for e in ends]
-            k = len(blobs)
-            joined = lambda x, y: pa.concat_arrays([x, y])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(joined(batch.column(c), pa.nulls(k, batch.column(c).type)) for c in ("row", "doc_id")),
-                    joined(pa.array(ids, pa.int64()), pa.nulls(k, pa.int64())), joined(pa.array(np.array(fps, np.uint64).view(np.int64)), pa.nulls(k, pa.int64())),
-                    joined(pa.nulls(n, pa.int32()), pa.array(at, pa.int32())), joined(pa.nulls(n, pa.binary()), pa.array(blobs, pa.binary())),
-                ],
-                ["row", "doc_id", "id", "fp", "part", "blob"],
-            )
-
-    def meet(batches):
-        blobs = [unpack(x)[:3] for batch in batches for x in batch.column("blob").to_pylist()]
-        if blobs:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in shared_keys(*map(np.concatenate, zip(*blobs)))], ["key", "id", "size"])
-
-    def cross(batches):
-        columns = [[batch.column(c).to_numpy() for c in ("key", "id", "size", "component")] for batch in batches]
-        for found in open_pairs(*map(np.concatenate, zip(*columns)), num, den) if columns else ():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["id", "id2", "n", "size", "size2"])
-
-    def verify(batches):
-        for batch in batches:
-            similar = []
-            for x, y in zip(as_bytes(batch.column("text")), as_bytes(batch.column("text2"))):
-                a, b = (np.unique(shingle_hashes(t, shingle, seed)) for t in (x, y))
-                similar.append((num + den) * len(np.intersect1d(a, b, assume_unique=True)) >= num * (len(a) + len(b)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("id2")], ["u", "v"]).filter(pa.array(similar, pa.bool_()))
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = placed.select(F.col("_row").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = rows.mapInArrow(run, f"row bigint, doc_id {kind}, id bigint, fp bigint, part int, blob binary").persist(StorageLevel.DISK_ONLY)
-    named = cut(made.filter("part is null").select("id", "fp", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row").alias("place")))
-    met = cut(made.filter("part is not null").select("part", "blob").repartition(parts, "part").mapInArrow(meet, MET))
-    made.unpersist()
-    firsts = cut(named.groupBy("id").agg(F.min("place").alias("first"), F.first("fp").alias("fp")))
+from .simhash import fold, links
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, most_broadcast: int = 16_000_000) -> DataFrame:
+    """``docs`` with one document of each group: the one with the smallest doc_id, and of rows that repeat it the first."""
+    spark, rows = docs.sparkSession, placed_rows(docs)
+    units = set_join.shingles(shingle)
+
+    def fingerprints(_, text: np.ndarray, sets: set_join.Sets) -> dict[str, pa.Array]:
+        fps = [fold(sets.digest[i : i + n]) for i, n in zip(sets.start, sets.size)]
+        return {"fp": pa.array(np.array(fps, np.uint64).view(np.int64))}
+
+    levels, worded = set_join.levels(rows, units, fingerprints, {"fp": "bigint"})
+    blank = rows.filter(~F.col("text").rlike("[^ \\t-\\r]")).select("row", "doc_id", F.lit(0).alias("unit"), *(F.lit(0).cast("bigint").alias(c) for c in ("h1", "h2", "fp")))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    named = cut(worded.union(blank).select("h1", "h2", "fp", place.alias("place")))
+    firsts = cut(named.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("fp").alias("fp")))
+    found = firsts.select("h1", "h2", "fp", F.col("first.row").alias("row"))
+    words = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 6
+    parts, side = set_join.sizes(spark, firsts.count(), words // 4)
+    met = cut(set_join.shared_keys(set_join.dealt_keys(rows, units, levels, parts, num, den, 1 << 40)))  # no pairs of keys: all shared keys count
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.filter("id <> id2").select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct())
-        wanted = pairs.select("id").union(pairs.select("id2")).distinct().join(firsts, "id").select("id", F.col("first.row").alias("row"))
-        content = cut(rows.join(wanted, "row").select("id", "text"))
-        both = pairs.join(content, "id").join(content.select(F.col("id").alias("id2"), F.col("text").alias("text2")), "id2")
-        return cut(both.mapInArrow(verify, "u bigint, v bigint"))
+        """Links (u, v), by the rows of both, among the pairs (h1, h2, g1, g2)."""
+        block: Column = F.pmod(F.col("h1"), F.lit(side)) * side + F.pmod(F.col("g1"), F.lit(side))
+        swap = F.struct("h1", "h2") > F.struct("g1", "g2")
+        pairs = pairs.select(*(F.when(swap, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("g1", "h1", "h1"), ("g2", "h2", "h2"), ("h1", "g1", "g1"), ("h2", "g2", "g2"))))
+        pairs = cut(pairs.distinct().withColumn("block", block.cast("int")))
+        needs = pairs.select("block", "h1", "h2").union(pairs.select("block", "g1", "g2")).distinct()
+        content = set_join.contents(rows, units, needs, found.select("h1", "h2", "row", F.lit(0).alias("unit")), most_broadcast)
+        return cut(set_join.verified(content, pairs, side, num, den, counts=False))
 
     # of the set that ends first within the prefixes, all but size - overlap must be shared; one less, as two keys of 40 bits may fall together
     enough = f"n >= ceil({num} * (size + size2) / {num + den}) - ceil(greatest(size, size2) * {num} / {den})"
-    hubs = firsts.groupBy("fp").agg(F.min("id").alias("hub"))
-    bits = links(firsts)
-    ends = met.groupBy("key").agg(F.array(F.min(F.struct("id", "size")), F.max(F.struct("id", "size"))).alias("ends"))
-    stars = met.join(ends, "key").select("id", "size", F.explode("ends").alias("end")).select("id", F.col("end.id").alias("id2"), "size", F.col("end.size").alias("size2")).filter("id <> id2")
-    near = (
-        firsts.join(hubs, "fp").select("id", F.col("hub").alias("id2"))
-        .union(bits.join(hubs.toDF("u", "id"), "u").join(hubs.toDF("v", "id2"), "v").select("id", "id2"))
-        .union(stars.groupBy("id", "id2", "size", "size2").agg(F.count("*").alias("n")).filter(enough).select("id", "id2"))
-    )
+    near = fingerprint_pairs(found).union(star_pairs(met).filter(enough).select("h1", "h2", "g1", "g2"))
     some = verified(near)
-    group = components(some).withColumnRenamed("node", "id")
-    split = met.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    group = components(some).withColumnRenamed("node", "row")
+    of_class = found.join(group, "row", "left").select("h1", "h2", F.coalesce("component", "row").alias("component"))
+    split = met.join(of_class, ["h1", "h2"])
     mixed = split.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    rest = split.join(mixed, "key").repartition(parts, "key").mapInArrow(cross, PAIRS)
-    rest = rest.groupBy("id", "id2", "size", "size2").agg(F.sum("n").alias("n")).filter(enough)
-    group = components(some.union(verified(rest))).withColumnRenamed("node", "id")
-    grouped = named.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    gone = grouped.join(grouped.groupBy("component").agg(F.min("place").alias("stays")), "component").filter("place.row <> stays.row").select(F.col("place.row").alias("_row"))
-    return placed.join(gone, "_row", "left_anti").select(*docs.columns)
+    rest = set_join.open_pairs(split.join(mixed, "key"), parts, num, den).groupBy("h1", "h2", "g1", "g2", "size", "size2").agg(F.sum("n").alias("n")).filter(enough)
+    group = components(some.union(verified(rest.select("h1", "h2", "g1", "g2")))).withColumnRenamed("node", "row")
+    of_class = found.join(group, "row", "left").select("h1", "h2", F.coalesce("component", "row").alias("component"))
+    grouped = cut(named.join(of_class, ["h1", "h2"]))
+    stays = grouped.groupBy("component").agg(F.min("place").alias("stays"))
+    gone = grouped.join(stays, "component").filter("place.row <> stays.row").select(F.col("place.row").alias("row"))
+    return fields_of(docs).join(gone, "row", "left_anti").select("fields.*")
+
+
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (h1, h2, g1, g2) that connect all ``classes`` (h1, h2, fp) of one fingerprint, and of fingerprints within two bits."""
+    worded = classes.filter("h1 <> 0 or h2 <> 0")
+    hubs = worded.groupBy("fp").agg(F.min(F.struct("h1", "h2")).alias("hub"))
+    same = worded.join(hubs, "fp").filter(F.struct("h1", "h2") != F.col("hub")).select("h1", "h2", "hub.h1", "hub.h2")
+    close = links(worded).join(hubs.toDF("u", "x"), "u").join(hubs.toDF("v", "y"), "v").select("x.h1", "x.h2", "y.h1", "y.h2")
+    return same.union(close).toDF("h1", "h2", "g1", "g2")
+
+
+def star_pairs(met: DataFrame) -> DataFrame:
+    """Each class with the smallest and the largest class that it shares a key with, and how many keys those share."""
+    who = F.struct("size", "h1", "h2")
+    ends = met.groupBy("key").agg(F.array(F.min(who), F.max(who)).alias("ends"))
+    pairs = met.join(ends, "key").select("h1", "h2", "size", F.explode("ends").alias("end")).select("h1", "h2", F.col("end.h1").alias("g1"), F.col("end.h2").alias("g2"), "size", F.col("end.size").alias("size2"))
+    return pairs.filter("h1 <> g1 or h2 <> g2").groupBy("h1", "h2", "g1", "g2", "size", "size2").agg(F.count("*").alias("n"))
