@@ -57,7 +57,7 @@ def test_transducer_equals_library_on_random_bytes(library):
 
 def test_packing(spark, library):
     capacity = 64
-    got = packing.pack(frame(spark), BPE, capacity=capacity, buckets=4).toPandas()
+    got = packing.pack(frame(spark), BPE, capacity=capacity, bucket_rows=4).toPandas()
     sizes = collections.Counter()
     for i, t in TEXTS:
         ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
@@ -377,8 +377,9 @@ def test_license_scan_knows_published_texts(spark):
 def test_url_filter(spark):
     urls = [(1, "http://a.example.com/en/7x?q=1"), (2, "https://EXAMPLE.com/en/8"), (3, "http://shop.net/de/1#x"), (4, "http://example.net/de/8/9"), (5, "http://notorg/es/"), (6, None), (7, "no scheme com/en/"), (8, "http://x.org"), (9, "ftp://b.org/es/?"), (9, "ftp://b.org/es/?"), (None, "http://com/en/")]
     rules = spark.createDataFrame([("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")], "verdict string, host string, path string")
-    pages = spark.createDataFrame([(i, u, "clash") for i, u in urls], "page_id bigint, url string, digest string")
-    got = rows(url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict"))
+    names = ["digest", "won", "rule", "verdict", "host", "path", "start", "fields"]  # all clash with the operator's own
+    pages = spark.createDataFrame([(i, u, *names) for i, u in urls], f"page_id bigint, url string, {', '.join(f'{n} string' for n in names)}")
+    got = rows(url_filter.judge(pages, rules).select("fields.page_id", "host", "path", "rule", "verdict"))
     assert got == sorted([(1, "a.example.com", "/en/7x", "example.com/en/7", "allow"), (2, "example.com", "/en/8", "com/en/", "block"), (3, "shop.net", "/de/1", "net/de/", "block"), (4, "example.net", "/de/8/9", "example.net/de/8", "block"), (5, "notorg", "/es/", None, "allow"), (6, "", "", None, "allow"), (7, "", "", None, "allow"), (8, "x.org", "", None, "allow"), (9, "b.org", "/es/", "org/es/", "block"), (9, "b.org", "/es/", "org/es/", "block"), (None, "com", "/en/", "com/en/", "block")], key=str)
     assert rows(url_filter.judge(pages.limit(0), rules)) == []
     assert url_filter.judge(pages, rules.limit(0)).filter("rule is not null").count() == 0

@@ -7,7 +7,8 @@ still fits, then its smallest piece gives way to two unpacked pieces that fill t
 repeated for as many pieces as there are.  Each bin kind uses up a length or nearly so, so the plan is short.
 
 Pieces then take their places: a piece's rank among those of its length, found with one counter per (length,
-bucket), picks its bin and offset in the plan.  No group is ever gathered in one task.
+bucket), picks its bin and offset in the plan.  Buckets grow in number with the pieces, so no group is ever gathered in one task;
+only rows that repeat an id with one and the same text share a bucket however many they are.
 
 Defined results: null text is empty and gives one piece with the end token alone; repeated rows are packed once
 each; an empty table gives an empty result; extra columns are left out.
@@ -48,6 +49,10 @@ class Encoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         letters = byte_letters()
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+        by_id = [t for t, i in sorted(spec["model"]["vocab"].items(), key=lambda x: x[1]) if t not in self.special]
+        if by_id[len(by_id) - len(merges) :] != [a + b for a, b in merges]:
+            raise ValueError("the vocabulary is not numbered in the order of its merges, so single words cannot be looked up by rank")
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # at a line's start, after a space
@@ -180,15 +185,17 @@ def places(bins: list[tuple[list[int], int]]) -> np.ndarray:
     return np.array(sorted(runs), np.int64).reshape(-1, 4)
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, bucket_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    made = cut(tokenised(df, tokenizer, capacity, end_id, id_col, text_col)).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    made = cut(tokenised(df, tokenizer, capacity, end_id, id_col, text_col))
+    buckets = made.count() // bucket_rows + 1  # even if all pieces had one length, a bucket would hold about ``bucket_rows``
+    made = made.withColumn("bucket", F.pmod(F.xxhash64(*made.columns), F.lit(buckets)))  # rows that are alike in all of them keep no order
     counts = made.groupBy("length", "bucket").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``capacity`` rows
     runs = places(plan(histogram, capacity))
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).select("length", "bucket", "before")
     ranked = (
-        made.withColumn("within", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
+        made.withColumn("within", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
         .join(before, ["length", "bucket"])
         .withColumn("rank", F.col("before") + F.col("within")).drop("before", "within", "bucket")
     )

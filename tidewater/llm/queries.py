@@ -31,7 +31,7 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
-    return url_filter.judge(documents(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(documents(spark, sf_dir, "pages"), rules).select("fields.page_id", "host", "path", "rule", "verdict")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._text import as_bytes, cut, id_text, pieces
+from ._text import as_bytes, cut, fields_of, id_text, pieces, placed_rows
 from .components import components
 
 BLOCK = 1 << 15  # hashes whose bits are unpacked at a time
@@ -94,8 +94,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by their place in the input, so ``docs`` must be a table that reads the same twice, as
     files do.  A row without an id stays only if its whole group has none, and then the first.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    fps = cut(fingerprints(placed.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")), id_col="_key", **{k: v for k, v in options.items() if k != "half_radius"}))
+    rows = placed_rows(docs).select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row").alias("key"), "text")
+    fps = cut(fingerprints(rows, id_col="key", **{k: v for k, v in options.items() if k != "half_radius"}))
     named = groups(fps, options.get("half_radius", 1))
-    gone = named.filter("doc_id <> component_id").select("doc_id._row")
-    return placed.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = named.filter("doc_id <> component_id").select("doc_id.row")
+    return fields_of(docs).join(gone, "row", "left_anti").select("fields.*")

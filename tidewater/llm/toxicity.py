@@ -5,8 +5,8 @@ expected severity is the sum of grade * P(grade).  Features are a word (stripped
 its prefixes of 4, 5 and 6 characters; a feature's value is log(1 + its count).  Only features that toxic training
 documents carry clearly more often than others get a weight, so a clean document is usually all zeros.
 
-``fit`` uses at most ``max_rows`` labelled documents, chosen by a hash of their ids; feature counts are made by Spark,
-and the driver gets only the vectors over the chosen features.  Grades: 0 where the label is not toxic; toxic documents
+``fit`` uses at most ``max_rows`` rows of labelled documents, chosen by a hash of their ids; feature counts are made by Spark,
+and the driver gets only the vectors over the chosen features: the ``max_features`` with the best lift in that sample.  Grades: 0 where the label is not toxic; toxic documents
 get 1, 2 or 3 by thirds of their share of toxic words, since the label itself is binary.
 
 Defined results: null or empty text has no features and so the lowest severity; without a toxic and a clean
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import as_bytes, id_text, pieces
+from ._text import as_bytes, cut, id_text, pieces
 
 PREFIXES = (4, 5, 6)
 EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
@@ -59,10 +59,14 @@ def vector(text: bytes, index: Weights) -> tuple[Counter, int, int]:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``max_rows`` labelled documents.  The ids are few by that bound, so they are broadcast."""
+    """(doc_id, text, toxic) of at most ``max_rows`` rows of labelled documents, written once.
+
+    The ids are at most ``max_rows`` and so broadcast; of rows that repeat an id, the first by a hash of the text are taken.
+    """
     chosen = labels.select("doc_id", F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return id_text(docs).join(F.broadcast(chosen), "doc_id")
+    rows = id_text(docs).join(F.broadcast(chosen), "doc_id")
+    return cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 8000, least_docs: int = 4, least_ratio: float = 4.0, max_features: int = 4000, steps: int = 300) -> dict:
@@ -101,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
                 ["toxic", "at", "n", "share"],
             )
 
-    rows = sample.mapInArrow(vectors, "toxic int, at array<int>, n array<int>, share double").orderBy("share", "toxic", F.col("at").cast("string")).collect()
+    rows = sample.mapInArrow(vectors, "toxic int, at array<int>, n array<int>, share double").collect()  # at most ``max_rows``
+    rows.sort(key=lambda r: (r["share"], r["toxic"], r["at"], r["n"]))  # so that sums do not depend on the order of tasks
     owner = np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows])
     at = np.array([i for r in rows for i in r["at"]], np.int64)
     value = np.log1p(np.array([i for r in rows for i in r["n"]], float))
