@@ -96,10 +96,21 @@ def rank_turnover(features: DataFrame) -> DataFrame:
     return both.groupBy("feature", "date").agg(safe_corr("r", "r0").alias("c")).groupBy("feature").agg((1 - F.avg("c")).alias("turnover"))
 
 
-def quality(features: DataFrame, cells: int) -> DataFrame:
+def quality(features: DataFrame, grid: DataFrame) -> DataFrame:
     """(feature, nan_rate, flat_rate): share of the grid's cells without a value, share of dates without variance."""
     days = features.groupBy("feature", "date").agg(F.count("value").alias("n"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sd"))
-    return days.groupBy("feature").agg((1 - F.sum("n") / cells).alias("nan_rate"), F.avg((F.col("sd") == 0).cast("double")).alias("flat_rate"))
+    cells = grid.agg(F.count("*").alias("cells"))  # one row
+    return days.crossJoin(F.broadcast(cells)).groupBy("feature").agg((1 - F.sum("n") / F.first("cells")).alias("nan_rate"), F.avg((F.col("sd") == 0).cast("double")).alias("flat_rate"))
+
+
+def prune_quality(measured: DataFrame, most_missing: float = 0.7, most_flat: float = 0.5) -> DataFrame:
+    """Features of ``measured`` (feature, nan_rate, flat_rate) that have enough values and vary on enough dates."""
+    return measured.filter((F.col("nan_rate") <= most_missing) & (F.col("flat_rate") <= most_flat))
+
+
+def capped(scored: DataFrame, most: int, score: str = "ic_ir") -> DataFrame:
+    """The ``most`` features of largest absolute score; ties go to the name that comes first."""
+    return scored.orderBy(F.abs(score).desc(), "feature").limit(most)
 
 
 def rank_correlations(features: DataFrame, every: int = 10, least_names: int = 10) -> DataFrame:

@@ -127,12 +127,39 @@ def inverse_vol_sleeves(returns: DataFrame, n: int = 36) -> DataFrame:
     return proportional_weights(filled.withColumn("_inv", 1 / F.col("vol")), "_inv").select("date", "sleeve", "weight")
 
 
-def rolling_sharpe_sleeves(returns: DataFrame, n: int = 12, least: float = 0.0) -> DataFrame:
-    """(date, sleeve, weight) in proportion to trailing mean / deviation before the date; below ``least`` none, and cash where all fail."""
+def rolling_sharpe_sleeves(returns: DataFrame, n: int = 12, least: float = 0.0, per_year: int = 12, cash: str = "cash") -> DataFrame:
+    """(date, sleeve, weight) in proportion to trailing Sharpe ratios over the n dates before; those under ``least`` get nothing.
+
+    Equal weights with under three dates of history; a sleeve with under three returns or no variance scores 0; where none
+    reaches ``least`` all goes to cash, whether or not it is a sleeve itself; where all that do score 0, they share equally.
+    """
+    grid = returns.select("date").distinct().crossJoin(F.broadcast(returns.select("sleeve").distinct()))  # a few sleeves
     w = by_time("sleeve").rowsBetween(-n, -1)
-    s = F.when(F.count("ret").over(w) >= n, F.try_divide(F.avg("ret").over(w), F.nullif(F.stddev_samp("ret").over(w), F.lit(0.0))))
-    scored = returns.withColumn("_s", F.when(s > least, s).otherwise(0.0))
-    return scored.withColumn("weight", F.coalesce(share("_s", ["date"]), F.lit(0.0))).select("date", "sleeve", "weight")
+    day = Window.partitionBy("date")
+    spread = F.stddev_samp("ret").over(w)
+    s = F.when((F.count("ret").over(w) >= 3) & (spread > 0), F.avg("ret").over(w) / spread * F.sqrt(F.lit(float(per_year)))).otherwise(0.0)
+    x = grid.join(returns.select("date", "sleeve", "ret"), ["date", "sleeve"], "left").withColumns({"_rows": F.count(F.lit(1)).over(w), "_s": F.floor(s * 1e9 + 0.5) / 1e9})
+    ok = F.col("_s") >= least
+    x = x.withColumns({"_n": F.count(F.lit(1)).over(day), "_ok": F.sum(ok.cast("int")).over(day), "_total": F.sum(F.when(ok, F.greatest("_s", F.lit(0.0))).otherwise(0.0)).over(day)})
+    none = (F.col("_rows") >= 3) & (F.col("_ok") == 0)
+    shared = F.when(~ok, 0.0).when(F.col("_total") == 0, F.lit(1.0) / F.col("_ok")).otherwise(F.greatest("_s", F.lit(0.0)) / F.col("_total"))
+    weight = F.when(F.col("_rows") < 3, F.lit(1.0) / F.col("_n")).when(none, F.when(F.col("sleeve") == cash, 1.0).otherwise(0.0)).otherwise(shared)
+    out = x.select("date", "sleeve", weight.alias("weight"), none.alias("_none"))
+    parked = out.filter("_none").groupBy("date").agg(F.sum("weight").alias("w")).filter("w = 0").select("date", F.lit(cash).alias("sleeve"), F.lit(1.0).alias("weight"))
+    return out.select("date", "sleeve", "weight").union(parked)
+
+
+def regime_budgets(books: DataFrame, flags: DataFrame, budget: dict[tuple[bool, bool], float], cash: str = "cash") -> DataFrame:
+    """(date, sleeve, weight): the budget of the date's (easing, calm), dealt equally to its ``books`` (date, sleeve); the rest is cash."""
+    easing, calm = (F.coalesce(x, F.lit(False)) for x in ("easing", "calm"))
+    equity = F.lit(budget[False, False])
+    for (e, k), share_ in budget.items():
+        equity = F.when((easing == e) & (calm == k), share_).otherwise(equity)
+    days = flags.select("date", equity.alias("equity"))
+    held = books.select("date", "sleeve").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date"))).join(days, "date").filter("equity > 0").select("date", "sleeve", (F.col("equity") / F.col("n")).alias("weight"))
+    alive = books.select("date").distinct().withColumn("alive", F.lit(True))
+    rest = days.join(alive, "date", "left").select("date", F.lit(cash).alias("sleeve"), F.when(F.col("alive"), 1 - F.col("equity")).otherwise(1.0).alias("weight"))
+    return held.union(rest)
 
 
 def portfolio_returns(weights: DataFrame, returns: DataFrame, lag_periods: int = 1, key: str = "ticker") -> DataFrame:

@@ -37,10 +37,10 @@ def panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     return dense.withColumn("ret", half_up(pct_change("close", 1, by_time()), 9))
 
 
-def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date, level, mret, rate): the whole market's unit price, its return, and a weekly risk-free rate.  One row a week."""
-    weekly = table(spark, sf_dir, "lineitem").filter("l_quantity > 0").groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date")).agg(
-        (money() / F.sum("l_quantity")).alias("level"), (F.sum(F.floor(F.col("l_tax") * 100 + 0.5)) / 100 / F.count("l_tax") / 52).alias("rate")
+def market(spark: SparkSession, sf_dir: str, unit: str = "week", per_year: int = 52) -> DataFrame:
+    """(date, level, mret, rate): the whole market's unit price, its return, and the period's risk-free rate.  One row a week, or a day."""
+    weekly = table(spark, sf_dir, "lineitem").filter("l_quantity > 0").groupBy(F.to_date(F.date_trunc(unit, "l_shipdate")).alias("date")).agg(
+        (money() / F.sum("l_quantity")).alias("level"), (F.sum(F.floor(F.col("l_tax") * 100 + 0.5)) / 100 / F.count("l_tax") / per_year).alias("rate")
     )
     return weekly.withColumn("mret", half_up(F.try_divide(F.col("level"), F.lag("level").over(Window.orderBy("date"))) - 1, 9))
 

@@ -52,8 +52,6 @@ SELECT date, ticker, round(1.0 / count(*) OVER (PARTITION BY date), 6) AS weight
 
 # The composed value portfolios as (signal, eligibility, larger is better).
 VALUE_BOOKS = {
-    "low_pe": ("pe", "coalesce(adtv >= 100000, false)", False),
-    "value_quality": ("pe", "coalesce(adtv >= 100000, false) AND coalesce(roe > 0.5, false) AND coalesce(pb < 100, false)", False),
     "top_market_cap": ("cap", "coalesce(adtv >= 100000, false)", True),
     "quality_momentum": ("dist", "coalesce(net_income > 0, false) AND coalesce(equity > 0, false)", True),
 }
@@ -63,16 +61,20 @@ for _name, (_signal, _eligible, _down) in VALUE_BOOKS.items():
     )
 
 
-@query("two_leg_value", f"""WITH {VALUE}, legs AS (SELECT date, ticker, 'yield' AS leg, 1 / pe AS s FROM val WHERE pe IS NOT NULL UNION ALL SELECT date, ticker, 'book', -(pe + pb) FROM val WHERE pe IS NOT NULL AND pb IS NOT NULL),
-r AS (SELECT date, ticker, leg, row_number() OVER (PARTITION BY date, leg ORDER BY round(s, 9) DESC, ticker) AS place, count(*) OVER (PARTITION BY date, leg) AS n FROM legs), b AS (SELECT date, ticker, max(round(1 - (place - 1.0) / n, 9)) AS cheap FROM r GROUP BY 1, 2),
-o AS (SELECT b.date, b.ticker, cheap, row_number() OVER (PARTITION BY b.date ORDER BY cheap DESC, b.ticker) AS place FROM b JOIN val v ON v.date = b.date AND v.ticker = b.ticker WHERE coalesce(roe > 0, false)) SELECT date, ticker, place, round(cheap, 6) AS cheap FROM o WHERE place <= 20""")
+LEGS = f"""{VALUE}, legs AS (SELECT date, ticker, 'yield' AS leg, round(1 / pe, 9) AS s FROM val WHERE pe IS NOT NULL AND root % 5 <> 0 UNION ALL SELECT date, ticker, 'book', round(-(pe + pb), 9) FROM val WHERE pe IS NOT NULL AND pb IS NOT NULL AND root % 5 = 0),
+b AS (SELECT date, ticker, round({pct_rank('s', 'date, leg')}, 9) AS cheap FROM legs)"""
+
+
+@query("two_leg_value", f"""WITH {LEGS}, o AS (SELECT b.date, b.ticker, cheap, row_number() OVER (PARTITION BY b.date ORDER BY cheap DESC, b.ticker) AS place FROM b JOIN val v ON v.date = b.date AND v.ticker = b.ticker WHERE roe > 0 AND pe <= 20) SELECT date, ticker, place, round(cheap, 6) AS cheap FROM o WHERE place <= 20""")
 def two_leg_value(spark, sf):
+    """Two disjoint legs, each ranked within itself: earnings yield, and for financial companies (the given tables have no such mark: every fifth
+    company stands for one) price to earnings plus price to book.  The cheapest clean names of both fill twenty places; that a pool is
+    looked through before the rest changes nothing, as both are taken in one order."""
     v = value(spark, sf).filter("pe is not null")
-    legs = v.select("date", "ticker", F.lit("yield").alias("leg"), half_up(1 / F.col("pe"), 9).alias("s")).union(v.filter("pb is not null").select("date", "ticker", F.lit("book"), half_up(-(F.col("pe") + F.col("pb")), 9)))
-    w = Window.partitionBy("date", "leg")
-    ranked = legs.withColumn("cheap", half_up(1 - (F.row_number().over(w.orderBy(F.desc("s"), "ticker")) - 1.0) / F.count("*").over(w), 9))
-    best = ranked.groupBy("date", "ticker").agg(F.max("cheap").alias("cheap"))
-    clean = best.join(v.filter("roe > 0").select("date", "ticker"), ["date", "ticker"])
+    financial = F.col("root") % 5 == 0
+    legs = v.filter(~financial).select("date", "ticker", F.lit("yield").alias("leg"), half_up(1 / F.col("pe"), 9).alias("s")).union(v.filter(financial & F.col("pb").isNotNull()).select("date", "ticker", F.lit("book"), half_up(-(F.col("pe") + F.col("pb")), 9)))
+    ranked = legs.withColumn("cheap", half_up(c.pct_rank("s", ["date", "leg"]), 9))
+    clean = ranked.join(v.filter("roe > 0 and pe <= 20").select("date", "ticker"), ["date", "ticker"])
     return portfolio.top(clean, "cheap", n=20).select("date", "ticker", "place", half_up("cheap").alias("cheap"))
 
 
@@ -132,27 +134,43 @@ def dividend_score(spark, sf):
 
 
 @query("mean_reversion_composite", f"""WITH {SIGNALS}, z AS (SELECT *, -mom AS fall FROM signals), r AS (SELECT date, ticker, ({pct_rank('fall', 'date')} + {pct_rank('reversion', 'date')} + {pct_rank('low_vol', 'date')} + {pct_rank('win', 'date')}) / 4 AS score FROM z),
-g AS (SELECT date, coalesce(lag(rate) OVER o > lag(rate, 4) OVER o, false) AS rising, coalesce(lag(level) OVER o < 0.8 * max(level) OVER (ORDER BY date ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING), false) AS fallen FROM market WINDOW o AS (ORDER BY date))
-SELECT r.date, ticker, round(score, 6) AS score, CASE WHEN rising AND fallen THEN 0 ELSE 1 END AS open FROM r JOIN g USING (date)""")
+g0 AS (SELECT date, CASE WHEN count(rate) OVER (ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) >= 13 THEN sum(CAST(floor(rate * 1e12 + 0.5) AS BIGINT)) OVER (ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) END AS paid, round(CASE WHEN count(mret) OVER (ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) >= 13 THEN stddev_samp(mret) OVER (ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) END, 9) AS vol FROM market),
+g1 AS (SELECT x.date, CASE WHEN count(y.vol) >= 52 AND any_value(x.vol) IS NOT NULL THEN sum(CASE WHEN x.vol >= y.vol THEN 1 ELSE 0 END) / count(y.vol) END AS place FROM g0 x JOIN g0 y ON y.date <= x.date GROUP BY 1),
+g AS (SELECT date, coalesce(NOT (paid > lag(paid, 4) OVER o OR lag(place) OVER o > 0.7), false) AS open FROM g0 JOIN g1 USING (date) WINDOW o AS (ORDER BY date))
+SELECT r.date, ticker, round(score, 6) AS score, CASE WHEN open THEN 1 ELSE 0 END AS open FROM r JOIN g USING (date)""")
 def mean_reversion_composite(spark, sf):
-    """Mean of four ranks, and whether the risk gate is open: not with rates rising and the market a fifth under its yearly high."""
+    """Mean of four ranks, and whether the risk gate is open: shut if a quarter's rates rise or volatility is in the upper part of its history, or either is unknown."""
     o = Window.orderBy("date")  # one row a week
-    gate = a.market(spark, sf).select("date", (c.flag(F.lag("rate").over(o) > F.lag("rate", 4).over(o)) * c.flag(F.lag("level").over(o) < 0.8 * F.max("level").over(o.rowsBetween(-52, -1)))).alias("shut"))
+    quarter = o.rowsBetween(-12, 0)
+    g = a.market(spark, sf).select(
+        "date", F.when(F.count("rate").over(quarter) >= 13, F.sum(F.floor(F.col("rate") * 1e12 + 0.5)).over(quarter)).alias("paid"), half_up(F.when(F.count("mret").over(quarter) >= 13, F.stddev_samp("mret").over(quarter)), 9).alias("vol")
+    )
+    earlier = g.select(F.col("date").alias("then"), F.col("vol").alias("other"))
+    place = g.join(F.broadcast(earlier), F.col("then") <= F.col("date")).groupBy("date").agg(F.when((F.count("other") >= 52) & F.max("vol").isNotNull(), F.sum(c.flag(F.col("vol") >= F.col("other"))) / F.count("other")).alias("place"))  # weeks against weeks
+    g = g.join(place, "date")
+    gate = g.select("date", F.coalesce(~((F.col("paid") > F.lag("paid", 4).over(o)) | (F.lag("place").over(o) > 0.7)), F.lit(False)).cast("int").alias("open"))
     s = signals(spark, sf).withColumn("fall", -F.col("mom"))
     ranks = [c.pct_rank(k, ["date"]) for k in ("fall", "reversion", "low_vol", "win")]
     s = s.withColumn("score", (ranks[0] + ranks[1] + ranks[2] + ranks[3]) / 4)
-    return s.join(F.broadcast(gate), "date").select("date", "ticker", half_up("score").alias("score"), (1 - F.col("shut")).alias("open"))
+    return s.join(F.broadcast(gate), "date").select("date", "ticker", half_up("score").alias("score"), "open")
+
+
+# The sign that each feature's IC is expected to have.
+EXPECTED = {"mom13": 1, "mom4": 1, "vol13": -1, "drawdown26": 1, "volume4": 1, "range4": -1}
 
 
-@query("signal_guard", f"""WITH {IC}, s AS (SELECT feature, date, avg(ic) OVER (PARTITION BY feature ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY feature ORDER BY date) AS n FROM ic WHERE horizon = 13),
-q AS (SELECT feature, date, round(m, 9) AS m FROM s WHERE n % 13 = 0), f AS (SELECT *, CASE WHEN sign(m) <> sign(lag(m) OVER w) THEN 1 ELSE 0 END AS flip FROM q WINDOW w AS (PARTITION BY feature ORDER BY date)),
-d AS (SELECT *, CASE WHEN flip = 1 AND lag(flip) OVER w = 1 THEN 0 WHEN flip = 0 AND coalesce(lag(flip) OVER w, 0) = 0 THEN 1 END AS state FROM f WINDOW w AS (PARTITION BY feature ORDER BY date)),
-a AS (SELECT feature, date, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY feature ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS active FROM d) SELECT feature, date, active, round(CASE WHEN active = 1 THEN 1.0 / sum(active) OVER (PARTITION BY date) ELSE 0 END, 6) AS weight FROM a""")
+@query("signal_guard", f"""WITH {IC}, x AS (SELECT * FROM (VALUES {', '.join(map(repr, EXPECTED.items()))}) t(feature, expected)), s AS (SELECT feature, date, avg(ic) OVER (PARTITION BY feature ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW) AS m, row_number() OVER (PARTITION BY feature ORDER BY date) AS n FROM ic WHERE horizon = 13),
+q AS (SELECT feature, date, CASE WHEN round(m, 9) * expected < 0 THEN 1 ELSE 0 END AS against FROM s JOIN x USING (feature) WHERE n % 13 = 0),
+a AS (SELECT feature, date, CASE WHEN against = 1 AND lag(against) OVER (PARTITION BY feature ORDER BY date) = 1 THEN 0 ELSE 1 END AS active FROM q), w AS (SELECT *, sum(active) OVER d AS live, count(*) OVER d AS n FROM a WINDOW d AS (PARTITION BY date))
+SELECT feature, date, active, round(CASE WHEN live = 0 THEN 1.0 / n WHEN active = 1 THEN 1.0 / n + (n - live) * (1.0 / n) / live ELSE 0 END, 6) AS weight FROM w""")
 def signal_guard(spark, sf):
-    """Each quarter, a feature whose trailing IC changed sign twice running is switched off until two quarters without a change; weight goes to the others."""
-    w = c.by_time("feature")
-    s = ic(spark, sf).filter("horizon = 13").withColumn("m", half_up(F.avg("ic").over(c.frame(w, 52)), 9)).withColumn("n", F.row_number().over(w)).filter("n % 13 = 0")
-    s = s.withColumn("flip", c.flag(F.signum("m") != F.signum(F.lag("m").over(w)))).withColumn("before", F.lag("flip").over(w))
-    state = F.when((F.col("flip") == 1) & (F.col("before") == 1), 0).when((F.col("flip") == 0) & (F.coalesce("before", F.lit(0)) == 0), 1)
-    s = s.withColumn("state", state).withColumn("active", F.coalesce(F.last("state", ignorenulls=True).over(c.history(w)), F.lit(1)))
-    return s.select("feature", "date", "active", half_up(F.when(F.col("active") == 1, F.lit(1.0) / F.sum("active").over(Window.partitionBy("date"))).otherwise(0.0)).alias("weight"))
+    """Each quarter a feature's trailing IC is held against the sign expected of it: two checks against it running switch it off, the first that agrees
+    switches it on again.  Its weight is dealt to the others; if none is left all keep their own."""
+    w, day = c.by_time("feature"), Window.partitionBy("date")
+    expected = spark.createDataFrame(list(EXPECTED.items()), "feature string, expected int")
+    s = ic(spark, sf).filter("horizon = 13").withColumns({"m": half_up(F.avg("ic").over(c.frame(w, 52)), 9), "n": F.row_number().over(w)}).filter("n % 13 = 0").join(F.broadcast(expected), "feature")
+    s = s.withColumn("against", c.flag(F.col("m") * F.col("expected") < 0))
+    s = s.withColumn("active", F.when((F.col("against") == 1) & (F.lag("against").over(w) == 1), 0).otherwise(1)).withColumns({"live": F.sum("active").over(day), "k": F.count(F.lit(1)).over(day)})
+    own = 1.0 / F.col("k")
+    weight = F.when(F.col("live") == 0, own).when(F.col("active") == 1, own + (F.col("k") - F.col("live")) * own / F.col("live")).otherwise(0.0)
+    return s.select("feature", "date", "active", half_up(weight).alias("weight"))

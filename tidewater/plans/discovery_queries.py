@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
@@ -49,28 +50,30 @@ def features_level1(spark, sf):
 
 
 @query("features_level2", f"""WITH {FEATURES}, x AS (SELECT 'delta4__' || feature AS feature, date, ticker, value - lag(value, 4) OVER o AS value FROM features WINDOW o AS (PARTITION BY feature, ticker ORDER BY date)
-UNION ALL SELECT 'ratio_to_mean10__' || feature, date, ticker, CASE WHEN count(value) OVER w >= 5 THEN value / nullif(avg(value) OVER w, 0) END FROM features WHERE feature = 'volume4' WINDOW w AS (PARTITION BY feature, ticker ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+UNION ALL SELECT 'ratio_to_mean10__' || feature, date, ticker, CASE WHEN count(value) OVER w >= 5 THEN value / nullif(avg(value) OVER w, 0) END FROM features WINDOW w AS (PARTITION BY feature, ticker ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
 SELECT feature, date, ticker, round(value, 5) AS value FROM x WHERE value IS NOT NULL""")
 def features_level2(spark, sf):
     f = features(spark, sf)
-    return d.deltas(f, 4).union(d.ratios_to_mean(f.filter("feature = 'volume4'"), 10)).withColumn("value", half_up("value", 5))
+    return d.deltas(f, 4).union(d.ratios_to_mean(f, 10)).withColumn("value", half_up("value", 5))
 
 
-@query("feature_pairs", f"""WITH {FEATURES}, p AS (SELECT a.date, a.ticker, a.feature AS fa, b.feature AS fb, a.value AS va, b.value AS vb FROM features a JOIN features b ON a.date = b.date AND a.ticker = b.ticker AND a.feature < b.feature WHERE (a.feature, b.feature) IN (('drawdown26', 'range4'), ('range4', 'vol13'))),
-m AS (SELECT 'ratio__' || fa || '__' || fb AS feature, date, ticker, va / nullif(vb, 0) AS value FROM p UNION ALL SELECT 'product__' || fa || '__' || fb, date, ticker, va * vb FROM p UNION ALL SELECT 'diff__' || fa || '__' || fb, date, ticker, va - vb FROM p) SELECT feature, date, ticker, round(value, 4) AS value FROM m WHERE value IS NOT NULL AND abs(value) < 1e6""")
-def feature_pairs(spark, sf):
-    f = features(spark, sf).filter("feature in ('drawdown26', 'range4', 'vol13')")
-    cats = spark.createDataFrame([("drawdown26", "risk"), ("range4", "range"), ("vol13", "risk")], "feature string, category string")
-    return d.pairs(f, cats).filter("abs(value) < 1e6").withColumn("value", half_up("value", 4))
+PAIRS = f"""WITH {FEATURES}, cats AS (SELECT * FROM (VALUES {', '.join(map(repr, CATEGORY.items()))}) t(feature, category)),
+p AS (SELECT a.date, a.ticker, a.feature AS fa, b.feature AS fb, a.value AS va, b.value AS vb FROM features a JOIN features b ON a.date = b.date AND a.ticker = b.ticker AND a.feature < b.feature
+  JOIN cats ca ON ca.feature = a.feature JOIN cats cb ON cb.feature = b.feature WHERE ca.category <> cb.category),
+m AS (SELECT 'ratio__' || fa || '__' || fb AS feature, date, ticker, va / nullif(vb, 0) AS value FROM p UNION ALL SELECT 'product__' || fa || '__' || fb, date, ticker, va * vb FROM p UNION ALL SELECT 'diff__' || fa || '__' || fb, date, ticker, va - vb FROM p)
+SELECT feature, date, ticker, value FROM m WHERE value IS NOT NULL"""
 
 
-@query("feature_pairs_all")
-def feature_pairs_all(spark, sf):
-    """Every two features of different categories, whatever the size of the values."""
+@query("feature_pairs", PAIRS)
+def feature_pairs(spark, sf):
+    """Every two features of different categories, whatever the size of the values; both sides combine the same rounded numbers, so results are not rounded again."""
     cats = spark.createDataFrame(list(CATEGORY.items()), "feature string, category string")
     return d.pairs(features(spark, sf), cats)
 
 
+query("feature_pairs_all", PAIRS)(feature_pairs)  # the name under which the whole was registered before
+
+
 @query("ic_series", f"WITH {IC} SELECT feature, horizon, date, round(ic, 6) AS ic FROM ic")
 def ic_series(spark, sf):
     return rounded(ic(spark, sf), "feature", "horizon", "date", "ic")
@@ -84,12 +87,23 @@ def ic_summary(spark, sf):
     return s.select("feature", "horizon", "n_dates", half_up("mean_ic").alias("mean_ic"), "ic_ir", half_up("pct_positive").alias("pct_positive"), half_up("train_ic").alias("train_ic"), half_up("test_ic").alias("test_ic"))
 
 
-@query("ic_decay")
+LAGS = (0, 1, 5, 20)
+
+
+@query("ic_decay", f"""WITH {FEATURES}, {FORWARD}, f4 AS (SELECT date, ticker, round(f, 9) AS f FROM forward WHERE horizon = 4 AND f IS NOT NULL),
+l AS ({' UNION ALL '.join(f"SELECT feature, date, ticker, {n} AS lag, lag(value, {n}) OVER (PARTITION BY feature, ticker ORDER BY date) AS value FROM features" for n in LAGS)}),
+b AS (SELECT feature, lag, l.date, l.ticker, value, f FROM l JOIN f4 ON f4.date = l.date AND f4.ticker = l.ticker WHERE value IS NOT NULL),
+rk AS (SELECT feature, lag, date, {pct_rank('value', 'feature, lag, date')} AS rx, {pct_rank('f', 'feature, lag, date')} AS ry FROM b),
+ic AS (SELECT feature, lag, date, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS ic FROM rk GROUP BY 1, 2, 3 HAVING count(*) >= 10 AND stddev_samp(rx) * stddev_samp(ry) > 0)
+SELECT feature, lag, round(avg(ic), 6) AS ic FROM ic GROUP BY 1, 2""")
 def ic_decay(spark, sf):
-    forward = d.forward_returns(a.panel(spark, sf), [4])
-    f = features(spark, sf).filter("feature in ('mom13', 'vol13')")
-    parts = [d.ic_series(d.lagged(f, n) if n else f, forward).groupBy("feature").agg(F.avg("ic").alias("ic")).select("feature", F.lit(n).alias("lag"), half_up("ic").alias("ic")) for n in (0, 1, 5, 20)]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    """All lags in one pass: a lag is part of the feature's key."""
+    forward = d.forward_returns(a.panel(spark, sf), [4]).withColumn("forward", half_up("forward", 9))
+    w = Window.partitionBy("feature", "ticker").orderBy("date")
+    late = F.array(*(F.struct(F.lit(n).alias("lag"), F.lag("value", n).over(w).alias("value")) for n in LAGS))
+    f = features(spark, sf).select("feature", "date", "ticker", late.alias("m")).select("feature", "date", "ticker", F.explode("m").alias("e"))
+    f = f.select(F.struct("feature", "e.lag").alias("feature"), "date", "ticker", "e.value").filter("value is not null")
+    return d.ic_series(f, forward).groupBy("feature.feature", "feature.lag").agg(half_up(F.avg("ic")).alias("ic"))
 
 
 @query("ic_rolling_mean", f"WITH {IC} SELECT feature, horizon, date, round(CASE WHEN count(ic) OVER w >= 26 THEN avg(ic) OVER w END, 6) AS ic52 FROM ic WINDOW w AS (PARTITION BY feature, horizon ORDER BY date ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)")
@@ -106,7 +120,7 @@ def feature_turnover(spark, sf):
 
 @query("feature_quality", f"WITH {FEATURES}, y AS (SELECT feature, date, count(value) AS n, coalesce(stddev_samp(value), 0) AS sd FROM features GROUP BY 1, 2) SELECT feature, round(1 - sum(n) / (SELECT count(*) FROM panel), 6) AS nan_rate, round(avg(CASE WHEN sd = 0 THEN 1.0 ELSE 0.0 END), 6) AS flat_rate FROM y GROUP BY 1")
 def feature_quality(spark, sf):
-    return rounded(d.quality(features(spark, sf), a.panel(spark, sf).count()), "feature", "nan_rate", "flat_rate")
+    return rounded(d.quality(features(spark, sf), a.panel(spark, sf)), "feature", "nan_rate", "flat_rate")
 
 
 @query("feature_correlations", f"""WITH {FEATURES}, dt AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM features)) WHERE n % 10 = 1), r AS (SELECT feature, date, ticker, {pct_rank('value', 'feature, date')} AS r FROM features WHERE date IN (SELECT date FROM dt)),

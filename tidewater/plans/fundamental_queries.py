@@ -149,11 +149,12 @@ def detected_splits(spark, sf):
 
 
 @query("validated_actions", f"""WITH {BARS}, {SPLITS}, n AS (SELECT s.ticker, s.ex_date, s.factor, (SELECT arg_max(close, date) FROM bars b WHERE b.ticker = s.ticker AND date < s.ex_date AND date >= s.ex_date - 7) AS before, (SELECT arg_min(close, date) FROM bars b WHERE b.ticker = s.ticker AND date >= s.ex_date AND date <= s.ex_date + 7) AS after FROM splits s),
-v AS (SELECT *, ln(after / before) AS seen, -ln(factor) AS expected FROM n)
-SELECT ticker, ex_date, round(before, 6) AS close_before, round(after, 6) AS close_after, CASE WHEN seen IS NULL OR abs(seen - expected) <= ln(1.35) THEN 'KEEP' WHEN abs(seen) <= ln(1.35) THEN 'DROP'
-WHEN len(list_filter({NS}, lambda n: abs(after / before * n - 1) <= 0.05)) > 0 OR len(list_filter({NS}, lambda n: abs(after / before / n - 1) <= 0.05)) > 0 THEN 'CORRECTED' ELSE 'KEEP' END AS verdict FROM v""")
+v AS (SELECT *, ln(after / before) AS seen, -ln(factor) AS expected, list_filter({NS}, lambda n: abs(after / before * n - 1) <= 0.05) AS fwd, list_filter({NS}, lambda n: abs(after / before / n - 1) <= 0.05) AS rev FROM n),
+j AS (SELECT *, CASE WHEN seen IS NULL OR abs(seen - expected) <= ln(1.35) THEN 'KEEP' WHEN abs(seen) <= ln(1.35) THEN 'DROP' WHEN len(fwd) > 0 OR len(rev) > 0 THEN 'CORRECTED' ELSE 'KEEP' END AS verdict FROM v)
+SELECT ticker, ex_date, CASE WHEN verdict = 'CORRECTED' AND len(fwd) = 0 THEN 'REVERSE_SPLIT' ELSE 'STOCK_SPLIT' END AS action, round(CASE WHEN verdict <> 'CORRECTED' THEN factor WHEN len(fwd) > 0 THEN fwd[1] ELSE 1.0 / rev[1] END, 6) AS factor,
+round(before, 6) AS close_before, round(after, 6) AS close_after, verdict FROM j""")
 def validated_actions(spark, sf):
-    return rounded(adjust.validate(a.share_events(spark, sf), a.bars(spark, sf)), "ticker", "ex_date", "close_before", "close_after", "verdict")
+    return rounded(adjust.validate(a.share_events(spark, sf), a.bars(spark, sf)), "ticker", "ex_date", "action", "factor", "close_before", "close_after", "verdict")
 
 
 @query("share_multipliers", f"""WITH {BARS}, {SPLITS}, m AS (SELECT DISTINCT ticker, last_day(date) AS month_end FROM bars), p AS (SELECT ticker, month_end, CAST(month_end - INTERVAL 12 MONTH AS DATE) AS since FROM m)

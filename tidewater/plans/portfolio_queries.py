@@ -9,6 +9,7 @@ from ..functions import columns as c
 from ..operators import metrics, portfolio
 from . import adapters as a
 from .oracle import MARKET, PANEL, PNL, lag, pct_rank, roll
+from . import registry
 from .registry import half_up, query, rounded
 
 W = c.by_time  # called where it is used: a window needs a session
@@ -48,18 +49,12 @@ SELECT date, ticker, round({w}, 6) AS weight FROM held"""
 
 
 LIQUID = "coalesce(adtv >= 100000, false)"
-# The composed rank-and-hold portfolios as (signal, share held, eligibility, weighting).
+# Weekly books of liquid names as (signal, share held, eligibility, weighting): the sleeves that the queries below combine and measure.
 RANK_AND_HOLD = {
-    "adaptive_low_vol": ("low_vol", 0.2, f"{LIQUID} AND coalesce(dist > 0, false)", "equal"),
-    "frog_in_pan": ("frog", 0.1, LIQUID, "equal"),
     "low_vol": ("low_vol", 0.1, LIQUID, "equal"),
     "momentum_sharpe": ("sharpe", 0.1, LIQUID, "equal"),
     "multifactor": ("multi", 0.1, LIQUID, "equal"),
-    "research_multifactor": ("multi", 0.2, f"{LIQUID} AND coalesce(ret > -0.45, false)", "adtv"),
-    "simple_mean_reversion": ("reversion", 0.1, f"{LIQUID} AND coalesce(ret > -0.9, false)", "equal"),
-    "smallcap_momentum": ("mom", 0.1, "coalesce(adtv < 150000, false)", "equal"),
-    "volume_breakout": ("adtv", 0.1, "coalesce(dist > 0, false)", "adtv"),
-    "win_rate_mean_rev": ("win", 0.1, f"{LIQUID} AND coalesce(dist < 0, false)", "equal"),
+    "high_turnover": ("adtv", 0.1, "coalesce(dist > 0, false)", "adtv"),
 }
 
 
@@ -69,7 +64,7 @@ def held(spark, sf, name):
 
 
 for _name, (_signal, _pct, _eligible, _weighting) in RANK_AND_HOLD.items():
-    query(f"portfolio_{_name}", hold_sql(_signal, _pct, _eligible, _weighting))(lambda spark, sf, n=_name: rounded(held(spark, sf, n), "date", "ticker", "weight"))
+    query(f"weekly_{_name}", hold_sql(_signal, _pct, _eligible, _weighting))(lambda spark, sf, n=_name: rounded(held(spark, sf, n), "date", "ticker", "weight"))
 
 
 @query("best_class_per_root", f"WITH {SIGNALS} SELECT date, root, ticker FROM signals WHERE close IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date, root ORDER BY coalesce(adtv, -1) DESC, ticker) = 1")
@@ -88,21 +83,31 @@ def bottom_by_volatility(spark, sf):
     return portfolio.top(signals(spark, sf), "vol", pct=0.33, least_held=5, descending=False).select("date", "ticker", "place")
 
 
-@query("capped_cap_weights", f"""WITH {SIGNALS}, w AS (SELECT date, ticker, adtv / sum(adtv) OVER (PARTITION BY date) AS w FROM signals WHERE adtv > 0 AND date >= DATE '1996-01-01'), o AS (SELECT *, row_number() OVER d - 1 AS k, coalesce(sum(w) OVER (PARTITION BY date ORDER BY w DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w WINDOW d AS (PARTITION BY date ORDER BY w DESC, ticker)),
+@query("capped_cap_weights", f"""WITH {SIGNALS}, w AS (SELECT date, ticker, adtv / sum(adtv) OVER (PARTITION BY date) AS w FROM signals WHERE adtv > 0), o AS (SELECT *, row_number() OVER d - 1 AS k, coalesce(sum(w) OVER (PARTITION BY date ORDER BY w DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w WINDOW d AS (PARTITION BY date ORDER BY w DESC, ticker)),
 f AS (SELECT *, (1 - k * 0.02) / nullif(1 - b, 0) AS scale FROM o), m AS (SELECT *, min(CASE WHEN w * scale <= 0.02 * (1 + 1e-12) AND scale >= 0 THEN k END) OVER (PARTITION BY date) AS first FROM f)
 SELECT date, ticker, round(CASE WHEN first IS NULL OR k < first THEN 0.02 ELSE w * (1 - first * 0.02) / (1 - (SELECT 0) - max(CASE WHEN k = first THEN b END) OVER (PARTITION BY date)) END, 6) AS weight FROM m""")
 def capped_cap_weights(spark, sf):
-    return rounded(portfolio.capped_weights(signals(spark, sf).filter("date >= '1996-01-01'"), "adtv", 0.02), "date", "ticker", "weight")
+    return rounded(portfolio.capped_weights(signals(spark, sf), "adtv", 0.02), "date", "ticker", "weight")
 
 
-@query("capped_cap_weights_all")
-def capped_cap_weights_all(spark, sf):
-    """All dates, the first year too."""
-    return rounded(portfolio.capped_weights(signals(spark, sf), "adtv", 0.02), "date", "ticker", "weight")
+query("capped_cap_weights_all", registry.ORACLE["capped_cap_weights"])(capped_cap_weights)  # the name under which all dates were registered before
+
+
+CAPPED_INVERSE = f"""WITH {SIGNALS}, w AS (SELECT date, ticker, (1 / vol) / sum(1 / vol) OVER (PARTITION BY date) AS w FROM signals WHERE vol > 0), o AS (SELECT *, row_number() OVER d - 1 AS k, coalesce(sum(w) OVER (PARTITION BY date ORDER BY w DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w WINDOW d AS (PARTITION BY date ORDER BY w DESC, ticker)),
+f AS (SELECT *, (1 - k * 0.05) / nullif(1 - b, 0) AS scale FROM o), m AS (SELECT *, min(CASE WHEN w * scale <= 0.05 * (1 + 1e-12) AND scale >= 0 THEN k END) OVER (PARTITION BY date) AS first FROM f),
+c AS (SELECT date, ticker, CASE WHEN first IS NULL OR k < first THEN 0.05 ELSE w * (1 - first * 0.05) / (1 - max(CASE WHEN k = first THEN b END) OVER (PARTITION BY date)) END AS weight FROM m)"""
 
 
-@query("inverse_vol_capped")
+@query("inverse_vol_capped", f"{CAPPED_INVERSE} SELECT date, ticker, round(weight, 6) AS weight FROM c")
 def inverse_vol_capped(spark, sf):
+    """Weights in inverse proportion to volatility, none over the cap; where names times cap stay under one, so does their sum."""
+    s = signals(spark, sf).filter("vol > 0").withColumn("inv", 1 / F.col("vol"))
+    return rounded(portfolio.capped_weights(s, "inv", 0.05), "date", "ticker", "weight")
+
+
+@query("inverse_vol_capped_full", f"{CAPPED_INVERSE} SELECT date, ticker, round(weight / sum(weight) OVER (PARTITION BY date), 6) AS weight FROM c")
+def inverse_vol_capped_full(spark, sf):
+    """As before, scaled to a sum of one."""
     s = signals(spark, sf).filter("vol > 0").withColumn("inv", 1 / F.col("vol"))
     return rounded(portfolio.capped_weights(s, "inv", 0.05, renormalise=True), "date", "ticker", "weight")
 
@@ -156,10 +161,17 @@ def sleeve_returns_query(spark, sf):
     return rounded(sleeve_returns(spark, sf), "date", "sleeve", "ret")
 
 
-@query("strategy_summary", f"""WITH {SLEEVES}, g AS (SELECT *, product(1 + ret) OVER (PARTITION BY sleeve ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM sleeves WHERE ret IS NOT NULL), d AS (SELECT *, cum / greatest(max(cum) OVER (PARTITION BY sleeve ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) - 1 AS dd FROM g)
-SELECT sleeve, count(ret) AS periods, round(stddev_samp(ret) * sqrt(52), 6) AS volatility, round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(52), 6) AS sharpe, round(min(dd), 6) AS max_drawdown FROM d GROUP BY 1""")
+@query("strategy_summary", f"""WITH {SLEEVES}, g AS (SELECT *, product(1 + ret) OVER (PARTITION BY sleeve ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM sleeves WHERE ret IS NOT NULL), d AS (SELECT *, cum / greatest(max(cum) OVER (PARTITION BY sleeve ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) - 1 AS dd FROM g),
+t AS (SELECT sleeve, count(ret) AS periods, product(1 + ret) - 1 AS total_return, stddev_samp(ret) * sqrt(52) AS volatility, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(52) AS sharpe, min(dd) AS max_drawdown FROM d GROUP BY 1),
+a AS (SELECT *, CASE WHEN total_return > -1 THEN pow(1 + total_return, 52.0 / periods) - 1 END AS annual_return FROM t)
+SELECT sleeve, periods, round(log10(1 + total_return), 6) AS total_log10, round(log10(1 + annual_return), 6) AS annual_log10, round(volatility, 6) AS volatility, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown,
+round(log10(CASE WHEN annual_return > 0 THEN annual_return END / nullif(abs(max_drawdown), 0)), 6) AS calmar_log10 FROM a""")
 def strategy_summary(spark, sf):
-    return rounded(metrics.summary(sleeve_returns(spark, sf), "sleeve"), "sleeve", "periods", "volatility", "sharpe", "max_drawdown")
+    """Growth, annual return and Calmar ratio as logarithms: the given prices move so much that the numbers themselves fill no double's digits alike."""
+    m = metrics.summary(sleeve_returns(spark, sf), "sleeve")
+    calmar = F.log10(F.when(F.col("annual_return") > 0, F.col("calmar")))
+    m = m.withColumns({"total_log10": F.log10(1 + F.col("total_return")), "annual_log10": F.log10(1 + F.col("annual_return")), "calmar_log10": calmar})
+    return rounded(m, "sleeve", "periods", "total_log10", "annual_log10", "volatility", "sharpe", "max_drawdown", "calmar_log10")
 
 
 @query("strategy_correlations", f"""WITH {SLEEVES} SELECT x.sleeve AS a, y.sleeve AS b, count(*) AS n, round(covar_samp(x.ret, y.ret) / nullif(stddev_samp(x.ret) * stddev_samp(y.ret), 0), 6) AS corr FROM sleeves x JOIN sleeves y ON x.date = y.date AND x.sleeve <= y.sleeve GROUP BY 1, 2""")
@@ -184,11 +196,42 @@ def inverse_vol_sleeves(spark, sf):
     return rounded(portfolio.inverse_vol_sleeves(sleeve_returns(spark, sf).filter("sleeve <> 'cash'")), "date", "sleeve", "weight")
 
 
-@query("rolling_sharpe_sleeves")
+def sharpe_sql(with_cash: bool) -> str:
+    own = "" if with_cash else "WHERE sleeve <> 'cash'"
+    return f"""WITH {SLEEVES}, own AS (SELECT * FROM sleeves {own}), grid AS (SELECT date, sleeve FROM (SELECT DISTINCT date FROM own), (SELECT DISTINCT sleeve FROM own)),
+x AS (SELECT g.date, g.sleeve, o.ret FROM grid g LEFT JOIN own o ON o.date = g.date AND o.sleeve = g.sleeve),
+t AS (SELECT date, sleeve, count(*) OVER w AS rows, round(CASE WHEN count(ret) OVER w >= 3 AND stddev_samp(ret) OVER w > 0 THEN avg(ret) OVER w / stddev_samp(ret) OVER w * sqrt(12) ELSE 0 END, 9) AS s FROM x WINDOW w AS (PARTITION BY sleeve ORDER BY date ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, s >= 0 AS ok, sum(CASE WHEN s >= 0 THEN s ELSE 0 END) OVER d AS total, sum(CASE WHEN s >= 0 THEN 1 ELSE 0 END) OVER d AS n_ok, count(*) OVER d AS n FROM t WINDOW d AS (PARTITION BY date)),
+v AS (SELECT date, sleeve, CASE WHEN rows < 3 THEN 1.0 / n WHEN n_ok = 0 THEN CASE WHEN sleeve = 'cash' THEN 1.0 ELSE 0.0 END WHEN NOT ok THEN 0.0 WHEN total = 0 THEN 1.0 / n_ok ELSE s / total END AS weight FROM c),
+e AS (SELECT * FROM v {"" if with_cash else "UNION ALL SELECT DISTINCT date, 'cash', 1.0 FROM c WHERE rows >= 3 AND n_ok = 0"})
+SELECT date, sleeve, round(weight, 6) AS weight FROM e"""
+
+
+@query("rolling_sharpe_sleeves", sharpe_sql(True))
 def rolling_sharpe_sleeves(spark, sf):
     return rounded(portfolio.rolling_sharpe_sleeves(sleeve_returns(spark, sf)), "date", "sleeve", "weight")
 
 
+@query("rolling_sharpe_books", sharpe_sql(False))
+def rolling_sharpe_books(spark, sf):
+    """The same among the books alone; cash holds everything on dates on which they all fail."""
+    return rounded(portfolio.rolling_sharpe_sleeves(sleeve_returns(spark, sf).filter("sleeve <> 'cash'")), "date", "sleeve", "weight")
+
+
+# The share of equity by (rates easing, market calm).
+BUDGET = {(True, True): 0.8, (True, False): 0.5, (False, True): 0.3, (False, False): 0.0}
+
+
+@query("regime_budgets", f"""WITH {SLEEVES}, m AS (SELECT date, coalesce(lag(rate, 1) OVER o < lag(rate, 4) OVER o, false) AS easing, coalesce(lag(level, 1) OVER o > avg(level) OVER (ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING), false) AS calm FROM market WINDOW o AS (ORDER BY date)),
+b AS (SELECT date, CASE WHEN easing AND calm THEN 0.8 WHEN easing THEN 0.5 WHEN calm THEN 0.3 ELSE 0.0 END AS equity FROM m), k AS (SELECT date, sleeve, count(*) OVER (PARTITION BY date) AS n FROM sleeves WHERE sleeve <> 'cash')
+SELECT b.date, sleeve, round(equity / n, 6) AS weight FROM b JOIN k USING (date) WHERE equity > 0 UNION ALL SELECT b.date, 'cash', round(CASE WHEN b.date IN (SELECT date FROM k) THEN 1 - equity ELSE 1.0 END, 6) FROM b""")
+def regime_budgets(spark, sf):
+    """Equity's share by the two-flag table, dealt equally to the date's books; cash takes the rest, and all where no book lives."""
+    o = Window.orderBy("date")  # one row a week
+    m = a.market(spark, sf).select("date", (F.lag("rate", 1).over(o) < F.lag("rate", 4).over(o)).alias("easing"), (F.lag("level", 1).over(o) > F.avg("level").over(o.rowsBetween(-26, -1))).alias("calm"))
+    return rounded(portfolio.regime_budgets(sleeve_returns(spark, sf).filter("sleeve <> 'cash'"), m, BUDGET), "date", "sleeve", "weight")
+
+
 # The fixed-weight portfolios' sleeves.
 FIXED = {
     "baseline_thirds": ({"low_vol": 1 / 3, "momentum_sharpe": 1 / 3}, False),
@@ -230,10 +273,18 @@ def portfolio_turnover(spark, sf):
     return rounded(portfolio.turnover(held(spark, sf, "low_vol"), a.panel(spark, sf)), "date", "turnover")
 
 
-@query("drifted_nav")
+@query("drifted_nav", f"""WITH {SIGNALS}, {book_sql('low_vol')}, f AS (SELECT min(date) AS date FROM (SELECT DISTINCT date FROM low_vol) GROUP BY date_trunc('month', date)), r AS (SELECT date AS r, lead(date) OVER (ORDER BY date) AS until FROM f),
+days AS (SELECT r, d.date FROM (SELECT DISTINCT date FROM panel) d JOIN r ON d.date > r AND (until IS NULL OR d.date <= until)),
+h AS (SELECT days.r, days.date, b.ticker, b.weight, 1 + coalesce(greatest(least(p.ret, 5.0), -0.9), 0) AS g FROM days JOIN low_vol b ON b.date = days.r LEFT JOIN panel p ON p.date = days.date AND p.ticker = b.ticker),
+v AS (SELECT r, date, weight, weight * product(g) OVER (PARTITION BY r, ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM h),
+s AS (SELECT r, date, sum(v) + 1 - sum(weight) AS inside FROM v GROUP BY 1, 2), e AS (SELECT r, arg_max(inside, date) AS fin FROM s GROUP BY 1),
+c AS (SELECT r, coalesce(product(fin) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS start FROM e) SELECT date, round(log10(start * inside), 6) AS nav_log10 FROM s JOIN c USING (r)""")
 def drifted_nav(spark, sf):
-    book = held(spark, sf, "low_vol").filter(F.dayofmonth("date") <= 7)
-    return rounded(metrics.drifted_nav(book, a.panel(spark, sf)), "date", "nav")
+    """The low-volatility book rebalanced on each month's first date that has one."""
+    book = held(spark, sf, "low_vol")
+    firsts = book.groupBy(F.trunc("date", "month")).agg(F.min("date").alias("date")).select("date")
+    nav = metrics.drifted_nav(book.join(F.broadcast(firsts), "date"), a.panel(spark, sf))  # dates: one row a month
+    return nav.select("date", half_up(F.log10("nav")).alias("nav_log10"))
 
 
 @query("index_level")
@@ -262,10 +313,10 @@ def contribution_nav(spark, sf):
     return metrics.contribution_nav(m, 1000.0).select("date", half_up("nav", 3).alias("nav"))
 
 
-@query("underinvested", f"WITH {SIGNALS}, w AS (SELECT date, 0.9737137 * multi / count(*) OVER (PARTITION BY date) AS weight FROM signals WHERE multi > 0.3) SELECT date, round(sum(weight), 4) AS invested FROM w GROUP BY 1 HAVING sum(weight) > 0 AND sum(weight) < 1 - 1e-4")
+@query("underinvested", f"WITH {SIGNALS}, w AS (SELECT date, multi / count(*) OVER (PARTITION BY date) AS weight FROM signals WHERE multi > 0.3) SELECT date, round(sum(weight), 8) AS invested FROM w GROUP BY 1 HAVING sum(weight) > 0 AND sum(weight) < 1 - 1e-4")
 def underinvested(spark, sf):
-    w = signals(spark, sf).filter("multi > 0.3").withColumn("weight", 0.9737137 * F.col("multi") / F.count("*").over(Window.partitionBy("date")))
-    return metrics.underinvested(w).select("date", half_up("invested", 4).alias("invested"))
+    w = signals(spark, sf).filter("multi > 0.3").withColumn("weight", F.col("multi") / F.count("*").over(Window.partitionBy("date")))
+    return metrics.underinvested(w).select("date", half_up("invested", 8).alias("invested"))
 
 
 @query("leverage_grid", f"WITH {MARKET}, l AS (SELECT unnest([1.0, 1.5, 2.0]) AS leverage) SELECT date, CAST(leverage AS DOUBLE) AS leverage, round(leverage * mret - (leverage - 1) * (rate + 0.02 / 52), 6) AS ret FROM market CROSS JOIN l")
