@@ -6,14 +6,13 @@ one's docs.  All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import decontamination, line_dedup, near_dup, packing, toxicity
-from tidewater.llm._text import documents
+from tidewater.llm._text import documents, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -56,8 +55,7 @@ ORACLE_SQL = None  # suffix order, fingerprints, alignment and tokenisation are
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written to the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{i}"

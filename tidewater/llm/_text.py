@@ -22,6 +22,7 @@ SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 LONG_WORD = 64
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -102,9 +103,24 @@ def pieces(batches: Iterator[pa.RecordBatch], budget: int = 4_000_000, text: str
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared checkpoint folder, so that a lost executor costs no recompute.
 
-    The folder is the session's spark.checkpoint.dir; where that is unset (tests, a laptop) one is made.
+    The folder is the session's spark.checkpoint.dir; where that is unset on a local master (tests, a laptop) one is made.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    kept = spark.conf.get(RELEASE)
+    spark.conf.set(RELEASE, "true")  # what was shuffled for it has no further use; if asked for again, Spark makes it anew
+    try:
+        return df.select("*").checkpoint()  # the setting holds for frames made under it
+    finally:
+        spark.conf.set(RELEASE, kept)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a temporary one, on a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -29,19 +29,19 @@ def judged(docs: DataFrame, num: int = 4, den: int = 5, frequent: int = 1000, mo
     if not den < 2 * num < 2 * den:
         raise ValueError("the similarity must be over a half and under one")
     spark, rows = docs.sparkSession, placed_rows(docs, id_col, text_col)
-    levels, all_lines = set_join.levels(rows, set_join.lines)
+    levels, all_lines = set_join.levels(rows, set_join.Lines())
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "unit")
     firsts = cut(all_lines.groupBy("h1", "h2").agg(F.min(place).alias("first")))
     n = firsts.count()
     parts, side = set_join.sizes(spark, n, 10 * n)
-    found = cut(set_join.candidate_blocks(set_join.dealt_keys(rows, set_join.lines, levels, parts, num, den, frequent), side, num, den))
-    needs = found.filter("blob is null").select("block", "h1", "h2").distinct()
-    content = set_join.contents(rows, set_join.lines, needs, firsts.select("h1", "h2", "first.row", "first.unit"), most_broadcast)
-    parts_of = set_join.verified(content, found.filter("blob is not null").select("block", "blob"), side, num, den, counts=True)
+    found = cut(set_join.candidate_blocks(set_join.dealt_keys(rows, set_join.Lines(), levels, parts, num, den, frequent), side, num, den))
+    needs = found.filter("blob is null").select("block", "h1", "h2")
+    content = set_join.contents(rows, set_join.Lines(), needs, firsts.select("h1", "h2", "first.row", "first.unit"), most_broadcast)
+    parts_of = set_join.verified(content, found.filter("blob is not null").select("block", "blob"), set_join.Lines(), side, num, den, counts=True)
     linked = parts_of.groupBy("h1", "h2").agg(F.sum("n_links").alias("n_links"), F.max("later").alias("later"))
-    known = cut(firsts.join(linked, ["h1", "h2"], "left"))
+    linked = cut(linked)
     is_first = (F.col("row") == F.col("first.row")) & (F.col("unit") == F.col("first.unit"))
-    return all_lines.select("row", "doc_id", "unit", "h1", "h2").join(known, ["h1", "h2"]).select(
+    return all_lines.select("row", "doc_id", "unit", "h1", "h2").join(firsts, ["h1", "h2"]).join(linked, ["h1", "h2"], "left").select(
         "row", "doc_id", F.col("unit").alias("line"), F.col("first.doc_id").alias("class_doc_id"), F.col("first.unit").alias("class_line"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), (~is_first | F.coalesce("later", F.lit(False))).alias("removed"),
     )

@@ -30,7 +30,7 @@ from .simhash import fold, links
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, most_broadcast: int = 16_000_000) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id, and of rows that repeat it the first."""
     spark, rows = docs.sparkSession, placed_rows(docs)
-    units = set_join.shingles(shingle)
+    units = set_join.Shingles(shingle)
 
     def fingerprints(_, text: np.ndarray, sets: set_join.Sets) -> dict[str, pa.Array]:
         fps = [fold(sets.digest[i : i + n]) for i, n in zip(sets.start, sets.size)]
@@ -54,7 +54,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, most
         pairs = cut(pairs.distinct().withColumn("block", block.cast("int")))
         needs = pairs.select("block", "h1", "h2").union(pairs.select("block", "g1", "g2")).distinct()
         content = set_join.contents(rows, units, needs, found.select("h1", "h2", "row", F.lit(0).alias("unit")), most_broadcast)
-        return cut(set_join.verified(content, pairs, side, num, den, counts=False))
+        return cut(set_join.verified(content, pairs, units, side, num, den, counts=False))
 
     # of the set that ends first within the prefixes, all but size - overlap must be shared; one less, as two keys of 40 bits may fall together
     enough = f"n >= ceil({num} * (size + size2) / {num + den}) - ceil(greatest(size, size2) * {num} / {den})"

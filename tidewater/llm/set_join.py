@@ -27,39 +27,45 @@ from pyspark.sql import functions as F
 
 from ._text import BREAK, as_bytes, cut, mix, pieces, word_digests
 
-COUNTERS = 22  # log2 of the number of counters: 16 MB in a task, 4 MB broadcast
+COUNTERS = 24  # log2 of the number of counters: 64 MB in a task, 16 MB broadcast
 SPAN = 1 << 16  # counters in one row of a shuffle
 PIECE = 2_000_000  # bytes of text whose sets are held at once
-PAIRS_AT_ONCE = 2_000_000
-ITEMS_AT_ONCE = 8_000_000
+PAIRS_AT_ONCE = 1_000_000
+ITEMS_AT_ONCE = 2_000_000
 KEYS_A_PART = 1_500_000
-UNITS_A_SIDE = 2_000_000
+UNITS_A_BLOCK = 500_000  # a set may go to several blocks, so blocks grow with the units, and a side with their root
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 NOTHING = np.zeros(0, np.int64)
 
-Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-"""Texts to (text of each unit, number of the unit in it, unit of each digest in ascending order, digest)."""
+class Lines:
+    """The lines of a text, each the set of its words (A-Z lowered)."""
 
+    def digests(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Text of each unit, number of the unit in it, unit of each digest in ascending order, digest."""
+        start, digest, breaks = word_digests(BREAK.join(texts))
+        lengths = np.array([len(x) + 1 for x in texts], np.int64)
+        first = np.searchsorted(breaks, np.cumsum(lengths) - lengths)  # the joining breaks end a text's last line
+        counts = np.diff(np.append(first, len(breaks) + 1)) if texts else NOTHING
+        return np.repeat(np.arange(len(texts)), counts), np.arange(counts.sum()) - np.repeat(first, counts), np.searchsorted(breaks, start), digest
 
-def lines(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """The words of each line (A-Z lowered) as digests."""
-    data = as_bytes(texts)
-    start, digest, breaks = word_digests(BREAK.join(data))
-    lengths = np.array([len(x) + 1 for x in data], np.int64)
-    first = np.searchsorted(breaks, np.cumsum(lengths) - lengths)  # the joining breaks end a text's last line
-    counts = np.diff(np.append(first, len(breaks) + 1))
-    return np.repeat(np.arange(len(data)), counts), np.arange(counts.sum()) - np.repeat(first, counts), np.searchsorted(breaks, start), digest
+    def parts(self, texts: list[bytes], at: np.ndarray, number: np.ndarray) -> list[bytes]:
+        """The text of some units."""
+        split = {i: texts[i].split(BREAK) for i in set(at.tolist())}
+        return [split[i][j] for i, j in zip(at.tolist(), number.tolist())]
 
 
-def shingles(width: int) -> Units:
-    """Runs of ``width`` words as digests, one unit a text; with fewer words the whole sequence is the only one."""
+class Shingles:
+    """Whole texts, each the set of its runs of ``width`` words; with fewer words the whole sequence is the only one."""
 
-    def units(texts: pa.Array) -> tuple[np.ndarray, ...]:
-        data = as_bytes(texts)
-        start, digest, _ = word_digests(BREAK.join(data))
-        ends = np.cumsum([len(x) + 1 for x in data]) if data else NOTHING
+    def __init__(self, width: int):
+        self.width = width
+
+    def digests(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        width = self.width
+        start, digest, _ = word_digests(BREAK.join(texts))
+        ends = np.cumsum([len(x) + 1 for x in texts]) if texts else NOTHING
         owner = np.searchsorted(ends, start, side="right")
-        short = np.bincount(owner, minlength=len(data))[owner] < width
+        short = np.bincount(owner, minlength=len(texts))[owner] < width
         first = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.zeros(0, bool)
         n = max(len(owner) - width + 1, 0)
         full = np.flatnonzero(owner[:n] == owner[len(owner) - n :])
@@ -74,9 +80,13 @@ def shingles(width: int) -> Units:
             rest[same] = mix(rest[same] * GOLDEN + digest[at[same]] + np.uint64(1))
         unit, made = np.concatenate([owner[full], owner[few]]), np.concatenate([out, rest])
         order = np.argsort(unit, kind="stable")
-        return np.arange(len(data)), np.zeros(len(data), np.int64), unit[order], made[order]
+        return np.arange(len(texts)), np.zeros(len(texts), np.int64), unit[order], made[order]
+
+    def parts(self, texts: list[bytes], at: np.ndarray, number: np.ndarray) -> list[bytes]:
+        return [texts[i] for i in at.tolist()]
+
 
-    return units
+Units = Lines | Shingles
 
 
 @dataclass
@@ -108,6 +118,13 @@ class Sets:
         parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), start) if len(start) else sums
         return cls(owner[start], distinct[at], often[at], start, size, mix(sums ^ size.astype(np.uint64)).view(np.int64), parity.view(np.int64))
 
+    @classmethod
+    def joined(cls, some: list[Sets]) -> Sets:
+        """Sets of many batches, their units numbered on; each batch must have had one set a unit."""
+        all_of = lambda name: np.concatenate([getattr(x, name) for x in some])
+        size = all_of("size")
+        return cls(np.arange(len(size)), all_of("digest"), all_of("often"), np.cumsum(size) - size, size, all_of("h1"), all_of("h2"))
+
     def keys(self, num: int, den: int, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each key: digest, set, and how many shared digests are still possible for the set."""
         first, _ = dense(self.h1, self.h2)
@@ -181,8 +198,8 @@ def levels(rows: DataFrame, units: Units, extra: Callable | None = None, columns
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, names = np.zeros(1 << COUNTERS, np.uint32), []
         for batch in pieces(batches, PIECE):
-            text, number, unit, digest = units(batch.column("text"))
-            counts += np.bincount(counter(digest), minlength=len(counts)).astype(np.uint32)
+            text, number, unit, digest = units.digests(as_bytes(batch.column("text")))
+            np.add.at(counts, counter(digest), np.uint32(1))
             sets = Sets.of(unit, digest)
             at = pa.array(text[sets.unit])
             more = extra(batch.column("text"), text, sets) if extra else {}
@@ -235,7 +252,7 @@ def dealt_keys(rows: DataFrame, units: Units, found: np.ndarray, parts: int, num
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, PIECE):
-            _, _, unit, digest = units(batch.column("text"))
+            _, _, unit, digest = units.digests(as_bytes(batch.column("text")))
             sets = Sets.of(unit, digest, shared.value)
             key, which, left = sets.keys(num, den, frequent)
             part = (key % np.uint64(parts)).astype(np.int32)
@@ -286,14 +303,40 @@ def in_order(key: np.ndarray, h1: np.ndarray, h2: np.ndarray, size: np.ndarray,
     return [x[order[new]] for x in (key, number, h1, h2, size, *more)]
 
 
+def pair_blob(a: np.ndarray, b: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Pairs of sets, by number and in order, as one block of bytes; and the numbers used."""
+    used = np.unique(np.concatenate([a, b]))
+    x, y = np.searchsorted(used, a), np.searchsorted(used, b)
+    ids = h1[used].astype("<i8").tobytes() + h2[used].astype("<i8").tobytes()
+    return len(used).to_bytes(4, "little") + ids + squeeze(np.concatenate([np.bincount(x, minlength=len(used)), y])), used
+
+
+def pairs_of(blob: bytes) -> tuple[np.ndarray, ...]:
+    """h1, h2 of the sets of a block, and the pairs as numbers into those."""
+    n = int.from_bytes(blob[:4], "little")
+    h1, h2 = (np.frombuffer(blob, "<i8", n, 4 + 8 * n * i) for i in (0, 1))
+    rest = swell(blob[4 + 16 * n :])
+    return h1, h2, np.repeat(np.arange(n), rest[:n]).astype(np.int32), rest[n:].astype(np.int32)
+
+
+def merged(blocks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """As pairs_of, for several blocks: each set and each pair once, pairs in ascending order."""
+    h1, h2 = (np.concatenate([x[i] for x in blocks]) for i in (0, 1))
+    first, number = dense(h1, h2)
+    base = np.cumsum([0, *(len(x[0]) for x in blocks)])
+    pair = np.unique(np.concatenate([number[b + x[2]] << 32 | number[b + x[3]] for b, x in zip(base, blocks)]))
+    return h1[first], h2[first], (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+
+
 def candidate_blocks(dealt: DataFrame, side: int, num: int, den: int) -> DataFrame:
-    """Candidate pairs as blocks of bytes (block, blob), and the classes that a block needs the content of (block, h1, h2)."""
+    """Per block the candidate pairs, each once, as blocks of bytes (block, blob), and the classes that it needs the content of (block, h1, h2)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [unpack(x) for batch in batches for x in batch.column("blob").to_pylist()]
         if not blobs:
             return
         key, number, h1, h2, size, left = in_order(*map(np.concatenate, zip(*blobs)))
+        del blobs
         named = np.zeros((2, number.max() + 1 if len(number) else 0), np.int64)
         named[:, number] = h1, h2
         held: list[np.ndarray] = []
@@ -311,21 +354,29 @@ def candidate_blocks(dealt: DataFrame, side: int, num: int, den: int) -> DataFra
         block = (h1[a] % side * side + h1[b] % side).astype(np.int32)
         order = np.argsort(block, kind="stable")
         a, b, block = a[order], b[order], block[order]
-        for i, j in zip(*grouped(block)):
-            used = np.unique(np.concatenate([a[i:j], b[i:j]]))
-            x, y = np.searchsorted(used, a[i:j]), np.searchsorted(used, b[i:j])
-            ids = h1[used].astype("<i8").tobytes() + h2[used].astype("<i8").tobytes()
-            blob = len(used).to_bytes(4, "little") + ids + squeeze(np.concatenate([np.bincount(x, minlength=len(used)), y]))
-            n = len(used)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n + 1, block[i], np.int32)), pa.concat_arrays([pa.array(h1[used]), pa.nulls(1, pa.int64())]),
-                    pa.concat_arrays([pa.array(h2[used]), pa.nulls(1, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([blob], pa.binary())]),
-                ],
-                ["block", "h1", "h2", "blob"],
-            )
+        start, end = grouped(block)
+        yield pa.RecordBatch.from_arrays([pa.array(block[start]), pa.array([pair_blob(a[i:j], b[i:j], h1, h2)[0] for i, j in zip(start, end)], pa.binary())], ["block", "blob"])
 
-    return dealt.mapInArrow(run, "block int, h1 bigint, h2 bigint, blob binary")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, n, kept = None, [], 0, 0
+        for batch in batches:
+            for x in batch.column("blob").to_pylist():
+                held.append(pairs_of(x))
+                n += len(held[-1][2])
+                if n > 2 * (kept + PAIRS_AT_ONCE):
+                    held = [merged(held)]
+                    n = kept = len(held[0][2])
+            block = batch.column("block")[0].as_py() if len(batch) else block
+        if held:
+            h1, h2, a, b = merged(held)
+            del held
+            for i in range(0, len(a), PAIRS_AT_ONCE):
+                blob, _ = pair_blob(a[i : i + PAIRS_AT_ONCE], b[i : i + PAIRS_AT_ONCE], h1, h2)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], ["block", "h1", "h2", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h1), block, np.int32)), pa.array(h1), pa.array(h2), pa.nulls(len(h1), pa.binary())], ["block", "h1", "h2", "blob"])
+
+    met = dealt.mapInArrow(meet, "block int, blob binary")
+    return met.repartitionById(side * side, "block").mapInArrow(gather, "block int, h1 bigint, h2 bigint, blob binary")
 
 
 def shared_keys(dealt: DataFrame) -> DataFrame:
@@ -360,61 +411,81 @@ def open_pairs(keys: DataFrame, parts: int, num: int, den: int) -> DataFrame:
     return keys.select(*keys_schema.names).repartition(parts, "key").mapInArrow(run, "h1 bigint, h2 bigint, g1 bigint, g2 bigint, size bigint, size2 bigint, n bigint")
 
 
-def pairs_of(blob: bytes) -> tuple[np.ndarray, ...]:
-    """h1, h2 of both sides of each pair of a block."""
-    n = int.from_bytes(blob[:4], "little")
-    h1, h2 = (np.frombuffer(blob, "<i8", n, 4 + 8 * n * i) for i in (0, 1))
-    rest = swell(blob[4 + 16 * n :])
-    a, b = np.repeat(np.arange(n), rest[:n]), rest[n:]
-    return h1[a], h2[a], h1[b], h2[b]
-
-
 def contents(rows: DataFrame, units: Units, needs: DataFrame, firsts: DataFrame, most_broadcast: int) -> DataFrame:
-    """The sets that ``needs`` (block, h1, h2) asks for: block, h1, h2, row, doc_id, unit, digests.
+    """The sets that ``needs`` (block, h1, h2) asks for, with ``firsts`` (h1, h2, row, unit).
 
-    ``firsts`` has (h1, h2, row, unit).  The table of wanted units is broadcast where it has at most ``most_broadcast`` bytes; else the
-    texts are shuffled to it.
+    Rows: block, row, doc_id, unit, and where the unit's text stands: place ``slot`` of the block of bytes ``pack``; that block is a
+    row of its own, ``blob``, for all units that one batch of texts sends to one block.  The table of wanted units is broadcast
+    where it has at most ``most_broadcast`` bytes; else the texts are shuffled to it.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
-    wanted = needs.join(firsts, ["h1", "h2"]).groupBy("row").agg(F.collect_list(F.struct("unit", "block")).alias("wanted"))  # at most blocks x units of one text
+    wanted = needs.join(firsts, ["h1", "h2"]).groupBy("row").agg(F.collect_list(F.expr("shiftleft(cast(unit as bigint), 32) + block")).alias("wanted"))  # at most blocks x units of one text
     wanted = cut(wanted)
-    if wanted.agg(F.coalesce(F.sum(F.size("wanted") * 24 + 64), F.lit(0))).first()[0] <= most_broadcast:
+    if wanted.agg(F.coalesce(F.sum(F.size("wanted") * 8 + 56), F.lit(0))).first()[0] <= most_broadcast:
         wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, PIECE):
-            text, number, unit, digest = units(batch.column("text"))
-            sets = Sets.of(unit, digest)
-            name = text[sets.unit] << 32 | number[sets.unit]
             asked = batch.column("wanted")
-            flat = asked.flatten()
-            count = pa.compute.list_value_length(asked).to_numpy()
-            at = np.searchsorted(name, np.repeat(np.arange(len(batch)), count) << 32 | flat.field("unit").to_numpy().astype(np.int64))
-            raw = sets.digest.tobytes()
-            sent = [raw[8 * i : 8 * j] for i, j in zip(sets.start[at], (sets.start + sets.size)[at])]
-            row = pa.array(text[sets.unit[at]])
+            flat = asked.flatten().to_numpy()
+            if not len(flat):
+                continue
+            owner = np.repeat(np.arange(len(batch)), pa.compute.list_value_length(asked).to_numpy())
+            order = np.argsort(flat & 0xFFFFFFFF, kind="stable")
+            flat, owner = flat[order], owner[order]
+            block, number = (flat & 0xFFFFFFFF).astype(np.int32), (flat >> 32).astype(np.int32)
+            parts = units.parts(as_bytes(batch.column("text")), owner, number)
+            start, end = grouped(block)
+            name = np.full(len(start), batch.column("row")[0].as_py())  # with the block: a batch has a first row of its own
+            slot = np.arange(len(flat)) - np.repeat(start, end - start)
+            n, k = len(flat), len(start)
+            both = lambda x, y: pa.concat_arrays([x, y])
             yield pa.RecordBatch.from_arrays(
-                [flat.field("block"), pa.array(sets.h1[at]), pa.array(sets.h2[at]), batch.column("row").take(row), batch.column("doc_id").take(row), flat.field("unit"), pa.array(sent, pa.binary())],
-                ["block", "h1", "h2", "row", "doc_id", "unit", "blob"],
+                [
+                    pa.array(np.concatenate([block, block[start]])), *(both(batch.column(c).take(pa.array(owner)), pa.nulls(k, batch.column(c).type)) for c in ("row", "doc_id")), both(pa.array(number), pa.nulls(k, pa.int32())),
+                    pa.array(np.concatenate([np.repeat(name, end - start), name])), both(pa.array(slot.astype(np.int32)), pa.nulls(k, pa.int32())), both(pa.nulls(n, pa.binary()), pa.array([text_blob(parts[i:j]) for i, j in zip(start, end)], pa.binary())),
+                ],
+                ["block", "row", "doc_id", "unit", "pack", "slot", "blob"],
             )
 
-    return rows.join(wanted, "row").mapInArrow(run, f"block int, h1 bigint, h2 bigint, row bigint, doc_id {kind}, unit int, blob binary")
+    return rows.join(wanted, "row").mapInArrow(run, f"block int, row bigint, doc_id {kind}, unit int, pack bigint, slot int, blob binary")
+
+
+def text_blob(texts: list[bytes]) -> bytes:
+    """Texts as one compressed block of bytes."""
+    raw, sizes = b"".join(texts), squeeze(np.array([len(x) for x in texts]))
+    return len(sizes).to_bytes(4, "little") + sizes + len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def overlaps(a: np.ndarray, b: np.ndarray, digest: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """How many digests the sets a[i] and b[i] share, for a bounded number of digests at a time."""
-    _, token = np.unique(digest, return_inverse=True)
-    out, upto, i = np.zeros(len(a), np.int64), np.cumsum(size[a] + size[b]), 0
+def texts_of(blob: bytes) -> list[bytes]:
+    n = int.from_bytes(blob[:4], "little")
+    size = int.from_bytes(blob[4 + n : 12 + n], "little")
+    raw = pa.decompress(blob[12 + n :], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    ends = np.cumsum(swell(blob[4 : 4 + n])).tolist()
+    return [raw[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def overlaps(a: np.ndarray, b: np.ndarray, sets: Sets) -> np.ndarray:
+    """How many digests the sets a[i] and b[i] share, for a bounded number of digests at a time; ``a`` ascends."""
+    out, upto, i = np.zeros(len(a), np.int64), np.cumsum(sets.size[a] + sets.size[b]), 0
     while i < len(a):
         j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + ITEMS_AT_ONCE, side="right")))
-        sides = [spread(start[x[i:j]], size[x[i:j]], np.arange(j - i)) for x in (a, b)]
-        met = np.sort(np.concatenate([pair << 32 | token[at] for at, pair, _ in sides]))
+        used, side = np.unique(np.concatenate([a[i:j], b[i:j]]), return_inverse=True)
+        at, _, _ = spread(sets.start[used], sets.size[used], used)
+        _, token = np.unique(sets.digest[at], return_inverse=True)
+        size = sets.size[used]
+        start = np.cumsum(size) - size
+        met = []
+        for x in (side[: j - i], side[j - i :]):
+            places, pair, _ = spread(start[x], size[x], np.arange(j - i))
+            met.append(pair << 32 | token[places])
+        met = np.sort(np.concatenate(met))
         out[i:j] = np.bincount(met[1:][met[1:] == met[:-1]] >> 32, minlength=j - i)
         i = j
     return out
 
 
-def verified(content: DataFrame, pairs: DataFrame, side: int, num: int, den: int, counts: bool) -> DataFrame:
+def verified(content: DataFrame, pairs: DataFrame, units: Units, side: int, num: int, den: int, counts: bool) -> DataFrame:
     """The links among ``pairs``: rows with a blob, or with h1, h2, g1, g2.
 
     With ``counts`` the number of a class's links and whether one of them leads to an earlier row, as partial sums
@@ -423,37 +494,44 @@ def verified(content: DataFrame, pairs: DataFrame, side: int, num: int, den: int
     kind = content.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found = [], []
+        held, found, packs = [], [], {}
         for batch in batches:
             is_set = pa.compute.is_valid(batch.column("row"))
-            held.append(batch.filter(is_set))
+            held.append(batch.filter(is_set).select(["row", "doc_id", "unit", "pack", "slot"]))
             rest = batch.filter(pa.compute.invert(is_set))
-            found += [pairs_of(x) for x in rest.column("blob").drop_null().to_pylist()]
+            for name, blob in zip(rest.column("pack").to_pylist(), rest.column("blob").to_pylist()):
+                if name is not None:
+                    packs[name] = blob
+                elif blob is not None:
+                    found.append(pairs_of(blob))
             plain = rest.filter(pa.compute.is_valid(rest.column("g1")))
-            found.append(tuple(plain.column(c).to_numpy() for c in ("h1", "h2", "g1", "g2")))
-        if not held or not sum(len(x[0]) for x in found):
+            if len(plain):
+                h, g = (np.concatenate([plain.column(c).to_numpy() for c in x]) for x in (("h1", "g1"), ("h2", "g2")))
+                found.append((h, g, np.arange(len(plain), dtype=np.int32), np.arange(len(plain), 2 * len(plain), dtype=np.int32)))
+        if not packs or not found:
             return
-        sets = pa.Table.from_batches(held).combine_chunks()
-        h1, h2 = (sets[c].to_numpy() for c in ("h1", "h2"))
-        a1, a2, b1, b2 = map(np.concatenate, zip(*found))
-        first, number = dense(np.concatenate([h1, a1, b1]), np.concatenate([h2, a2, b2]))
+        content = pa.Table.from_batches(held).combine_chunks().sort_by([("pack", "ascending"), ("slot", "ascending")])
+        sets = Sets.joined([Sets.of(*units.digests(texts_of(packs.pop(x)))[2:]) for x in sorted(packs)])
+        if len(sets.size) != len(content):
+            raise ValueError("a candidate has no words: the input did not read the same twice")
+        h1, h2, row = sets.h1, sets.h2, content["row"].to_numpy()
+        g1, g2, a, b = merged(found)
+        found.clear()
+        first, number = dense(np.concatenate([h1, g1]), np.concatenate([h2, g2]))
         place = np.full(len(first), -1)
         place[number[: len(h1)]] = np.arange(len(h1))
-        a, b = place[number[len(h1) : len(h1) + len(a1)]], place[number[len(h1) + len(a1) :]]
-        if len(a) and min(a.min(), b.min()) < 0:
+        there = place[number[len(h1) :]]
+        if len(there) and there.min() < 0:
             raise ValueError("the content of a candidate is missing: the input did not read the same twice")
-        pair = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b))
+        a, b = there[a], there[b]
+        pair = np.sort(np.minimum(a, b) << 32 | np.maximum(a, b))
         a, b = pair >> 32, pair & 0xFFFFFFFF
-        blobs = sets["blob"].to_pylist()
-        digest, size = np.frombuffer(b"".join(blobs), "<u8"), np.array([len(x) // 8 for x in blobs], np.int64)
-        n = overlaps(a, b, digest, np.cumsum(size) - size, size)
-        ok = (num + den) * n >= num * (size[a] + size[b])
+        ok = (num + den) * overlaps(a, b, sets) >= num * (sets.size[a] + sets.size[b])
         a, b = a[ok], b[ok]
-        row = sets["row"].to_numpy()
         if not counts:
             yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], ["u", "v"])
             return
-        names = list(zip([x is None for x in sets["doc_id"].to_pylist()], sets["doc_id"].to_pylist(), row.tolist(), sets["unit"].to_pylist()))
+        names = [(x is None, x, i, j) for x, i, j in zip(content["doc_id"].to_pylist(), row.tolist(), content["unit"].to_pylist())]
         order = np.empty(len(names), np.int64)
         order[sorted(range(len(names)), key=lambda i: (names[i][0], *(names[i][2:] if names[i][0] else names[i][1:])))] = np.arange(len(names))
         links = np.bincount(a, minlength=len(row)) + np.bincount(b, minlength=len(row))
@@ -463,13 +541,13 @@ def verified(content: DataFrame, pairs: DataFrame, side: int, num: int, den: int
         yield pa.RecordBatch.from_arrays([pa.array(h1[some]), pa.array(h2[some]), pa.array(links[some]), pa.array(later[some])], ["h1", "h2", "n_links", "later"])
 
     plain = [F.col(c) if c in pairs.columns else F.lit(None).cast(t).alias(c) for c, t in (("block", "int"), ("h1", "bigint"), ("h2", "bigint"), ("g1", "bigint"), ("g2", "bigint"), ("blob", "binary"))]
-    pairs = pairs.select(*plain, F.lit(None).cast("bigint").alias("row"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("int").alias("unit"))
-    both = content.withColumns({"g1": F.lit(None).cast("bigint"), "g2": F.lit(None).cast("bigint")}).unionByName(pairs)
+    rest = (("row", "bigint"), ("doc_id", kind), ("unit", "int"), ("pack", "bigint"), ("slot", "int"))
+    pairs = pairs.select(*plain, *(F.lit(None).cast(t).alias(c) for c, t in rest))
+    both = content.withColumns({c: F.lit(None).cast("bigint") for c in ("h1", "h2", "g1", "g2")}).unionByName(pairs)
     return both.repartitionById(side * side, "block").mapInArrow(run, "h1 bigint, h2 bigint, n_links bigint, later boolean" if counts else "u bigint, v bigint")
 
 
 def sizes(spark, n_units: int, n_keys: int) -> tuple[int, int]:
-    """Parts that keys are dealt to, and blocks a side that pairs are dealt to."""
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys // KEYS_A_PART)
-    return parts, max(int(parts**0.5), n_units // UNITS_A_SIDE, 1)
-
+    """Parts that keys are dealt to, two for a shuffle partition, as their arrays are wide; and blocks a side that pairs are dealt to."""
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys // KEYS_A_PART)
+    return parts, max(int((n_units / UNITS_A_BLOCK) ** 0.5), 2)
