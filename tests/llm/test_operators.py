@@ -216,6 +216,41 @@ def test_ppm(spark):
     assert rows(ppm.score(empty(spark))) == []
 
 
+def test_ppm_equals_brute_force(spark):
+    """Method D with exclusion, byte by byte from counted contexts, over texts that share contexts and some that share none."""
+    order, texts = 3, [(k, prose(30, k)) for k in range(25)] + [(90, None), (91, "ÿ new bytes \x00 here"), (92, "zzzz" * 9), (93, "the river")]
+    lowered = {i: (t or "").translate(LOWER).encode() for i, t in texts}
+    counts: dict[bytes, collections.Counter] = collections.defaultdict(collections.Counter)
+    for i, t in lowered.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            padded = bytes([0xFE]) * order + t + bytes([0xFF])
+            for at in range(order, len(padded)):
+                for k in range(order + 1):
+                    counts[padded[at - k : at]][padded[at]] += 1
+
+    def cost(context, symbol):
+        p, excluded = 1.0, set()
+        for k in range(order, -1, -1):
+            seen = counts.get(context[len(context) - k :])
+            if not seen:
+                continue
+            left = {x: n for x, n in seen.items() if x not in excluded}
+            total = 2 * sum(left.values())
+            if symbol in left:
+                return p * (2 * left[symbol] - 1) / total
+            p *= len(left) / total if left else 1.0
+            excluded |= set(seen)
+        return p / (257 - len(excluded))
+
+    expected = {}
+    for i, t in lowered.items():
+        padded = bytes([0xFE]) * order + t + bytes([0xFF])
+        expected[i] = sum(math.log10(cost(padded[at - order : at], padded[at])) for at in range(order, len(padded)))
+    for block in (2_000_000, 500):
+        got = {r["doc_id"]: r["score"] for r in ppm.score(frame(spark, texts), order=order, block_grams=block).collect()}
+        assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-4 * max(1, abs(expected[i])) for i in expected)
+
+
 def test_ppm_predicts_held_out_text_from_context(spark):
     """Where each word mostly decides the next, contexts predict what word counts cannot; noise alone gains nothing."""
     r = random.Random(4)
@@ -256,6 +291,27 @@ def test_decontamination(spark):
     assert rows(decontamination.matches(empty(spark), benchmark)) == [] and rows(decontamination.matches(docs, benchmark.limit(0))) == []
 
 
+def test_decontamination_misses_no_edited_item(spark):
+    """Every pair of text and item that aligns well enough anywhere, by brute force over all pairs; also with longer n-grams."""
+    r = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(400)]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(14, 40)))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        inner = items[r.randrange(len(items))][1].split()
+        for _ in range(r.randint(0, len(inner) // 5)):
+            at = r.randrange(len(inner))
+            inner[at : at + 1] = r.choice(([], ["changed"], [inner[at], "added"]))
+        docs.append((k, " ".join([*(r.choice(vocabulary) for _ in range(40)), *(inner if k % 3 else []), *(r.choice(vocabulary) for _ in range(30))])))
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    number = {w: i for i, w in enumerate({w for _, t in items + docs for w in t.split()})}
+    coded = lambda t: np.array([number[w] for w in t.split()])
+    expected = {(i, j) for i, t in docs for j, x in items if decontamination.align(coded(x), coded(t))[0] >= 0.5 * 2 * len(x.split())}
+    assert len(expected) >= 40
+    for n in (3, 4):
+        assert {(x["doc_id"], x["item_id"]) for x in decontamination.matches(frame(spark, docs), benchmark, n=n).collect()} == expected
+
+
 def test_alignment_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(50):

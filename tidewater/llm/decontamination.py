@@ -6,8 +6,8 @@ least).  Seeds of one item that hit a text near one diagonal mark a window, and
 2, mismatch -1, gap -1) of item and window is scored as a share of the item's perfect score.  So copies, and copies with
 words replaced, added or left out, are found as long as ``least_seeds`` seeds survive.
 
-The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text, each a pass over the documents; the
-documents are never shuffled.
+The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text, two passes over the documents each; one block's
+index at a time is on the driver, and the documents are never shuffled.
 
 Defined results: null texts and items, and items of fewer than ``n`` words, match nothing; repeated document rows give
 repeated matches; repeated items match each; empty tables give an empty result; extra columns are left out, or kept
@@ -17,13 +17,14 @@ by ``keep_clean``.  The score of a document that holds an item twice is that of
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import as_bytes, id_text, pieces
+from ._text import as_bytes, id_text, mix, pieces
 
 BLANKED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MATCH, MISS, GAP = 2, -1, -1
@@ -40,9 +41,6 @@ class Index:
         self.n, self.ids = n, [i for i, _ in items]
         self.place: dict[bytes, int] = {}
         self.items = [np.array([self.place.setdefault(w, len(self.place)) for w in words_of(t)], np.int64) for _, t in items]
-        self.base = len(self.place) + 1
-        if self.base**n >= 1 << 62:
-            raise ValueError("block_bytes is too large for n-grams of this length")
         keys, item, at = [], [], []
         for i, words in enumerate(self.items):
             k = self.grams(words)
@@ -55,15 +53,15 @@ class Index:
         self.distinct = np.unique(keys)
 
     def grams(self, words: np.ndarray) -> np.ndarray:
-        """Keys of the n-grams; negative where a word is in no item."""
+        """Keys of the n-grams, 62-bit digests; negative where a word is in no item.  Two that fall together make a false seed, no match."""
         m = len(words) - self.n + 1
         if m <= 0:
             return np.zeros(0, np.int64)
-        key, known = np.zeros(m, np.int64), np.ones(m, bool)
+        key, known = np.zeros(m, np.uint64), np.ones(m, bool)
         for j in range(self.n):
-            key = key * self.base + words[j : j + m]
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + words[j : j + m].astype(np.uint64) + np.uint64(1))
             known &= words[j : j + m] >= 0
-        return np.where(known, key, -1)
+        return np.where(known, (key >> np.uint64(2)).astype(np.int64), -1)
 
     def encode(self, text: bytes) -> np.ndarray:
         get = self.place.get
@@ -148,12 +146,11 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return top
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, n: int, seed_share: float, block_bytes: int, item_col: str, item_text: str) -> list[Index]:
-    """One index with chosen seeds for each block of the benchmark."""
+def indexes(docs: DataFrame, benchmark: DataFrame, n: int, seed_share: float, block_bytes: int, item_col: str, item_text: str) -> Iterator[Index]:
+    """One index with chosen seeds for each block of the benchmark, made when it is asked for."""
     items = id_text(benchmark, item_col, item_text)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
-    out = []
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(blocks)) == k).orderBy("doc_id", "text").collect()
         index = Index([(r["doc_id"], r["text"].encode()) for r in block], n)
@@ -170,8 +167,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, n: int, seed_share: float, bl
         for r in docs.mapInArrow(count, "gram bigint, times bigint").groupBy("gram").agg(F.sum("times").alias("times")).collect():  # as long as the block
             frequency[r["gram"]] = r["times"]
         index.choose(frequency, seed_share)
-        out.append(index)
-    return out
+        yield index
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, seed_share: float = 0.8, least_seeds: int = 2, least_score: float = 0.5, slack: int = 16, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
