@@ -51,8 +51,29 @@ def test_transducer_equals_library_on_random_bytes(library):
     for _ in range(300):
         text = "".join(rng.choice(alphabet, size=rng.integers(1, 60)))
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
-        parts = [text[i : i + 9] for i in range(0, len(text), 9)]
-        assert token_counts.close(token_counts.fold([token_counts.chunk_map(p, counter) for p in parts], counter), counter) == counter.count(text), repr(text)
+        for size in (3, 9):
+            assert composed(text, size, counter) == counter.count(text), repr(text)
+
+
+def composed(text, size, counter):
+    chunks = token_counts.chunks_of(text, size, counter)
+    assert "".join(c for c, _, _ in chunks) == text
+    return token_counts.composed([token_counts.chunk_map(*x, counter) for x in chunks], counter)
+
+
+def test_chunk_maps_compose_without_spaces(spark, library):
+    """Runs without a token's edge: other alphabets, one repeated letter, signs, digits; the maps meet, not the texts."""
+    counter, r = token_counts.Counter(BPE), random.Random(6)
+    texts = ["".join(r.choice("中文字测试語学校時間") for _ in range(9000)), "a" * 9001, "=" * 8000 + "-" * 777, "1234567890" * 700, "word" * 1999 + "'s" * 50, "ab" * 3000 + "<|endoftext|>" * 9 + "é" * 3000, " " * 5000 + "x", "\n" * 400]
+    for text in texts:
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        maps = [token_counts.chunk_map(*x, counter) for x in token_counts.chunks_of(text, 500, counter)]
+        assert token_counts.composed(maps, counter) == n == counter.count(text), text[:20]
+        if " " not in text[:2] and "\n" not in text:
+            assert len(maps) > 10 and max(len(m["head"]) for m in maps) <= token_counts.WINDOW
+    long = "".join(r.choice("的一是不了人我在有他这中大来上国") for _ in range(60_000))
+    got = token_counts.count_tokens(frame(spark, [(1, long), (2, "short"), (3, None)]), BPE, chunk_chars=2000, split_chars=10_000)
+    assert {(x["doc_id"], x["n_bytes"], x["n_tokens"]) for x in got.collect()} == {(1, 180_000, len(library.encode(long, add_special_tokens=False).ids)), (2, 5, len(library.encode("short", add_special_tokens=False).ids)), (3, 0, 0)}
 
 
 def test_packing(spark, library):

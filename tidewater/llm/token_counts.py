@@ -5,11 +5,12 @@ to themselves.  So the last token of every prefix is decided by the last few byt
 prefixes before: a finite state.  ``Transducer`` compiles states and transitions as they are first needed and notes
 on each transition by how much the count of tokens changes; reading a word is then one lookup a byte.
 
-Text falls into segments at every single space between two other characters, where a token always starts.  A chunk
-of text maps the state before it to the state after it and a count; as all states meet at the first such cut, the map
-is kept as (head before the first cut, count between, tail after the last cut).  Maps compose associatively, in
-a tree over a text's chunks.  Texts of more than ``split_chars`` characters are dealt out by chunk to many tasks and
-their maps composed afterwards.
+Texts of more than ``split_chars`` characters are cut into chunks that many tasks count.  A cut falls at a single space between two other
+characters, where a token always starts, or else within a run of letters, numbers or other signs, where it does not.  Such a chunk
+maps the state before it to the state after it and a count, for the states that the text before the cut passes through; from any
+other state the transducer runs on until it meets the known run, as it does within a few bytes of ordinary text.  A document's maps, not
+its texts, then meet and are composed in order of their chunks.  Where a state neither is known nor meets the run (no text is known to do so) the
+document is counted whole.  Only a run of blanks is never cut.
 
 Defined results: null or empty text: no bytes, no tokens; special strings inside texts count as one token, as the
 library does by default; repeated rows give repeated results; an empty table gives an empty result; extra columns are
@@ -19,13 +20,14 @@ left out.
 from __future__ import annotations
 
 import json
+import pickle
 import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import as_bytes, id_text, pieces
+from ._text import as_bytes, cut, id_text, pieces, placed_rows
 
 BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -98,13 +100,38 @@ class Transducer:
         self.moves[s][byte] = move = (self.state((suffix[len(suffix) - keep :], last[: keep + 1], behind[: keep + 1])), change)
         return move
 
-    def count(self, data: bytes) -> int:
-        s, n, moves = self.start, 0, self.moves
+    def run(self, s: int, data: bytes) -> tuple[int, int]:
+        """The state after ``data`` and the change of the count."""
+        n, moves = 0, self.moves
         for byte in data:
             move = moves[s].get(byte) or self.compile(s, byte)
             s = move[0]
             n += move[1]
-        return n
+        return s, n
+
+    def count(self, data: bytes) -> int:
+        return self.run(self.start, data)[1]
+
+    def trace(self, s: int, data: bytes) -> tuple[list[int], list[int]]:
+        """States and counts after 0, 1, ... bytes."""
+        states, counts = [s], [0]
+        for byte in data:
+            move = self.moves[s].get(byte) or self.compile(s, byte)
+            s = move[0]
+            states.append(s)
+            counts.append(counts[-1] + move[1])
+        return states, counts
+
+    def meet(self, s: int, data: bytes, states: list[int], counts: list[int]) -> tuple[int, int] | None:
+        """As run, from another state: (state, change) once it meets the trace of ``data``, which gives the rest; None if it never does."""
+        n = 0
+        for i, byte in enumerate(data):
+            if s == states[i]:
+                return states[-1], n + counts[-1] - counts[i]
+            move = self.moves[s].get(byte) or self.compile(s, byte)
+            s = move[0]
+            n += move[1]
+        return (s, n) if s == states[len(data)] else None
 
 
 class Irregular(Exception):
@@ -133,6 +160,7 @@ class Counter:
         self.machine = Transducer(path)
         self.kinds: dict[str, str] = dict.fromkeys(BLANKS, "s")
         self.first, self.next = WordCounts(self, ""), WordCounts(self, " ")
+        self.special_bytes = {x.encode() for x in self.machine.special}
 
     def kind(self, c: str) -> str:
         """s blank, L letter, N number, O other."""
@@ -156,12 +184,17 @@ class Counter:
 
     def segments(self, text: str) -> int:
         """As count, whatever blanks there are: cut at special strings, then into pre-tokens."""
-        n = 0
+        return sum(1 if p in self.special_bytes else self.machine.count(p) for p in self.parts(text))
+
+    def parts(self, text: str):
+        """Pre-tokens and special strings, in order."""
         while text:
             at, special = min(((text.find(s), s) for s in self.machine.special if s in text), default=(len(text), ""), key=lambda x: (x[0], -len(x[1])))
-            n += sum(self.machine.count(p.encode()) for p in self.pretokens(text[:at])) + bool(special)
+            for p in self.pretokens(text[:at]):
+                yield p.encode()
+            if special:
+                yield special.encode()
             text = text[at + len(special) :]
-        return n
 
     def pretokens(self, text: str):
         i, n, kind = 0, len(text), self.kind
@@ -188,56 +221,103 @@ class Counter:
             i = end
 
 
-Map = tuple[str, int, str, bool]  # head, count between, tail, whether there is a cut; without one all is head
-
-
-def chunk_map(text: str, counter: Counter) -> Map:
-    """The state map of a chunk of text."""
-    cuts = []
-    at = text.find(" ", 1)
-    while at > 0 and at + 1 < len(text):
-        if not text[at - 1].isspace() and not text[at + 1].isspace():
-            cuts.append(at)
-            break
-        at = text.find(" ", at + 1)
-    if not cuts:
-        return text, 0, "", False
-    at = text.rfind(" ", 0, len(text) - 1)
-    while text[at - 1].isspace() or text[at + 1].isspace():
-        at = text.rfind(" ", 0, at)
-    # a segment between cuts starts with its space, so its first word takes the space too
-    inner = text[cuts[0] : at]
-    return text[: cuts[0]], between(inner, counter), text[at:], True
-
+WINDOW = 4096  # how far a cut looks for a space, and how many bytes of a head are kept
+CONTEXT = 64
 
-def between(inner: str, counter: Counter) -> int:
-    """Tokens of text that is empty or starts with a cut's space."""
-    return counter.count("." + inner) - counter.count(".") if inner else 0
 
+def chunks_of(text: str, size: int, counter: Counter) -> list[tuple[str, str, bool]]:
+    """The text in chunks of about ``size`` characters: (chunk, context, whether the last pre-token goes on in the next chunk).
 
-def compose(a: Map, b: Map, counter: Counter) -> Map:
-    """The map of two neighbouring chunks.  A cut may also fall where they meet."""
-    if not a[3] and not b[3]:
-        return chunk_map(a[0] + b[0], counter)
-    if not a[3]:
-        m = chunk_map(a[0] + b[0], counter)
-        return (m[0], m[1] + between(m[2], counter) + b[1], b[2], True) if m[3] else (m[0], b[1], b[2], True)
-    if not b[3]:
-        m = chunk_map("." + a[2] + b[0], counter)
-        return (a[0], a[1] + m[1], m[2], True)
-    return a[0], a[1] + between(a[2] + b[0], counter) + b[1], b[2], True
+    The context is the end of the run that the cut before the chunk interrupts; it is empty where a token starts.
+    """
+    kind, specials = counter.kind, counter.machine.special
 
+    def inside(i: int) -> bool:
+        """Whether the characters on both sides of ``i`` are surely in one pre-token."""
+        k = kind(text[i - 1])
+        if k == "s" or kind(text[i]) != k or k == "L" and (i < 3 or kind(text[i - 2]) != "L" or kind(text[i - 3]) != "L"):
+            return False  # up to two letters may belong to a contraction
+        return not any(text.find(x, max(0, i - len(x) - 2), i + len(x)) >= 0 for x in specials)
 
-def fold(maps: list[Map], counter: Counter) -> Map:
-    """All maps composed, as a tree."""
-    while len(maps) > 1:
-        maps = [compose(*maps[i : i + 2], counter) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
+    edges: list[tuple[int, bool]] = [(0, False)]
+    at = size
+    while at < len(text) - 1:
+        spaces = range(at, min(at + WINDOW, len(text) - 1))
+        found = next((i for i in spaces if text[i] == " " and kind(text[i - 1]) != "s" and kind(text[i + 1]) != "s"), None)
+        joined = found is None
+        if joined:
+            found = next((i for i in range(at, len(text)) if inside(i)), None)
+        if found is None:
+            break
+        edges.append((found, joined))
+        at = found + size
+    out = []
+    for (a, joined), (b, goes_on) in zip(edges, [*edges[1:], (len(text), False)]):
+        start = a
+        while joined and start > max(0, a - CONTEXT) and kind(text[start - 1]) == kind(text[a]):
+            start -= 1
+        out.append((text[a:b], text[start:a], goes_on))
+    return out
+
+
+def chunk_map(chunk: str, context: str, goes_on: bool, counter: Counter) -> dict:
+    """The state map of a chunk.
+
+    ``head``: the first bytes of what belongs to the pre-token before, ``head_size`` its length; ``entries``: for states before the chunk, the
+    state and count after the head; ``n``: tokens after the head; ``exit``: the state at the end, None where the head is all there is.
+    """
+    machine, kind = counter.machine, counter.kind
+    end, special = 0, min((at for x in machine.special if (at := chunk.find(x)) >= 0), default=len(chunk))
+    while context and end < special and kind(chunk[end]) == kind(context[-1]):
+        end += 1
+    head, rest = chunk[:end].encode(), chunk[end:]
+    entries = {}
+    if head:
+        before, _ = machine.trace(machine.start, context.encode())
+        states, counts = machine.trace(before[-1], head)
+        for s in dict.fromkeys([before[-1], *before]):
+            after, n = machine.meet(s, head, states, counts) or machine.run(s, head)
+            entries[machine.states[s]] = (machine.states[after], n)
+    out = {"head": head[:WINDOW], "head_size": len(head), "entries": entries, "n": 0, "exit": None}
+    if not goes_on:
+        return out | {"n": between(rest, counter), "exit": machine.states[machine.start]}
+    if not rest:
+        return out
+    at = next((i for i in range(len(rest) - 2, 0, -1) if rest[i] == " " and kind(rest[i - 1]) != "s" and kind(rest[i + 1]) != "s"), 0)
+    *closed, last = counter.parts(rest[at:])
+    state, n = machine.run(machine.start, last)
+    closed_tokens = sum(1 if p in counter.special_bytes else machine.count(p) for p in closed)
+    return out | {"n": between(rest[:at], counter) + closed_tokens + n, "exit": machine.states[state]}
 
 
-def close(m: Map, counter: Counter) -> int:
-    """The count, once nothing comes before or after."""
-    return counter.count(m[0]) + m[1] + between(m[2], counter)
+def between(inner: str, counter: Counter) -> int:
+    """Tokens of text that starts and ends at a token's edge."""
+    return counter.count("." + inner) - counter.count(".") if inner.startswith(" ") and inner[1:2] not in ("", " ") else counter.count(inner)
+
+
+def composed(maps: list[dict], counter: Counter) -> int | None:
+    """The count of a document from the maps of its chunks, in order; None if a state is not known and does not meet the known run."""
+    machine, total = counter.machine, 0
+    state = machine.states[machine.start]
+    for m in maps:
+        if m["head_size"]:
+            got = m["entries"].get(state)
+            if got is None:
+                (first, (after, n)), head = next(iter(m["entries"].items())), m["head"]
+                states, counts = machine.trace(machine.state(first), head)
+                met = machine.meet(machine.state(state), head, states, counts)
+                if met is not None:
+                    got = (after, met[1] + n - counts[-1])
+                elif len(head) == m["head_size"]:
+                    s, k = machine.run(machine.state(state), head)
+                    got = (machine.states[s], k)
+                else:
+                    return None
+            state = got[0]
+            total += got[1]
+        total += m["n"]
+        state = m["exit"] or state
+    return total
 
 
 def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, chunk_chars: int = 1 << 16, split_chars: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,33 +328,40 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, chunk_chars: i
     def whole(batches):
         counter = Counter(tokenizer)
         for batch in pieces(batches):
-            texts = [b.decode() for b in as_bytes(batch.column("text"))]
-            n = [counter.count(t) if len(t) <= chunk_chars else close(fold([chunk_map(t[i : i + chunk_chars], counter) for i in range(0, len(t), chunk_chars)], counter), counter) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) for b in as_bytes(batch.column("text"))], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            texts = as_bytes(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) for b in texts], pa.int64()), pa.array([counter.count(b.decode()) for b in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     def chunks(batches):
+        counter = Counter(tokenizer)
         for batch in pieces(batches):
-            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
-                for part, i in enumerate(range(0, len(text), chunk_chars)):
-                    yield pa.RecordBatch.from_pylist([{"row": row, "doc_id": doc, "part": part, "text": text[i : i + chunk_chars]}], schema=pa.schema([("row", pa.int64()), batch.schema.field("doc_id"), ("part", pa.int64()), ("text", pa.string())]))
+            for i, (row, text) in enumerate(zip(batch.column("row").to_pylist(), as_bytes(batch.column("text")))):
+                for part, (chunk, context, goes_on) in enumerate(chunks_of(text.decode(), chunk_chars, counter)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row], pa.int64()), batch.column("doc_id").slice(i, 1), pa.array([part], pa.int64()), pa.array([chunk], pa.string()), pa.array([context], pa.string()), pa.array([goes_on])],
+                        ["row", "doc_id", "part", "text", "context", "goes_on"],
+                    )
 
     def maps(batches):
         counter = Counter(tokenizer)
         for batch in pieces(batches):
-            got = [chunk_map(b.decode(), counter) for b in as_bytes(batch.column("text"))]
-            m = pa.StructArray.from_arrays([batch.column("part").cast(pa.int64()), *(pa.array([x[i] for x in got], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.bool_())))], ["part", "head", "n", "tail", "met"])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(b) for b in as_bytes(batch.column("text"))], pa.int64()), m], ["row", "doc_id", "n_bytes", "m"])
+            chunk = [b.decode() for b in as_bytes(batch.column("text"))]
+            made = [pickle.dumps(chunk_map(*x, counter)) for x in zip(chunk, batch.column("context").to_pylist(), batch.column("goes_on").to_pylist())]
+            m = pa.StructArray.from_arrays([batch.column("part"), pa.array(made, pa.binary())], ["part", "map"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(x.encode()) for x in chunk], pa.int64()), m], ["row", "doc_id", "n_bytes", "m"])
 
     def closed(batches):
         counter = Counter(tokenizer)
         for batch in batches:
-            n = [close(fold([(x["head"], x["n"], x["tail"], x["met"]) for x in ms], counter), counter) for ms in batch.column("ms").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            n = [composed([pickle.loads(x["map"]) for x in ms], counter) for ms in batch.column("ms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["row", "doc_id", "n_bytes", "n_tokens"])
 
     out = f"doc_id {kind}, n_bytes bigint, n_tokens bigint"
-    long = rows.withColumn("row", F.monotonically_increasing_id()).filter(F.length("text") > split_chars)
-    parts = long.mapInArrow(chunks, f"row bigint, doc_id {kind}, part bigint, text string").repartition("row", "part")
-    mapped = parts.mapInArrow(maps, f"row bigint, doc_id {kind}, n_bytes bigint, m struct<part:bigint,head:string,n:bigint,tail:string,met:boolean>")
-    joined = mapped.groupBy("row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list("m")).alias("ms"))
     short = rows.filter(F.length("text") <= split_chars).mapInArrow(whole, out)
-    return short.union(joined.select("doc_id", "n_bytes", "ms").mapInArrow(closed, out)).withColumn("over_limit", F.col("n_tokens") > limit)
+    long = cut(placed_rows(df, id_col, text_col).filter(F.length("text") > split_chars))
+    parts = long.mapInArrow(chunks, f"row bigint, doc_id {kind}, part bigint, text string, context string, goes_on boolean").repartition("row", "part")
+    mapped = parts.mapInArrow(maps, f"row bigint, doc_id {kind}, n_bytes bigint, m struct<part:bigint,map:binary>")
+    joined = mapped.groupBy("row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list("m")).alias("ms")).select("row", "doc_id", "n_bytes", "ms")
+    counted = cut(joined.mapInArrow(closed, f"row bigint, {out}"))
+    again = long.join(counted.filter("n_tokens is null").select("row"), "row", "left_semi").select("doc_id", "text").mapInArrow(whole, out)
+    done = counted.filter("n_tokens is not null").select("doc_id", "n_bytes", "n_tokens")
+    return short.union(done).union(again).withColumn("over_limit", F.col("n_tokens") > limit)
