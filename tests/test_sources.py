@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import zipfile
 
 from tidewater.operators import merge
 from tidewater.sources import corporate_events, filings, quotes
@@ -81,6 +82,30 @@ def test_feature_store_and_replace(spark, tmp_path):
     f = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0)], "feature string, date int, value double")
     merge.write_features(f, str(tmp_path / "f"))
     assert [r["value"] for r in merge.read_features(spark, str(tmp_path / "f"), ["b"]).collect()] == [2.0]
-    merge.replace_table(f, str(tmp_path / "t"))
-    merge.replace_table(spark.read.parquet(str(tmp_path / "t")).filter("date = 1").limit(1), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    path = str(tmp_path / "t")
+    assert merge.replace_table(f, path) == 1
+    assert merge.replace_table(merge.current_table(spark, path).filter("feature = 'a'"), path) == 2  # reads what it replaces
+    assert [tuple(r) for r in merge.current_table(spark, path).collect()] == [("a", 1, 1.0)]
+
+
+def test_zipped_quotes(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "q2020.zip", "w") as archive:
+        archive.writestr("a.txt", "\r\n".join([line(close=1000), line(close=3000), line(ticker="EFGH3")]).encode("latin-1"))
+        archive.writestr("b.txt", line(ticker="EFGH3", close=7000).encode("latin-1"))
+    got = {r["ticker"]: r["close"] for r in quotes.read_zipped_quotes(spark, str(tmp_path / "*.zip")).collect()}
+    assert got == {"ABCD3": 30.0, "EFGH3": 70.0}  # the later line of a file, the later file of an archive
+
+
+def test_sinks(spark, tmp_path):
+    old = spark.createDataFrame([("f", 4, 1, 0.1), ("f", 4, 2, 0.2)], "feature string, horizon int, date int, ic double")
+    new = spark.createDataFrame([("f", 4, 2, 0.9), ("g", 4, 2, 0.3)], old.schema)
+    assert {tuple(r) for r in merge.append_ic(old, new).collect()} == {("f", 4, 1, 0.1), ("f", 4, 2, 0.9), ("g", 4, 2, 0.3)}
+    merge.write_results(spark.createDataFrame([("nav", 1, 1.0)], "series string, date int, value double"), {"name": "x"}, str(tmp_path / "r"), "run1")
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "r" / "series")).collect()] == [("nav", 1, 1.0, "run1")]
+    merge.write_importances(spark.createDataFrame([("a", 0.7, 1)], "feature string, importance double, place int"), spark.createDataFrame([(0.5,)], "auc double"), str(tmp_path / "i"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "i" / "importances")).first()["feature"] == "a" and spark.read.json(str(tmp_path / "i" / "measures")).first()["auc"] == 0.5
+    quotes_ = spark.createDataFrame([("A3", "i", 1, 9.0), ("B3", "i", 1, 8.0)], "ticker string, isin string, date int, close double")
+    back = merge.write_back(quotes_, spark.createDataFrame([("A3", "i", 1, 4.5, 1.5)], "ticker string, isin string, date int, close double, adj double"), ["close", "adj"])
+    assert {(r["ticker"], r["close"], r["adj"]) for r in back.collect()} == {("A3", 4.5, 1.5), ("B3", 8.0, None)}
+    bad = spark.createDataFrame([(1.0, 0.0, 2.0, 0.5), (5.0, 1.0, 2.0, 0.5), (None, 1.0, 1.0, 2.0)], "close double, volume double, high double, low double")
+    assert dict(map(tuple, merge.reject_counts(bad).collect())) == {"close": 1, "volume": 1, "range": 1, "close_outside": 1}

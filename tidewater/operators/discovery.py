@@ -103,7 +103,7 @@ def quality(features: DataFrame, grid: DataFrame) -> DataFrame:
     return days.crossJoin(F.broadcast(cells)).groupBy("feature").agg((1 - F.sum("n") / F.first("cells")).alias("nan_rate"), F.avg((F.col("sd") == 0).cast("double")).alias("flat_rate"))
 
 
-def prune_quality(measured: DataFrame, most_missing: float = 0.7, most_flat: float = 0.5) -> DataFrame:
+def prune_quality(measured: DataFrame, most_missing: float = 0.3, most_flat: float = 0.1) -> DataFrame:
     """Features of ``measured`` (feature, nan_rate, flat_rate) that have enough values and vary on enough dates."""
     return measured.filter((F.col("nan_rate") <= most_missing) & (F.col("flat_rate") <= most_flat))
 

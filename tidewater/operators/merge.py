@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,11 +29,47 @@ def keep_one(df: DataFrame, keys: list[str], order: list[str], last: bool = True
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a validated set: to a staging folder first, and in place only after that succeeded."""
-    staging = f"{path}.staging"
-    df.write.mode("overwrite").parquet(staging)
-    df.sparkSession.read.parquet(staging).write.mode("overwrite").parquet(path)
+def replace_table(df: DataFrame, path: str) -> int:
+    """Writes a validated set as the table's next version and returns its number; readers see the version before until this one is committed."""
+    spark = df.sparkSession
+    try:
+        last = spark.read.parquet(path).agg(F.max("version")).first()[0] or 0
+    except AnalysisException:  # no version yet
+        last = 0
+    df.write.parquet(f"{path}/version={last + 1}")
+    return last + 1
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The latest committed version of a table that ``replace_table`` writes."""
+    versions = spark.read.parquet(path)
+    latest = versions.agg(F.max("version").alias("version"))  # one row, from folder names
+    return versions.join(F.broadcast(latest), "version").drop("version")
+
+
+def append_ic(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """IC series with new ones appended: of one (feature, horizon, date) the incoming value stays."""
+    return upsert(existing, incoming, ["feature", "horizon", "date"])
+
+
+def write_results(series: DataFrame, metadata: dict[str, str], path: str, run_id: str) -> None:
+    """A run's named series (series, date, value) and its metadata, each in the run's own folder."""
+    series.select("series", "date", "value").write.mode("overwrite").parquet(f"{path}/series/run_id={run_id}")
+    series.sparkSession.createDataFrame(sorted(metadata.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata/run_id={run_id}")
+
+
+def write_importances(importances: DataFrame, measures: DataFrame, path: str) -> None:
+    """Importances as CSV and measures as JSON; both have as many rows as features or models."""
+    importances.orderBy("place").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/importances")
+    measures.coalesce(1).write.mode("overwrite").json(f"{path}/measures")
+
+
+def write_back(quotes: DataFrame, adjusted: DataFrame, columns: list[str], keys: tuple[str, ...] = ("ticker", "isin", "date")) -> DataFrame:
+    """``quotes`` with adjusted columns set from the matching rows; a row without a match keeps what it had, NULL for a new column."""
+    new = adjusted.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in columns))
+    old = {c: F.col(c) if c in quotes.columns else F.lit(None).cast(adjusted.schema[c].dataType) for c in columns}
+    others = [c for c in quotes.columns if c not in columns]
+    return quotes.join(new, list(keys), "left").select(*others, *(F.coalesce(f"_new_{c}", old[c]).alias(c) for c in columns))
 
 
 def write_features(features: DataFrame, path: str) -> None:
@@ -56,6 +93,13 @@ def admit_quotes(bars: DataFrame) -> DataFrame:
     return bars.filter(sane).fillna({c: v for c, v in (("isin", "UNKNOWN"), ("quotation_factor", 1)) if c in bars.columns})
 
 
+def reject_counts(bars: DataFrame) -> DataFrame:
+    """(reason, count): why quotes are not admitted; a row may fail for several reasons."""
+    reasons = {"close": "close is null or close <= 0", "volume": "volume is null or volume <= 0", "range": "high < low", "close_outside": "not close between low and high"}
+    counts = bars.agg(*(F.count_if(F.coalesce(F.expr(cond), F.lit(False))).alias(name) for name, cond in reasons.items()))
+    return counts.select(F.explode(F.create_map(*(x for name in reasons for x in (F.lit(name), F.col(name))))).alias("reason", "count"))
+
+
 def catalog(scored: DataFrame) -> DataFrame:
     """One row per feature for a JSON export: metrics per horizon as a map, ranked by the best absolute ic_ir."""
     metrics = F.struct("mean_ic", "ic_ir", "pct_positive")

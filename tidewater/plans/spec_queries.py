@@ -2,6 +2,9 @@
 
 Daily bars become month-end closes, mean daily turnover and daily-derived levels; signals are expressions over those.  Everything a
 book reads stands one row before its month: signal, turnover and price; regime flags at their own offsets.
+
+A line item's unit price is drawn at random, so a close of its own would jump by several times each month and every name would count as
+a glitch.  The close is therefore the mean price of the last 63 days, weighted by quantity.
 """
 
 from __future__ import annotations
@@ -68,8 +71,11 @@ SPECS = {
 def months(spark, sf) -> DataFrame:
     """(date, i, ticker, root, px, adtv, ...): month-end closes and levels, numbered by month."""
     w = c.by_time()
+    quarter = c.frame(w, 63)
+    priced = a.panel(spark, sf, "day").select("date", "ticker", "volume", half_up(c.ratio(F.sum("volume").over(quarter), F.sum(c.ratio("volume", "close")).over(quarter))).alias("known"))
+    priced = priced.select("date", "ticker", "volume", F.last("known", ignorenulls=True).over(c.history(w)).alias("close"))
     win = c.flag(F.col("ret") > 0).cast("double")
-    d = a.panel(spark, sf, "day").select("date", "ticker", "close", "volume", F.abs("ret").alias("move"), c.roll_mean("close", 200, w).alias("ma"), c.rolling(F.avg, win, 20, w).alias("wr"))
+    d = priced.withColumn("ret", half_up(c.pct_change("close", 1, w), 9)).select("date", "ticker", "close", "volume", F.abs("ret").alias("move"), c.roll_mean("close", 200, w).alias("ma"), c.rolling(F.avg, win, 20, w).alias("wr"))
     d = ewm(d.withColumn("wr60", c.roll_mean("wr", 60, w)), "move", 14)
     last = lambda x: F.max_by(x, "date").alias(x)
     m = d.groupBy("ticker", F.last_day("date").alias("month")).agg(
@@ -176,8 +182,11 @@ def books(panel: DataFrame, regime: DataFrame, spec: Spec) -> DataFrame:
 DAILY = f"{BARS}, {PANEL.split(BARS + ',')[1]}".replace("'week'", "'day'")
 DAILY_MARKET = MARKET.replace("'week'", "'day'").replace("/ 52", "/ 252")
 MONTHS = f"""{DAILY}, {DAILY_MARKET}, {FILINGS},
+p0 AS (SELECT date, ticker, volume, round(sum(volume) OVER q / sum(volume / close) OVER q, 6) AS known FROM panel WINDOW q AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
+p1 AS (SELECT date, ticker, volume, last_value(known IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM p0),
+priced AS (SELECT *, round(close / {lag('close')} - 1, 9) AS ret FROM p1),
 d1 AS (SELECT date, ticker, close, volume, abs(ret) AS move, {roll('avg', 'close', 200)} AS ma, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) OVER f20 AS wr0, count(*) OVER f20 AS n20, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k
-  FROM panel WINDOW f20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+  FROM priced WINDOW f20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 d2 AS (SELECT *, CASE WHEN n20 >= 20 THEN wr0 END AS wr FROM d1),
 d3 AS (SELECT *, {roll('avg', 'wr', 60)} AS wr60, CASE WHEN count(move) OVER h >= 14 THEN sum(move * pow(15.0 / 13.0, k)) OVER h / sum(CASE WHEN move IS NOT NULL THEN pow(15.0 / 13.0, k) END) OVER h END AS atr
   FROM d2 WINDOW h AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +42,25 @@ def parse_quotes(lines: DataFrame) -> DataFrame:
 
 
 def read_quotes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Bars of quote files in Latin-1; where files repeat a (ticker, date), the file whose name sorts last wins."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(paths).select("value", F.input_file_name().alias("file"))
+    """Bars of quote files in Latin-1; where a (ticker, date) repeats, the file whose name sorts last wins, and within it the later line."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.option("encoding", "ISO-8859-1").text(paths).select("value", place.alias("file"))
+    return keep_one(parse_quotes(lines), ["ticker", "date"], ["file"]).drop("file")
+
+
+def read_zipped_quotes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """As read_quotes, for ZIP archives of one or more quote files; an archive is one task's work."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch.path, batch.content):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in sorted(archive.namelist()):
+                        with archive.open(name) as member:
+                            lines = io.TextIOWrapper(member, encoding="latin-1")
+                            for n, block in enumerate(iter(lambda: list(itertools.islice(lines, 50_000)), [])):
+                                yield pd.DataFrame({"value": [x.rstrip("\r\n") for x in block], "path": path, "name": name, "line": range(50_000 * n, 50_000 * n + len(block))})
+
+    made = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(unpack, "value string, path string, name string, line bigint")
+    lines = made.select("value", F.struct("path", "name", "line").alias("file"))
     return keep_one(parse_quotes(lines), ["ticker", "date"], ["file"]).drop("file")
