@@ -76,6 +76,43 @@ def test_chunk_maps_compose_without_spaces(spark, library):
     assert {(x["doc_id"], x["n_bytes"], x["n_tokens"]) for x in got.collect()} == {(1, 180_000, len(library.encode(long, add_special_tokens=False).ids)), (2, 5, len(library.encode("short", add_special_tokens=False).ids)), (3, 0, 0)}
 
 
+def test_license_rules_equal_brute_force():
+    """Every placement of a rule's identifiers among the sentences, in the order of the rules, over random sequences."""
+    r = random.Random(9)
+    names = list(license_scan.SENTENCES)[:14]
+    rules = [(f"L{k}", [r.choice(names) for _ in range(r.randint(1, 3))]) for k in range(25)]
+    for _ in range(400):
+        ids = [r.choice([*names, None, None, None]) for _ in range(r.randint(0, 14))]
+        for gap in (0, 1, 3):
+            left, expected = dict(enumerate(ids)), []
+            for name, wanted in rules:
+                for start in range(len(ids)):
+                    taken, at = [], start
+                    for x in wanted:
+                        while at < len(ids) and ids[at] is None and taken:
+                            at += 1
+                        if at >= len(ids) or ids[at] != x or at not in left or taken and at - taken[-1] - 1 > gap:
+                            break
+                        taken.append(at)
+                        at += 1
+                    if len(taken) == len(wanted):
+                        expected.append((taken[0], name))
+                        for x in taken:
+                            del left[x]
+            assert license_scan.apply_rules(ids, rules, gap) == [n for _, n in sorted(expected)], (ids, gap)
+
+
+def test_every_known_license_sentence_is_found(spark):
+    """Each rule's own sentences, wrapped and commented as in source files, give that rule's licence first."""
+    texts = []
+    for k, (_, wanted) in enumerate(license_scan.RULES):
+        body = " ".join(license_scan.SENTENCES[x] for x in wanted).split(" ")
+        lines = [" ".join(body[i : i + 9]) for i in range(0, len(body), 9)]
+        texts.append((k, "/*\n" + "\n".join(" * " + x for x in lines) + "\n */\nint main() {}"))
+    got = {x["doc_id"]: x["license"] for x in license_scan.scan(frame(spark, texts)).collect()}
+    assert {k: got[k] for k in got} == {k: name for k, (name, _) in enumerate(license_scan.RULES)}
+
+
 def test_packing(spark, library):
     capacity = 64
     got = packing.pack(frame(spark), BPE, capacity=capacity, bucket_rows=4).toPandas()
@@ -440,8 +477,8 @@ GPL = """    This program is free software: you can redistribute it and/or modif
 
 
 def test_license_scan_knows_published_texts(spark):
-    texts = {"MIT": MIT, "Apache-2.0": APACHE, "BSD": BSD, "GPL-3.0-or-later": GPL}
-    whole = {"MIT": ["mit-grant", "asis"], "Apache-2.0": ["apache2-long", "apache2-copy"], "BSD": ["bsd-redistribution"], "GPL-3.0-or-later": ["gpl-redistribute", "gpl-hope"]}
+    texts = {"MIT": MIT, "Apache-2.0": APACHE, "BSD-2-Clause": BSD, "GPL-3.0-or-later": GPL}
+    whole = {"MIT": ["mit-grant", "asis"], "Apache-2.0": ["apache2-long", "apache2-copy", "apache2-basis"], "BSD-2-Clause": ["bsd-redistribution", "bsd-source", "bsd-binary"], "GPL-3.0-or-later": ["gpl-redistribute", "gpl-hope"]}
     flowed = lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))
     commented = lambda t: "\n".join(f" * {x}".rstrip() for x in t.split("\n"))
     forms = [str, flowed, commented, lambda t: t.replace("\n", "\r\n"), lambda t: "print(1)\n" + t + "\nmore text"]

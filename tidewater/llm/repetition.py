@@ -8,7 +8,8 @@ neighbours' common prefixes, so the intervals of the suffix array with a common
 
 Defined results: null or empty text has no words and zeros everywhere, and fails the base rule; repeated
 rows give repeated results; an empty table gives an empty result; extra columns are left out.  Memory grows with
-the longest text (about 8 bytes a word and doubling level), not with the table.
+the longest text, not with the table: four bytes a word and doubling level, of which there are as many as its longest repeat has
+binary digits (ordinary prose: under ten).
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ def longest_repeats(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if n == 0:
         return np.zeros(0, np.int64)
     order = np.argsort(words, kind="stable")
-    rank = np.empty(n, np.int64)  # rank: place of the first suffix with this prefix, from 1
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)  # rank: place of the first suffix with this prefix, from 1
     rank[order] = _starts(words[order]) + 1
     levels, k = [rank], 1
     active = _tied(order, rank)
     while len(active):
         after = active + k
         second = np.where(after < ends[active], levels[-1][np.minimum(after, n - 1)], 0)
-        first = levels[-1][active]
+        first = levels[-1][active].astype(np.int64)
         key = first * (n + 1) + second
         by = np.argsort(key, kind="stable")
         active, first, key = active[by], first[by], key[by]
