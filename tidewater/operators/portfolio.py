@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_time, col, share
+from .grid import as_of
 
 
 def best_per_root(df: DataFrame, across: list[str] = ("date", "root"), liquidity: str = "adtv") -> DataFrame:
@@ -191,7 +192,9 @@ def index_level(prices: DataFrame, members: DataFrame) -> DataFrame:
     ends = p.groupBy("period", "ticker").agg(F.max("date").alias("ends"))
     cuts = ends.select("period", F.col("ends").alias("cut")).distinct()
     first = p.groupBy("period", "ticker", "weight").agg(F.min_by("close", "date").alias("base"), F.max("date").alias("ends"))
-    at_cut = first.join(cuts, "period").filter("ends >= cut").join(p.select("period", "ticker", F.col("date").alias("_d"), "close"), ["period", "ticker"]).filter("_d <= cut").groupBy("period", "ticker", "weight", "base", "ends", "cut").agg(F.max_by("close", "_d").alias("price"))
+    name = F.struct("period", "ticker").alias("_k")
+    alive = first.join(cuts, "period").filter("ends >= cut").select(name, "period", "ticker", "weight", "base", "cut")
+    at_cut = as_of(alive, p.select(name, F.col("date").alias("_d"), F.col("close").alias("price")), "_k", "cut", "_d", ["price"])
     w = Window.partitionBy("period", "ticker").orderBy("cut")
     at_cut = at_cut.withColumn("start_price", F.coalesce(F.lag("price").over(w), F.col("base")))
     seg = at_cut.groupBy("period", "cut").agg(F.try_divide(F.sum(F.col("weight") * F.col("price") / F.col("base")), F.nullif(F.sum(F.col("weight") * F.col("start_price") / F.col("base")), F.lit(0.0))).alias("g"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import metrics, portfolio
 from . import adapters as a
-from .oracle import MARKET, PANEL, PNL, lag, pct_rank, roll
+from .oracle import BARS, MARKET, PANEL, PNL, lag, pct_rank, roll
 from . import registry
 from .registry import half_up, query, rounded
 
@@ -287,7 +287,10 @@ def drifted_nav(spark, sf):
     return nav.select("date", half_up(F.log10("nav")).alias("nav_log10"))
 
 
-@query("index_level")
+@query("index_level", f"""WITH {BARS}, p AS (SELECT CAST(date_trunc('quarter', date) AS DATE) AS period, ticker, date, close, volume FROM bars), m AS (SELECT period, ticker, sum(volume) / sum(sum(volume)) OVER (PARTITION BY period) AS weight, arg_min(close, date) AS base, max(date) AS ends FROM p GROUP BY 1, 2),
+a AS (SELECT m.*, cut FROM m JOIN (SELECT DISTINCT period, ends AS cut FROM m) c ON c.period = m.period AND m.ends >= cut), x AS (SELECT a.period, a.ticker, weight, base, cut, p.close AS price FROM a ASOF JOIN p ON p.period = a.period AND p.ticker = a.ticker AND a.cut >= p.date),
+y AS (SELECT *, coalesce(lag(price) OVER (PARTITION BY period, ticker ORDER BY cut), base) AS start FROM x), g AS (SELECT period, cut, sum(weight * price / base) / nullif(sum(weight * start / base), 0) AS g FROM y GROUP BY 1, 2)
+SELECT period, round(product(g), 6) AS growth FROM g GROUP BY 1""")
 def index_level(spark, sf):
     p = a.bars(spark, sf).withColumn("period", F.trunc("date", "quarter"))
     members = p.groupBy("period", "ticker").agg(F.sum("volume").alias("v")).withColumn("weight", c.share("v", ["period"])).select("period", "ticker", "weight")
