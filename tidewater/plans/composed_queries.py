@@ -12,7 +12,7 @@ from ..operators import grid, portfolio
 from . import adapters as a
 from .discovery_queries import IC, features, ic
 from .discovery_queries import FEATURES
-from .oracle import CASH, FILINGS, MARKET, PANEL, lag, pct_rank
+from .oracle import CASH, FILINGS, MARKET, PANEL, lag, pct_rank, roll
 from .portfolio_queries import SIGNALS, signals
 from .registry import half_up, query, rounded
 
@@ -174,3 +174,36 @@ def signal_guard(spark, sf):
     own = 1.0 / F.col("k")
     weight = F.when(F.col("live") == 0, own).when(F.col("active") == 1, own + (F.col("k") - F.col("live")) * own / F.col("live")).otherwise(0.0)
     return s.select("feature", "date", "active", half_up(weight).alias("weight"))
+
+
+@query("portfolio_easing_switch", f"""WITH {MARKET}, x AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, coalesce(lag(rate, 1) OVER (ORDER BY date) < lag(rate, 4) OVER (ORDER BY date), false) AS easing FROM market)
+SELECT date, CASE WHEN easing THEN 'market' ELSE 'cash' END AS asset, CAST(1 AS DOUBLE) AS weight FROM x WHERE i >= 5""")
+def portfolio_easing_switch(spark, sf):
+    """All in the market while the rate one row back is under that four rows back, else all in cash."""
+    o = Window.orderBy("date")  # one row a week
+    m = a.market(spark, sf).select("date", (F.row_number().over(o) - 1).alias("i"), F.coalesce(F.lag("rate", 1).over(o) < F.lag("rate", 4).over(o), F.lit(False)).alias("easing"))
+    return m.filter("i >= 5").select("date", F.when(F.col("easing"), "market").otherwise("cash").alias("asset"), F.lit(1.0).alias("weight"))
+
+
+@query("portfolio_two_buckets", f"""WITH {MARKET}, orders_w AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS date, CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 / count(*) AS level FROM orders GROUP BY 1),
+l AS (SELECT 'market' AS asset, date, level FROM market UNION ALL SELECT 'orders', date, level FROM orders_w), d AS (SELECT asset, date, round(level / {roll('avg', 'level', 26, key='asset')} - 1, 9) AS dist FROM l), s AS (SELECT asset, date, {lag('dist', key='asset')} AS dist FROM d),
+b AS (SELECT date, CASE WHEN dist > 0 THEN asset ELSE 'cash' END AS asset FROM s) SELECT date, asset, CAST(sum(0.5) AS DOUBLE) AS weight FROM b GROUP BY 1, 2""")
+def portfolio_two_buckets(spark, sf):
+    """Each of two series owns half: it holds it while it stood above its 26-row mean a row before, else that half is in cash."""
+    o = a.table(spark, sf, "orders").groupBy(F.to_date(F.date_trunc("week", "o_orderdate")).alias("date")).agg((F.sum(F.floor(F.col("o_totalprice") * 100 + 0.5)) / 100 / F.count("*")).alias("level"))
+    levels = a.market(spark, sf).select(F.lit("market").alias("asset"), "date", "level").union(o.select(F.lit("orders"), "date", "level"))
+    w = c.by_time("asset")
+    d = levels.withColumn("dist", half_up(c.ratio("level", c.roll_mean("level", 26, w)) - 1, 9)).select("asset", "date", F.lag("dist").over(w).alias("dist"))
+    return d.select("date", F.when(F.col("dist") > 0, F.col("asset")).otherwise("cash").alias("asset")).groupBy("date", "asset").agg(F.sum(F.lit(0.5)).alias("weight"))
+
+
+@query("portfolio_value_thirds", f"""WITH {LEGS}, o AS (SELECT b.date, b.ticker, row_number() OVER (PARTITION BY b.date ORDER BY cheap DESC, b.ticker) AS place FROM b JOIN val v ON v.date = b.date AND v.ticker = b.ticker WHERE roe > 0 AND pe <= 20), h AS (SELECT date, ticker, count(*) OVER (PARTITION BY date) AS n FROM o WHERE place <= 20)
+SELECT date, CAST(ticker AS VARCHAR) AS asset, round(1.0 / 3 / n, 6) AS weight FROM h UNION ALL SELECT DISTINCT date, unnest(['cash', 'market']), round(1.0 / 3, 6) FROM h UNION ALL SELECT DISTINCT date, 'cash', round(1.0, 6) FROM panel WHERE date NOT IN (SELECT date FROM h)""")
+def portfolio_value_thirds(spark, sf):
+    """A third in the two-leg value names, a third in the market, a third in cash; all in cash on dates without names."""
+    third = F.lit(1.0 / 3)
+    names = two_leg_value(spark, sf).select("date", F.col("ticker").cast("string").alias("asset")).withColumn("weight", third / F.count(F.lit(1)).over(Window.partitionBy("date")))
+    alive = names.select("date").distinct()
+    rest = alive.select("date", F.explode(F.array(F.lit("cash"), F.lit("market"))).alias("asset"), third.alias("weight"))
+    idle = a.panel(spark, sf).select("date").distinct().join(alive, "date", "left_anti").select("date", F.lit("cash"), F.lit(1.0))
+    return names.union(rest).union(idle).select("date", "asset", half_up("weight").alias("weight"))
