@@ -153,15 +153,71 @@ def feature_bands(spark, sf):
     return rounded(features(spark, sf).groupBy("feature", "date").agg(p(0.25).alias("low"), p(0.5).alias("median"), p(0.75).alias("high")), "feature", "date", "low", "median", "high")
 
 
+MODEL_FEATURES = list(CATEGORY)
+TARGETS = {"beats_median": 4, "is_positive": 4, "is_positive_13": 13}
+
+
+def modelled(spark, sf, target: str):
+    """(train, test) of the features and one 0/1 target as y, cut at 70 % of the dates."""
+    wide = features(spark, sf).groupBy("date", "ticker").pivot("feature", MODEL_FEATURES).agg(F.first("value")).dropna()
+    y = d.binary_targets(d.forward_returns(a.panel(spark, sf), [TARGETS[target]])).select("date", "ticker", F.col(target.removesuffix("_13")).cast("double").alias("y"))
+    return ml.chronological_split(wide.join(y, ["date", "ticker"]))
+
+
+def importance(spark, sf, kind: str, target: str, trees: int = 20, depth: int = 5):
+    train, test = modelled(spark, sf, target)
+    model = ml.fit(train, MODEL_FEATURES, "y", kind, trees=trees, depth=depth)
+    m = ml.measures(model.transform(test), "y").select("accuracy", "auc", "precision", "recall", "f1")
+    return ml.importances(model, MODEL_FEATURES, spark).crossJoin(F.broadcast(m))
+
+
 @query("forest_importance")
 def forest_importance(spark, sf):
-    names = ["mom13", "mom4", "vol13", "drawdown26", "range4"]
-    wide = features(spark, sf).groupBy("date", "ticker").pivot("feature", names).agg(F.first("value")).dropna()
-    y = d.binary_targets(d.forward_returns(a.panel(spark, sf), [4])).select("date", "ticker", F.col("beats_median").cast("double").alias("y"))
-    train, test = ml.chronological_split(wide.join(y, ["date", "ticker"]))
-    model = ml.fit(train, names, "y", "forest", trees=20, depth=5)
-    m = ml.measures(model.transform(test), "y").select("accuracy", "auc")
-    return ml.importances(model, names, spark).crossJoin(F.broadcast(m))
+    return importance(spark, sf, "forest", "beats_median").drop("precision", "recall", "f1")
+
+
+@query("boosted_importance")
+def boosted_importance(spark, sf):
+    return importance(spark, sf, "boosted", "beats_median")
+
+
+@query("experiment_grid")
+def experiment_grid(spark, sf):
+    """Both kinds of model on each of the three targets."""
+    parts = [importance(spark, sf, kind, target, trees=10, depth=4).select(F.lit(kind).alias("model"), F.lit(target).alias("target"), "*") for kind in ("forest", "boosted") for target in TARGETS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    train, test = modelled(spark, sf, "beats_median")
+    return ml.permutation_importance(ml.fit(train, MODEL_FEATURES, "y", "forest", trees=20, depth=5), test, MODEL_FEATURES, "y", repeats=2)
+
+
+@query("model_overlap")
+def model_overlap(spark, sf):
+    """Features among the three most important of both kinds of model."""
+    return ml.overlap(importance(spark, sf, "forest", "beats_median"), importance(spark, sf, "boosted", "beats_median"), 3)
+
+
+@query("discovery_funnel", f"""WITH {IC}, y AS (SELECT feature, date, count(value) AS n, coalesce(stddev_samp(value), 0) AS sd FROM features GROUP BY 1, 2), q AS (SELECT feature, round(1 - sum(n) / (SELECT count(*) FROM panel), 9) AS nan_rate, round(avg(CASE WHEN sd = 0 THEN 1.0 ELSE 0.0 END), 9) AS flat_rate FROM y GROUP BY 1),
+p AS (SELECT feature FROM q WHERE nan_rate <= 0.3 AND flat_rate <= 0.1), i AS (SELECT feature, round(avg(ic), 9) AS m, round(avg(ic) / nullif(stddev_samp(ic), 0), 9) AS ir FROM ic WHERE horizon = 13 AND feature IN (SELECT feature FROM p) GROUP BY 1), k AS (SELECT * FROM i WHERE abs(m) >= 0.005),
+c AS (SELECT feature FROM k ORDER BY abs(ir) DESC, feature LIMIT 3)
+SELECT 1 AS step, 'generated' AS stage, count(DISTINCT feature) AS features FROM features UNION ALL SELECT 2, 'quality', count(*) FROM p UNION ALL SELECT 3, 'mean_ic', count(*) FROM k UNION ALL SELECT 4, 'capped', count(*) FROM c""")
+def discovery_funnel(spark, sf):
+    """How many features each stage of pruning leaves: values and variance, mean IC, and the cap."""
+    f = features(spark, sf)
+    good = d.prune_quality(d.quality(f, a.panel(spark, sf)).withColumns({x: half_up(x, 9) for x in ("nan_rate", "flat_rate")})).select("feature")
+    scored = d.ic_summary(ic(spark, sf)).filter("horizon = 13").join(good, "feature").withColumns({x: half_up(x, 9) for x in ("mean_ic", "ic_ir")}).filter("abs(mean_ic) >= 0.005")
+    counted = [(1, "generated", f.select("feature").distinct()), (2, "quality", good), (3, "mean_ic", scored), (4, "capped", d.capped(scored, 3))]
+    out = None
+    for step, stage, kept in counted:
+        row = kept.agg(F.count("*").alias("features")).select(F.lit(step).alias("step"), F.lit(stage).alias("stage"), "features")
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query("quote_audit", f"WITH {BARS} SELECT 'high_below_low' AS rule, count(*) FILTER (WHERE high < low * 0.999) AS count FROM bars UNION ALL SELECT 'close_outside', count(*) FILTER (WHERE close > high * 1.001 OR close < low * 0.999) FROM bars UNION ALL SELECT 'open_outside', count(*) FILTER (WHERE open > high * 1.001 OR open < low * 0.999) FROM bars UNION ALL SELECT 'negative', count(*) FILTER (WHERE least(open, high, low, close, volume) < 0) FROM bars UNION ALL SELECT 'wide_range', count(*) FILTER (WHERE high > 3 * low) FROM bars")
