@@ -115,6 +115,10 @@ def share_multiplier(rows: DataFrame, actions: DataFrame, start: str, end: str,
     return both.withColumn("multiplier", F.coalesce("_end", F.lit(1.0)) / F.coalesce("_start", F.lit(1.0))).drop("_end", "_start")
 
 
+# Fixed values of the repair: ratios that count as splits, how closely, and the bounds on levels and volume around one.
+REPAIR_RATIOS, REPAIR_SLACK, REPAIR_AGREE, REPAIR_LEVELS, REPAIR_VOLUME = (2, 3, 4, 5, 8, 10), 0.04, 0.05, (0.6, 1.5), 3
+
+
 def repair_unrecorded(panel: DataFrame, key: str = "ticker") -> DataFrame:
     """``panel`` (close adjusted, raw_close, volume) plus repaired: closes before an unrecorded split scaled to the level after it.
 
@@ -124,11 +128,11 @@ def repair_unrecorded(panel: DataFrame, key: str = "ticker") -> DataFrame:
     w = by_time(key)
     r, raw = ratio("close", F.lag("close").over(w)), ratio("raw_close", F.lag("raw_close").over(w))
     median = lambda c, a, b: F.percentile(F.col(c), F.lit(0.5)).over(w.rowsBetween(a, b))
-    ns = F.array(*(F.lit(x) for n in (2, 3, 4, 5, 8, 10) for x in (1.0 / n, float(n))))
+    ns = F.array(*(F.lit(x) for n in REPAIR_RATIOS for x in (1.0 / n, float(n))))
     x = panel.withColumns({"_r": r, "_raw": raw, "_after": ratio(median("close", 1, 5), "close"), "_before": ratio(median("close", -6, -2), F.lag("close").over(w)), "_usual": F.when(F.count("volume").over(w.rowsBetween(-20, -1)) >= 5, median("volume", -20, -1))})
     is_split = (
-        (F.abs(F.col("_r") / F.col("_raw") - 1) <= 0.05) & F.exists(ns, lambda n: F.abs(F.col("_r") / n - 1) <= 0.04)
-        & F.col("_after").between(0.6, 1.5) & F.col("_before").between(0.6, 1.5) & (F.coalesce("volume", F.lit(0.0)) < 3 * F.col("_usual"))
+        (F.abs(F.col("_r") / F.col("_raw") - 1) <= REPAIR_AGREE) & F.exists(ns, lambda n: F.abs(F.col("_r") / n - 1) <= REPAIR_SLACK)
+        & F.col("_after").between(*REPAIR_LEVELS) & F.col("_before").between(*REPAIR_LEVELS) & (F.coalesce("volume", F.lit(0.0)) < REPAIR_VOLUME * F.col("_usual"))
     )
     x = x.withColumn("_factor", F.when(F.coalesce(is_split, F.lit(False)), F.col("_r")).otherwise(1.0))
     later = F.product("_factor").over(w.rowsBetween(1, Window.unboundedFollowing))

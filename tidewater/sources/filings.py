@@ -10,6 +10,7 @@ from ..operators.merge import keep_one
 # Legal deadlines in days, capital types by rank, account codes.
 DEADLINE = {"ITR": 45, "DFP": 90, "FRE": 90}
 CAPITAL_RANK = {"Emitido": 0, "Subscrito": 1, "Integralizado": 2}
+INCOME_CODES, INCOME_LABELS = "3.", "LUCRO.*(CONSOLIDADO )?DO PERIODO|LUCRO/PREJUIZO.*PERIODO"
 ACCOUNTS = {"3.01": "revenue", "3.05": "ebit", "1": "total_assets", "2.03": "equity", "1.01.01": "cash", "2.01.04": "debt_short", "2.02.01": "debt_long"}
 ACCENTS = ("ÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "AAAAAEEEEIIIIOOOOOUUUUCN")
 
@@ -70,7 +71,7 @@ def statements(raw: DataFrame, doc_type: str) -> DataFrame:
     keys = ["cnpj", "period_end", "version"]
     x = x.withColumn("_first", F.min("start").over(Window.partitionBy(*keys))).filter("start is null or start = _first")
     by_code = F.create_map(*(F.lit(v) for kv in ACCOUNTS.items() for v in kv))[F.col("code")]
-    income = F.col("code").startswith("3.") & F.col("label").rlike("LUCRO.*(CONSOLIDADO )?DO PERIODO|LUCRO/PREJUIZO.*PERIODO")
+    income = F.col("code").startswith(INCOME_CODES) & F.col("label").rlike(INCOME_LABELS)
     x = x.withColumn("metric", F.coalesce(by_code, F.when(income, "net_income"))).filter("metric is not null")
     wide = x.groupBy(*keys).pivot("metric", [*ACCOUNTS.values(), "net_income"]).agg(F.max_by("value", "code"))
     dates = x.groupBy(*keys).agg(F.min("filing_date").alias("filing_date"))
