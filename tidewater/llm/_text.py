@@ -22,6 +22,8 @@ SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 LONG_WORD = 64
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -108,12 +110,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    kept = spark.conf.get(RELEASE)
+    kept = {name: spark.conf.get(name) for name in (RELEASE, BATCH)}
     spark.conf.set(RELEASE, "true")  # what was shuffled for it has no further use; if asked for again, Spark makes it anew
+    spark.conf.set(BATCH, str(min(int(kept[BATCH]), BATCH_ROWS) if int(kept[BATCH]) > 0 else BATCH_ROWS))  # texts are long, and a batch stands in both processes
     try:
-        return df.select("*").checkpoint()  # the setting holds for frames made under it
+        return df.select("*").checkpoint()  # the settings hold for frames made under them
     finally:
-        spark.conf.set(RELEASE, kept)
+        for name, value in kept.items():
+            spark.conf.set(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:

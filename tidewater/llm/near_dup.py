@@ -27,6 +27,9 @@ from .components import components
 from .simhash import fold, links
 
 
+DOCUMENTS_A_BLOCK = 12_500  # a document's set is some forty times a line's
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, most_broadcast: int = 16_000_000) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id, and of rows that repeat it the first."""
     spark, rows = docs.sparkSession, placed_rows(docs)
@@ -43,7 +46,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, most
     firsts = cut(named.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("fp").alias("fp")))
     found = firsts.select("h1", "h2", "fp", F.col("first.row").alias("row"))
     words = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 6
-    parts, side = set_join.sizes(spark, firsts.count(), words // 4)
+    parts, side = set_join.sizes(spark, firsts.count(), words // 4, DOCUMENTS_A_BLOCK)
     met = cut(set_join.shared_keys(set_join.dealt_keys(rows, units, levels, parts, num, den, 1 << 40)))  # no pairs of keys: all shared keys count
 
     def verified(pairs: DataFrame) -> DataFrame:

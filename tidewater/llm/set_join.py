@@ -30,8 +30,8 @@ from ._text import BREAK, as_bytes, cut, mix, pieces, word_digests
 COUNTERS = 24  # log2 of the number of counters: 64 MB in a task, 16 MB broadcast
 SPAN = 1 << 16  # counters in one row of a shuffle
 PIECE = 2_000_000  # bytes of text whose sets are held at once
-PAIRS_AT_ONCE = 1_000_000
-ITEMS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 500_000
+ITEMS_AT_ONCE = 1_000_000
 KEYS_A_PART = 1_500_000
 UNITS_A_BLOCK = 500_000  # a set may go to several blocks, so blocks grow with the units, and a side with their root
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -547,7 +547,7 @@ def verified(content: DataFrame, pairs: DataFrame, units: Units, side: int, num:
     return both.repartitionById(side * side, "block").mapInArrow(run, "h1 bigint, h2 bigint, n_links bigint, later boolean" if counts else "u bigint, v bigint")
 
 
-def sizes(spark, n_units: int, n_keys: int) -> tuple[int, int]:
+def sizes(spark, n_units: int, n_keys: int, units_a_block: int = UNITS_A_BLOCK) -> tuple[int, int]:
     """Parts that keys are dealt to, two for a shuffle partition, as their arrays are wide; and blocks a side that pairs are dealt to."""
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_keys // KEYS_A_PART)
-    return parts, max(int((n_units / UNITS_A_BLOCK) ** 0.5), 2)
+    return parts, max(int((n_units / units_a_block) ** 0.5), 2)
