@@ -7,6 +7,7 @@ A null text counts as the empty text everywhere.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -88,6 +89,14 @@ def word_digests(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start - 1, digest, np.flatnonzero(raw[1 : len(data) + 1] == 10)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers wait for later tasks, and what they keep adds up in an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], budget: int = 4_000_000, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches re-cut so that each holds about ``budget`` bytes of text, or one row: it bounds a task's memory."""
     for batch in batches:
@@ -100,6 +109,7 @@ def pieces(batches: Iterator[pa.RecordBatch], budget: int = 4_000_000, text: str
             size += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    tidy()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import BREAK, as_bytes, cut, mix, pieces, word_digests
+from ._text import BREAK, as_bytes, cut, mix, pieces, tidy, word_digests
 
 COUNTERS = 24  # log2 of the number of counters: 64 MB in a task, 16 MB broadcast
 SPAN = 1 << 16  # counters in one row of a shuffle
@@ -209,6 +209,8 @@ def levels(rows: DataFrame, units: Units, extra: Callable | None = None, columns
         made = pa.table({"span": pa.array(spans, pa.int32()), "counts": pa.array([squeeze(counts[i * SPAN : (i + 1) * SPAN]) for i in spans], pa.binary())})
         for batch in made.to_batches():
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(batch), x.type) for x in names), *batch.columns], [*kinds, "span", "counts"])
+        del counts, made
+        tidy()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -348,6 +350,8 @@ def candidate_blocks(dealt: DataFrame, side: int, num: int, den: int) -> DataFra
                     yield from blocks(held.pop(), *named)
         if held:
             yield from blocks(np.unique(np.concatenate(held)), *named)
+        del key, number, h1, h2, size, left, held
+        tidy()
 
     def blocks(pairs: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> Iterator[pa.RecordBatch]:
         a, b = pairs >> 32, pairs & 0xFFFFFFFF
@@ -374,6 +378,7 @@ def candidate_blocks(dealt: DataFrame, side: int, num: int, den: int) -> DataFra
                 blob, _ = pair_blob(a[i : i + PAIRS_AT_ONCE], b[i : i + PAIRS_AT_ONCE], h1, h2)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], ["block", "h1", "h2", "blob"])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h1), block, np.int32)), pa.array(h1), pa.array(h2), pa.nulls(len(h1), pa.binary())], ["block", "h1", "h2", "blob"])
+        tidy()
 
     met = dealt.mapInArrow(meet, "block int, blob binary")
     return met.repartitionById(side * side, "block").mapInArrow(gather, "block int, h1 bigint, h2 bigint, blob binary")
@@ -530,6 +535,8 @@ def verified(content: DataFrame, pairs: DataFrame, units: Units, side: int, num:
         a, b = a[ok], b[ok]
         if not counts:
             yield pa.RecordBatch.from_arrays([pa.array(row[a]), pa.array(row[b])], ["u", "v"])
+            del sets, content
+            tidy()
             return
         names = [(x is None, x, i, j) for x, i, j in zip(content["doc_id"].to_pylist(), row.tolist(), content["unit"].to_pylist())]
         order = np.empty(len(names), np.int64)
@@ -539,6 +546,8 @@ def verified(content: DataFrame, pairs: DataFrame, units: Units, side: int, num:
         later[np.where(order[a] > order[b], a, b)] = True
         some = np.flatnonzero(links)
         yield pa.RecordBatch.from_arrays([pa.array(h1[some]), pa.array(h2[some]), pa.array(links[some]), pa.array(later[some])], ["h1", "h2", "n_links", "later"])
+        del sets, content, names
+        tidy()
 
     plain = [F.col(c) if c in pairs.columns else F.lit(None).cast(t).alias(c) for c, t in (("block", "int"), ("h1", "bigint"), ("h2", "bigint"), ("g1", "bigint"), ("g2", "bigint"), ("blob", "binary"))]
     rest = (("row", "bigint"), ("doc_id", kind), ("unit", "int"), ("pack", "bigint"), ("slot", "int"))
