@@ -1,11 +1,12 @@
-"""The corpus operators as queries over the given tables: op1 to op10, and the SQL that checks op5."""
+"""The corpus operators as queries over the given tables: op1 to op13, and the SQL that checks op5, op11 and op13."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, line_dedup, ppm, packing, repetition, simhash, token_counts, toxicity, url_filter
+from . import decontamination, license_scan, line_dedup, merkle, nnls_packing, ppm, packing, prefix_trie, repetition, simhash, token_counts, toxicity, url_filter
 from ._text import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,7 +55,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_lm_scores, op4_repetition, op5_url_filter, op6_license_scan, op7_line_dedup, op8_packing, op9_decontamination, op10_simhash)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = {"text": merkle.tampered(F.col("text"), F.col("doc_id"))}
+    return merkle.proofs(documents(spark, sf_dir), ["doc_id", "source", "lang", "n_chars", "text"], shown)
+
+
+def op12_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnls_packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(documents(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_lm_scores, op4_repetition, op5_url_filter, op6_license_scan, op7_line_dedup, op8_packing, op9_decontamination, op10_simhash, op11_merkle, op12_nnls_packing, op13_prefix_trie)}
 
 ORACLE = {
     "op5_url_filter": """
