@@ -57,7 +57,7 @@ def test_all_feature_pairs_equal_brute_force(spark):
                     x, y = value[a][k], value[b][k]
                     made = {"ratio": x / y if y else None, "product": x * y, "diff": x - y}
                     expected |= {(f"{op}__{a}__{b}", *k): v for op, v in made.items() if v is not None}
-    got = __spark_entry__.queries()["feature_pairs_all"](spark, str(DATA)).toPandas()
+    got = __spark_entry__.queries()["feature_pairs"](spark, str(DATA)).toPandas()
     assert dict(zip(zip(got.feature, got.date, got.ticker), got.value)) == expected and len(got) == len(expected)
     assert got.feature.nunique() == 39 and (got.value.abs() >= 1e6).any()
 
@@ -74,7 +74,7 @@ def test_capped_weights_of_all_dates_equal_brute_force(spark):
         scale = lambda k: (1 - 0.02 * k) / (1 - sum(w[:k]))
         first = next((k for k in range(len(w)) if 0.02 * k <= 1 and sum(w[:k]) < 1 and w[k] * scale(k) <= 0.02 * (1 + 1e-12)), len(w))
         expected |= {(date, t): 0.02 if k < first else w[k] * scale(first) for k, t in enumerate(part.ticker)}
-    got = __spark_entry__.queries()["capped_cap_weights_all"](spark, str(DATA)).toPandas()
+    got = __spark_entry__.queries()["capped_cap_weights"](spark, str(DATA)).toPandas()
     found = dict(zip(zip(got.date, got.ticker), got.weight))
     assert found.keys() == expected.keys() and all(abs(found[k] - expected[k]) < 1e-6 for k in found)
     assert str(got.date.min()) < "1996-01-01"

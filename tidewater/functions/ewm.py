@@ -1,25 +1,52 @@
 """Exponentially weighted moments, per instrument, with adjusted weights.
 
-Weights decay without end, so no bounded frame is exact; one instrument's series is one group, a few thousand
-rows by nature, and goes through pandas once.
+Weights decay without end, so no bounded frame is exact.  A run of rows is summed up as (sum, weight, ...) at its last row, and two
+runs that follow each other compose: the earlier one's sums times the decay over the later one's length, plus the later
+one's.  Rows are cut into blocks over which weights fall by 20 digits; within a block running sums of values over their decay are such sums, and of the
+blocks before only the last two that hold any value still count in double precision.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .columns import by_time, history
+
+DIGITS = 20
 
 
 def ewm(df: DataFrame, x: str, span: int, key: str = "ticker", time: str = "date") -> DataFrame:
     """``df`` plus x_ewm_mean and x_ewm_std: NULL with fewer than ``span`` values so far."""
-    mean, std = f"{x}_ewm_mean", f"{x}_ewm_std"
-    schema = T.StructType([*df.schema.fields, T.StructField(mean, T.DoubleType()), T.StructField(std, T.DoubleType())])
+    keep = 1 - 2 / (span + 1)
+    size = math.ceil(DIGITS * math.log(10) / -math.log(keep)) if keep > 0 else 1
+    w = by_time(key, time)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    local = history(Window.partitionBy(key, "_block").orderBy(time))
+    parts = ("s", "q", "w", "v")  # weighted values, their squares, weights, squared weights
+    out = df.withColumns({"_k": F.row_number().over(w) - 1, "_base": F.first(x, ignorenulls=True).over(history(w)), "_known": F.count(x).over(history(w))})
+    out = out.withColumns({"_block": F.floor(F.col("_k") / size), "_in": F.col("_k") % size, "_x": F.col(x) - F.col("_base")})
+    up = F.when(F.col("_x").isNotNull(), F.pow(F.lit(1 / keep if keep > 0 else 1.0), F.col("_in")))
+    down = F.pow(F.lit(keep), F.col("_in"))
+    sums = {"s": (up * F.col("_x"), down), "q": (up * F.col("_x") * F.col("_x"), down), "w": (up, down), "v": (up * up, down * down)}
+    out = out.withColumns({f"_{p}": F.coalesce(F.sum(value).over(local) * scale, F.lit(0.0)) for p, (value, scale) in sums.items()})
+    full = (F.col("_in") == size - 1) & (F.col("_w") > 0)
+    state = F.struct("_k", *(f"_{p}" for p in parts))
+    out = out.withColumn("_last", F.last(F.when(full, state), ignorenulls=True).over(earlier))
+    out = out.withColumn("_before", F.last(F.when(full, F.col("_last")), ignorenulls=True).over(earlier))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(time)
-        moving = group[x].astype(float).ewm(span=span, adjust=True, min_periods=span)
-        out = group.assign(**{mean: moving.mean(), std: moving.std()})
-        return out.astype(object).where(out.notna(), None)
+    def total(p: str):
+        """The part over all rows: this block's own and what two blocks before it add; where this one has no value yet, as of the last block's end."""
+        scale = 2 if p == "v" else 1
+        end = F.when(F.col("_w") > 0, F.col("_k")).otherwise(F.col("_last._k"))
+        old = lambda c: F.coalesce(F.col(f"{c}._{p}") * F.pow(F.lit(keep), scale * (end - F.col(f"{c}._k"))), F.lit(0.0))
+        return F.col(f"_{p}") + old("_last") + old("_before")
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    out = out.withColumns({f"_{p}": total(p) for p in parts})
+    mean = F.try_divide(F.col("_s"), F.col("_w"))
+    spread = F.greatest(F.col("_q") / F.nullif("_w", F.lit(0.0)) - mean * mean, F.lit(0.0))
+    std = F.sqrt(F.try_divide(spread * F.col("_w") * F.col("_w"), F.nullif(F.col("_w") * F.col("_w") - F.col("_v"), F.lit(0.0))))
+    enough = F.col("_known") >= span
+    return out.select(*df.columns, F.when(enough, mean + F.col("_base")).alias(f"{x}_ewm_mean"), F.when(enough & (F.col("_known") > 1), std).alias(f"{x}_ewm_std"))

@@ -71,9 +71,6 @@ def feature_pairs(spark, sf):
     return d.pairs(features(spark, sf), cats)
 
 
-query("feature_pairs_all", PAIRS)(feature_pairs)  # the name under which the whole was registered before
-
-
 @query("ic_series", f"WITH {IC} SELECT feature, horizon, date, round(ic, 6) AS ic FROM ic")
 def ic_series(spark, sf):
     return rounded(ic(spark, sf), "feature", "horizon", "date", "ic")

@@ -9,7 +9,6 @@ from ..functions import columns as c
 from ..operators import metrics, portfolio
 from . import adapters as a
 from .oracle import BARS, MARKET, PANEL, PNL, lag, pct_rank, roll
-from . import registry
 from .registry import half_up, query, rounded
 
 W = c.by_time  # called where it is used: a window needs a session
@@ -90,9 +89,6 @@ def capped_cap_weights(spark, sf):
     return rounded(portfolio.capped_weights(signals(spark, sf), "adtv", 0.02), "date", "ticker", "weight")
 
 
-query("capped_cap_weights_all", registry.ORACLE["capped_cap_weights"])(capped_cap_weights)  # the name under which all dates were registered before
-
-
 CAPPED_INVERSE = f"""WITH {SIGNALS}, w AS (SELECT date, ticker, (1 / vol) / sum(1 / vol) OVER (PARTITION BY date) AS w FROM signals WHERE vol > 0), o AS (SELECT *, row_number() OVER d - 1 AS k, coalesce(sum(w) OVER (PARTITION BY date ORDER BY w DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w WINDOW d AS (PARTITION BY date ORDER BY w DESC, ticker)),
 f AS (SELECT *, (1 - k * 0.05) / nullif(1 - b, 0) AS scale FROM o), m AS (SELECT *, min(CASE WHEN w * scale <= 0.05 * (1 + 1e-12) AND scale >= 0 THEN k END) OVER (PARTITION BY date) AS first FROM f),
 c AS (SELECT date, ticker, CASE WHEN first IS NULL OR k < first THEN 0.05 ELSE w * (1 - first * 0.05) / (1 - max(CASE WHEN k = first THEN b END) OVER (PARTITION BY date)) END AS weight FROM m)"""
@@ -232,34 +228,6 @@ def regime_budgets(spark, sf):
     return rounded(portfolio.regime_budgets(sleeve_returns(spark, sf).filter("sleeve <> 'cash'"), m, BUDGET), "date", "sleeve", "weight")
 
 
-# The fixed-weight portfolios' sleeves.
-FIXED = {
-    "baseline_thirds": ({"low_vol": 1 / 3, "momentum_sharpe": 1 / 3}, False),
-    "divo_cdi_ivvb": ({"low_vol": 0.4, "multifactor": 0.4}, False),
-    "divo_ivvb_cdi_40_40_20": ({"momentum_sharpe": 0.4, "multifactor": 0.4}, True),
-    "qdl_equity_ivvb_5050": ({"low_vol": 0.5, "multifactor": 0.5}, True),
-}
-
-
-def fixed(spark, sf, name):
-    weights, together = FIXED[name]
-    live = sleeve_returns(spark, sf).filter("sleeve <> 'cash'").select("date", "sleeve", F.col("ret").isNotNull().alias("live"))
-    days = a.market(spark, sf).select("date").crossJoin(F.broadcast(spark.createDataFrame([(s,) for s in weights], "sleeve string")))
-    return portfolio.fixed_sleeves(days.join(live, ["date", "sleeve"], "left"), weights, together)
-
-
-def fixed_sql(name: str) -> str:
-    weights, together = FIXED[name]
-    table = ", ".join(f"('{s}', {w})" for s, w in weights.items())
-    gate = "min(live) OVER (PARTITION BY date)" if together else "live"
-    return f"""WITH {SLEEVES}, t AS (SELECT * FROM (VALUES {table}) x(sleeve, target)), g AS (SELECT w.date, t.sleeve, t.target, max(CASE WHEN s.ret IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY t.sleeve ORDER BY w.date) AS live FROM weekly w CROSS JOIN t LEFT JOIN sleeves s ON s.date = w.date AND s.sleeve = t.sleeve),
-b AS (SELECT date, sleeve, CASE WHEN {gate} = 1 THEN target ELSE 0 END AS weight FROM g), a AS (SELECT * FROM b UNION ALL SELECT date, 'cash', 1 - sum(weight) FROM b GROUP BY 1) SELECT date, sleeve, round(sum(weight), 6) AS weight FROM a GROUP BY 1, 2 HAVING abs(sum(weight)) > 1e-12"""
-
-
-for _name in FIXED:
-    query(f"portfolio_{_name}", fixed_sql(_name))(lambda spark, sf, n=_name: rounded(fixed(spark, sf, n), "date", "sleeve", "weight"))
-
-
 @query("vol_target_exposure", f"""WITH {MARKET}, v AS (SELECT date, CASE WHEN count(mret) OVER w >= 13 THEN stddev_samp(mret) OVER w * sqrt(52) END AS vol FROM market WINDOW w AS (ORDER BY date ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING))
 SELECT date, round(CASE WHEN vol IS NOT NULL AND vol <> 0 THEN greatest(least(0.2 / vol, 1), 0) END, 6) AS exposure FROM v""")
 def vol_target_exposure(spark, sf):

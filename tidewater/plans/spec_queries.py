@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions.ewm import ewm
+from ..functions.prefix import Rolling
 from ..operators import fundamentals as fu
 from ..operators import portfolio
 from . import adapters as a
@@ -51,7 +52,7 @@ class Spec:
 
 EASY_CALM = (("easing and not stressed", 0.15, False), ("not easing and not stressed", 0.10, False), ("easing and stressed", 0.05, False), ("true", None, True))
 SPECS = {
-    "adaptive_low_vol": Spec("blended_vol", 1, regime=EASY_CALM),
+    "adaptive_low_vol": Spec("blended_vol", 13, regime=EASY_CALM),
     "cdi_ma200": Spec("above", 13, top_pct=1.0, min_names=1, regime=(("easing", 1.0, False), ("true", None, True))),
     "frog_in_pan": Spec("frog", 14),
     "low_pe": Spec("yield_e", 1, top_pct=None, top_n=10, min_names=3, low=1 / 30, high=1.0, one_class=True),
@@ -68,15 +69,28 @@ SPECS = {
 }
 
 
-def months(spark, sf) -> DataFrame:
-    """(date, i, ticker, root, px, adtv, ...): month-end closes and levels, numbered by month."""
+def days(spark, sf) -> DataFrame:
+    """(date, ticker, volume, close, ret): every trading day of every ticker; daily windows are differences of running sums."""
     w = c.by_time()
-    quarter = c.frame(w, 63)
-    priced = a.panel(spark, sf, "day").select("date", "ticker", "volume", half_up(c.ratio(F.sum("volume").over(quarter), F.sum(c.ratio("volume", "close")).over(quarter))).alias("known"))
+    daily = a.panel(spark, sf, "day").select("date", "ticker", "volume", "close")
+    traded = Rolling(daily, w, {"volume": F.col("volume"), "quantity": c.ratio("volume", "close")})
+    known = half_up(c.ratio(traded.sum("volume", 63, 1), traded.sum("quantity", 63, 1)))
+    priced = traded.df.select("date", "ticker", "volume", known.alias("known"))
     priced = priced.select("date", "ticker", "volume", F.last("known", ignorenulls=True).over(c.history(w)).alias("close"))
-    win = c.flag(F.col("ret") > 0).cast("double")
-    d = priced.withColumn("ret", half_up(c.pct_change("close", 1, w), 9)).select("date", "ticker", "close", "volume", F.abs("ret").alias("move"), c.roll_mean("close", 200, w).alias("ma"), c.rolling(F.avg, win, 20, w).alias("wr"))
-    d = ewm(d.withColumn("wr60", c.roll_mean("wr", 60, w)), "move", 14)
+    return priced.withColumn("ret", half_up(c.pct_change("close", 1, w), 9))
+
+
+def months(spark, sf) -> DataFrame:
+    """(date, i, ticker, root, px, adtv, ...): month-end closes and levels, numbered by month.
+
+    What a book does not read is never computed, since nothing here hides a column from the planner.
+    """
+    w = c.by_time()
+    d = days(spark, sf)
+    levels = Rolling(d.withColumn("move", F.abs("ret")), w, {"close": F.col("close"), "win": c.flag(F.col("ret") > 0)})
+    d = levels.df.select("date", "ticker", "close", "volume", "move", levels.mean("close", 200).alias("ma"), levels.mean("win", 20).alias("wr"))
+    rates = Rolling(d, w, {"wr": F.col("wr")})
+    d = ewm(rates.df.withColumn("wr60", rates.mean("wr", 60)), "move", 14)
     last = lambda x: F.max_by(x, "date").alias(x)
     m = d.groupBy("ticker", F.last_day("date").alias("month")).agg(
         F.max_by("close", "date").alias("px"), half_up(F.avg("volume"), 4).alias("adtv"), last("ma"), last("wr"), last("wr60"), half_up(F.max_by("move_ewm_mean", "date"), 9).alias("atr")
@@ -91,18 +105,30 @@ def months(spark, sf) -> DataFrame:
     jump = F.coalesce(((F.col("ret") > 1.0) | (F.col("ret") < -0.45)).cast("double"), F.lit(0.0))
     return m.select(
         F.col("month").alias("date"), "i", "ticker", "root", "px", "adtv", "ret", "atr", c.rolling(F.max, jump, 12, t).alias("glitch"),
-        half_up(past(c.roll_sum, "log_ret", 12), 9).alias("mom12"), half_up(past(c.roll_sum, "log_ret", 6), 9).alias("mom6_raw"), half_up(past(c.roll_sum, "rises", 12), 9).alias("rises12"),
-        half_up(past(c.roll_std, "ret", 12), 9).alias("vol12_past"), half_up(c.roll_std("ret", 12, t), 9).alias("vol12"), half_up(c.roll_std("ret", 5, t), 9).alias("vol5"), half_up(c.roll_std("ret", 2, t), 9).alias("vol2"),
+        half_up(past(c.roll_sum, "log_ret", 12), 9).alias("mom12"),
+        half_up(past(c.roll_sum, "log_ret", 6), 9).alias("mom6_raw"),
+        half_up(past(c.roll_sum, "rises", 12), 9).alias("rises12"),
+        half_up(past(c.roll_std, "ret", 12), 9).alias("vol12_past"),
+        *(half_up(c.roll_std("ret", n, t), 9).alias(f"vol{n}") for n in (12, 5, 2)),
         past(c.roll_max, "odd", 12).alias("odd12"), past(c.roll_max, "odd", 6).alias("odd6"), c.shift("ret", 1, t).alias("ret_past"),
-        half_up(c.ratio(c.shift("adtv", 1, t), past(c.roll_mean, "adtv", 6)), 9).alias("speed"), half_up(c.ratio("px", "ma") - 1, 9).alias("dist"), half_up(c.ratio("wr", F.col("wr60") + 1e-8), 9).alias("wins"),
+        half_up(c.ratio(c.shift("adtv", 1, t), past(c.roll_mean, "adtv", 6)), 9).alias("speed"),
+        half_up(c.ratio("px", "ma") - 1, 9).alias("dist"),
+        half_up(c.ratio("wr", F.col("wr60") + 1e-8), 9).alias("wins"),
     )
 
 
+def root_months(spark, sf) -> DataFrame:
+    """(root, date): every company and every month of the panel."""
+    traded = a.table(spark, sf, "lineitem").filter("l_quantity > 0").select(F.last_day("l_shipdate").alias("date")).distinct()
+    calendar = traded.agg(F.collect_set("date").alias("dates"))  # one row
+    return a.roots(spark, sf).select("root").distinct().crossJoin(F.broadcast(calendar)).select("root", F.explode("dates").alias("date"))
+
+
 def named(spark, sf) -> DataFrame:
     """The months with one column per signal, larger being better."""
     m = months(spark, sf)
     f = a.filings(spark, sf).withColumn("root", (F.col("company") % 25).cast("int"))
-    known = fu.known_on(m.select("root", "date").distinct(), f, ["net_income", "equity", "shares"], key="root")
+    known = fu.known_on(root_months(spark, sf), f, ["net_income", "equity", "shares"], key="root")
     m = m.join(known, ["root", "date"], "left")
     rank = lambda x: c.pct_rank(x, ["date"])
     unmasked = F.coalesce("glitch", F.lit(0.0)) != 1
@@ -255,12 +281,10 @@ for _name in SPECS:
     query(f"portfolio_{_name}", spec_sql(_name))(lambda spark, sf, n=_name: book(spark, sf, n).select("date", "asset", half_up("weight").alias("weight")))
 
 
-# ---- fixed-weight blends with nested books
+# ---- a fixed-weight blend that nests one of these books
 
-# Sleeves as (what it holds, weight); a book is nested whole, what it leaves free goes to cash.
+# Sleeves as (what it holds, weight); the book is nested whole, what it leaves free goes to cash.
 BLENDS = {
-    "qdl_ivvb_cdi_thirds": ((("book", "adaptive_low_vol", 1 / 3), ("fund", "market", 1 / 3), ("cash", "cash", 1 / 3)), "QE"),
-    "qdl_equity_ivvb_cdi_thirds": ((("book", "low_vol", 1 / 3), ("fund", "market", 1 / 3), ("cash", "cash", 1 / 3)), "QE"),
     "teva_ivvb_cdi": ((("book", "value_quality", 1 / 3), ("fund", "market", 1 / 3), ("cash", "cash", 1 / 3)), "QE"),
 }
 
