@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, line_dedup, merkle, nnls_packing, ppm, packing, prefix_trie, repetition, simhash, token_counts, toxicity, url_filter
+from . import decontamination, license_scan, line_dedup, merkle, nnls_packing, ppm, packing, prefix_trie, repetition, simhash, sql, token_counts, toxicity, url_filter
 from ._text import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -88,4 +88,6 @@ ORACLE = {
         )
         SELECT page_id, host, path, rule, CASE WHEN rule IS NULL OR rule = 'example.com/en/7' THEN 'allow' ELSE 'block' END AS verdict FROM judged
     """,
+    "op11_merkle": sql.MERKLE,
+    "op13_prefix_trie": sql.TRIE,
 }
