@@ -73,9 +73,9 @@ def days(spark, sf) -> DataFrame:
     """(date, ticker, volume, close, ret): every trading day of every ticker; daily windows are differences of running sums."""
     w = c.by_time()
     daily = a.panel(spark, sf, "day").select("date", "ticker", "volume", "close")
-    traded = Rolling(daily, w, {"volume": F.col("volume"), "quantity": c.ratio("volume", "close")})
+    traded = Rolling(daily, {"volume": F.col("volume"), "quantity": c.ratio("volume", "close")})
     known = half_up(c.ratio(traded.sum("volume", 63, 1), traded.sum("quantity", 63, 1)))
-    priced = traded.df.select("date", "ticker", "volume", known.alias("known"))
+    priced = traded.select("date", "ticker", "volume", known.alias("known"))
     priced = priced.select("date", "ticker", "volume", F.last("known", ignorenulls=True).over(c.history(w)).alias("close"))
     return priced.withColumn("ret", half_up(c.pct_change("close", 1, w), 9))
 
@@ -85,12 +85,11 @@ def months(spark, sf) -> DataFrame:
 
     What a book does not read is never computed, since nothing here hides a column from the planner.
     """
-    w = c.by_time()
     d = days(spark, sf)
-    levels = Rolling(d.withColumn("move", F.abs("ret")), w, {"close": F.col("close"), "win": c.flag(F.col("ret") > 0)})
-    d = levels.df.select("date", "ticker", "close", "volume", "move", levels.mean("close", 200).alias("ma"), levels.mean("win", 20).alias("wr"))
-    rates = Rolling(d, w, {"wr": F.col("wr")})
-    d = ewm(rates.df.withColumn("wr60", rates.mean("wr", 60)), "move", 14)
+    levels = Rolling(d.withColumn("move", F.abs("ret")), {"close": F.col("close"), "win": c.flag(F.col("ret") > 0)})
+    d = levels.select("date", "ticker", "close", "volume", "move", levels.mean("close", 200).alias("ma"), levels.mean("win", 20).alias("wr"))
+    rates = Rolling(d, {"wr": F.col("wr")})
+    d = ewm(rates.select(*d.columns, rates.mean("wr", 60).alias("wr60")), "move", 14)
     last = lambda x: F.max_by(x, "date").alias(x)
     m = d.groupBy("ticker", F.last_day("date").alias("month")).agg(
         F.max_by("close", "date").alias("px"), half_up(F.avg("volume"), 4).alias("adtv"), last("ma"), last("wr"), last("wr60"), half_up(F.max_by("move_ewm_mean", "date"), 9).alias("atr")
