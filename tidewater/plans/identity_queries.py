@@ -124,32 +124,6 @@ def last_trading_dates(spark, sf):
     return a.panel(spark, sf).groupBy("ticker").agg(F.max(F.when(F.col("volume") > 0, F.col("date"))).alias("last_traded"))
 
 
-CONSTITUENTS = f"""{SIGNALS}, b AS (SELECT * FROM signals WHERE close IS NOT NULL AND adtv > 0 QUALIFY row_number() OVER (PARTITION BY date, root ORDER BY adtv DESC, ticker) = 1),
-p AS (SELECT *, {pct_rank('adtv', 'date')} AS place FROM b), k AS (SELECT date, root, ticker, adtv, adtv / sum(adtv) OVER (PARTITION BY date) AS weight FROM p WHERE place >= 0.2)"""
-
-
-def constituents(spark, sf):
-    """Each date's most liquid class of every company, without the least liquid fifth, by turnover."""
-    best = portfolio.best_per_root(signals(spark, sf).filter("close is not null and adtv > 0"), ("date", "root"))
-    return portfolio.proportional_weights(best.withColumn("place", c.pct_rank("adtv", ["date"])).filter("place >= 0.2"), "adtv").select("date", "root", "ticker", "adtv", "weight")
-
-
-@query("index_constituents", f"WITH {CONSTITUENTS} SELECT date, root, ticker, round(adtv, 2) AS adtv, round(weight, 6) AS weight FROM k")
-def index_constituents(spark, sf):
-    return constituents(spark, sf).select("date", "root", "ticker", half_up("adtv", 2).alias("adtv"), half_up("weight").alias("weight"))
-
-
-@query("constituent_counts", f"WITH {CONSTITUENTS}, n AS (SELECT date, count(DISTINCT root) AS n FROM k GROUP BY 1) SELECT year(date) AS year, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most FROM n GROUP BY 1")
-def constituent_counts(spark, sf):
-    n = constituents(spark, sf).groupBy("date").agg(F.countDistinct("root").alias("n"))
-    return n.groupBy(F.year("date").alias("year")).agg(half_up(F.avg("n")).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
-
-
-@query("constituent_weight_stats", f"WITH {CONSTITUENTS} SELECT root, round(arg_max(weight, date), 6) AS last, round(avg(weight), 6) AS mean, round(stddev_samp(weight), 6) AS deviation FROM k GROUP BY 1")
-def constituent_weight_stats(spark, sf):
-    return constituents(spark, sf).groupBy("root").agg(half_up(F.max_by("weight", "date")).alias("last"), half_up(F.avg("weight")).alias("mean"), half_up(F.stddev_samp("weight")).alias("deviation"))
-
-
 @query("reversal_gates", f"""WITH {PANEL}, w AS (SELECT date, ticker, ret, CASE WHEN count(*) OVER f >= 20 THEN avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) OVER f END AS wr, {roll('avg', 'abs(ret)', 14)} AS move FROM panel WINDOW f AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 r AS (SELECT date, ticker, wr / ({roll('avg', 'wr', 60)} + 1e-8) AS wins, move / nullif({roll('avg', 'move', 60)}, 0) AS moves FROM w) SELECT date, ticker, round(wins, 6) AS wins, round(moves, 6) AS moves, coalesce(round(wins, 6), 1) < 1.5 AND coalesce(round(moves, 6), 1) < 2.0 AS passes FROM r""")
 def reversal_gates(spark, sf):
