@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, pct_rank, ratio, safe_corr, zscore
+from ..functions.columns import by_time, col, pct_rank, ratio, safe_corr, zscore
+from ..functions.prefix import Rolling
 from .durable import durable
 
 
@@ -113,6 +116,27 @@ def capped(scored: DataFrame, most: int, score: str = "ic_ir") -> DataFrame:
     return scored.orderBy(F.abs(score).desc(), "feature").limit(most)
 
 
+def best(scored: DataFrame, most: int, score: str = "ic_ir") -> list[str]:
+    """The names of ``capped``, best first: ``most`` of them at the most."""
+    return [r["feature"] for r in capped(scored, most, score).collect()]
+
+
+def level2(wide: DataFrame, singles: list[str], parents: list[str], category: dict[str, str], shift: int = 20, means: tuple[int, ...] = (10, 20, 60)) -> DataFrame:
+    """(date, ticker, one column a feature) made from columns of ``wide``: change over ``shift`` rows and ratio to the mean of the last rows for each of ``singles``,
+    ratio and product of every two of ``parents`` of different categories.
+
+    One shuffle by ticker; values are counted in millionths in the means.
+    """
+    w = by_time()
+    r = Rolling(wide.select("date", "ticker", *dict.fromkeys(singles + parents)), {x: col(x) for x in singles})
+    made = {f"delta{shift}__{x}": col(x) - F.lag(x, shift).over(w) for x in singles}
+    made |= {f"ratio_to_mean{n}__{x}": ratio(x, F.nullif(r.mean(x, n, max(3, n // 2)), F.lit(0.0))) for n in means for x in singles}
+    for a, b in combinations(parents, 2):
+        if category[a] != category[b]:
+            made |= {f"ratio__{a}__{b}": ratio(a, F.nullif(col(b), F.lit(0.0))), f"product__{a}__{b}": col(a) * col(b)}
+    return r.select("date", "ticker", *(e.alias(k) for k, e in made.items()))
+
+
 def rank_correlations(features: DataFrame, every: int = 10, least_names: int = 10) -> DataFrame:
     """(a, b, corr): mean over every tenth date of the rank correlation of two features, a < b, with ten common names at least."""
     dates = features.select("date").distinct().withColumn("_n", F.row_number().over(Window.orderBy("date"))).filter(F.col("_n") % every == 1).select("date")
