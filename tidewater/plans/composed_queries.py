@@ -133,28 +133,6 @@ def dividend_score(spark, sf):
     return y.select("ticker", "period", half_up((F.col("c") + F.lag("c", 12).over(w) + F.lag("c", 24).over(w)) / 3).alias("score"))
 
 
-@query("mean_reversion_composite", f"""WITH {SIGNALS}, z AS (SELECT *, -mom AS fall FROM signals), r AS (SELECT date, ticker, ({pct_rank('fall', 'date')} + {pct_rank('reversion', 'date')} + {pct_rank('low_vol', 'date')} + {pct_rank('win', 'date')}) / 4 AS score FROM z),
-g0 AS (SELECT date, CASE WHEN count(rate) OVER (ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) >= 13 THEN sum(CAST(floor(rate * 1e12 + 0.5) AS BIGINT)) OVER (ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) END AS paid, round(CASE WHEN count(mret) OVER (ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) >= 13 THEN stddev_samp(mret) OVER (ORDER BY date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) END, 9) AS vol FROM market),
-g1 AS (SELECT x.date, CASE WHEN count(y.vol) >= 52 AND any_value(x.vol) IS NOT NULL THEN sum(CASE WHEN x.vol >= y.vol THEN 1 ELSE 0 END) / count(y.vol) END AS place FROM g0 x JOIN g0 y ON y.date <= x.date GROUP BY 1),
-g AS (SELECT date, coalesce(NOT (paid > lag(paid, 4) OVER o OR lag(place) OVER o > 0.7), false) AS open FROM g0 JOIN g1 USING (date) WINDOW o AS (ORDER BY date))
-SELECT r.date, ticker, round(score, 6) AS score, CASE WHEN open THEN 1 ELSE 0 END AS open FROM r JOIN g USING (date)""")
-def mean_reversion_composite(spark, sf):
-    """Mean of four ranks, and whether the risk gate is open: shut if a quarter's rates rise or volatility is in the upper part of its history, or either is unknown."""
-    o = Window.orderBy("date")  # one row a week
-    quarter = o.rowsBetween(-12, 0)
-    g = a.market(spark, sf).select(
-        "date", F.when(F.count("rate").over(quarter) >= 13, F.sum(F.floor(F.col("rate") * 1e12 + 0.5)).over(quarter)).alias("paid"), half_up(F.when(F.count("mret").over(quarter) >= 13, F.stddev_samp("mret").over(quarter)), 9).alias("vol")
-    )
-    earlier = g.select(F.col("date").alias("then"), F.col("vol").alias("other"))
-    place = g.join(F.broadcast(earlier), F.col("then") <= F.col("date")).groupBy("date").agg(F.when((F.count("other") >= 52) & F.max("vol").isNotNull(), F.sum(c.flag(F.col("vol") >= F.col("other"))) / F.count("other")).alias("place"))  # weeks against weeks
-    g = g.join(place, "date")
-    gate = g.select("date", F.coalesce(~((F.col("paid") > F.lag("paid", 4).over(o)) | (F.lag("place").over(o) > 0.7)), F.lit(False)).cast("int").alias("open"))
-    s = signals(spark, sf).withColumn("fall", -F.col("mom"))
-    ranks = [c.pct_rank(k, ["date"]) for k in ("fall", "reversion", "low_vol", "win")]
-    s = s.withColumn("score", (ranks[0] + ranks[1] + ranks[2] + ranks[3]) / 4)
-    return s.join(F.broadcast(gate), "date").select("date", "ticker", half_up("score").alias("score"), "open")
-
-
 # The sign that each feature's IC is expected to have.
 EXPECTED = {"mom13": 1, "mom4": 1, "vol13": -1, "drawdown26": 1, "volume4": 1, "range4": -1}
 
