@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import as_bytes, cut, id_text, pieces
-from .packing import Encoder
+from .packing import encoder
 
 DEPTH = 3
 
@@ -34,12 +34,12 @@ def tokenised(df: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     """(doc_id, start, length, doc_tokens, ids_crc32, ids): documents, and full pieces and rests of those longer than a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        known = encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        small = max(encoder.library.get_vocab_size() - 1, end_id) < 1 << 16
-        for batch in pieces(batches):
+        small = max(known.library.get_vocab_size() - 1, end_id) < 1 << 16
+        for batch in pieces(batches, 2_000_000):
             at, start, length, total, crc, kept = [], [], [], [], [], []
-            for i, ids in enumerate(encoder.encode([b.decode() for b in as_bytes(batch.column("text"))])):
+            for i, ids in enumerate(known.encode([b.decode() for b in as_bytes(batch.column("text"))])):
                 ids += end
                 n = len(ids) // 4
                 for a in range(0, n, capacity):

@@ -20,6 +20,7 @@ import json
 import os
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,17 @@ from .token_counts import byte_letters
 class Encoder:
     """Token ids as the tokenizers library gives them.
 
-    Words never share a token across a single space, so a word's ids are looked up once, from the same vocabulary and
-    merges by the tiktoken library, which is faster on single words; texts with other blanks or special strings go
-    through tokenizers as a whole.
+    The tiktoken library reads the same vocabulary and merges several times faster.  It gets the texts in which every blank is a single space or
+    line break between two words and no special string occurs; all others go through tokenizers.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.library, self.most = Tokenizer.from_file(path), most
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -52,57 +52,46 @@ class Encoder:
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
         by_id = [t for t, i in sorted(spec["model"]["vocab"].items(), key=lambda x: x[1]) if t not in self.special]
         if by_id[len(by_id) - len(merges) :] != [a + b for a, b in merges]:
-            raise ValueError("the vocabulary is not numbered in the order of its merges, so single words cannot be looked up by rank")
+            raise ValueError("the vocabulary is not numbered in the order of its merges, so tokens cannot be looked up by rank")
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # at a line's start, after a space
-        self.newline = self.ids(["\n"])[0]
+        self.fast = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str], kind: int) -> None:
-        """Looks up new words.  One that holds a blank or a special string, or is empty, stays unknown: its text is encoded as a whole."""
-        known, ids, lead, special = self.known[kind], self.words, " " * kind, self.special
-        for w in words.difference(known):
-            if w.split() == [w] and not any(x in w for x in special):
-                known[w] = array("I", ids(lead + w)).tobytes()
+    def regular(self, text: str) -> bool:
+        return " ".join(text.split()) == text.replace("\n", " ") and not any(x in text for x in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        for known in self.known:
-            if len(known) > self.most:
-                known.clear()
-        self.learn({line[0] for lines in split for line in lines}, 0)
-        following: set[str] = set()
-        for lines in split:
-            for line in lines:
-                following.update(line[1:])
-        self.learn(following, 1)
-        first, rest = self.known[0], self.known[1].__getitem__
-        out, odd = [], []
-        for i, lines in enumerate(split):
-            try:
-                out.append(self.newline.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines]))
-            except KeyError:
-                out.append(b"")
+        out: list[bytes] = []
+        odd = []
+        for i, t in enumerate(texts):
+            regular = self.regular(t)
+            out.append(array("I", self.fast(t)).tobytes() if regular else b"")
+            if not regular:
                 odd.append(i)
         for i, got in zip(odd, self.ids([texts[i] for i in odd])):
             out[i] = got
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder a process: its tables take a second to build, and workers run many tasks."""
+    return Encoder(path)
+
+
 def tokenised(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the pieces of every row."""
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         end = np.array([end_id], "<u4").tobytes()
         for batch in pieces(batches):
             docs = batch.column("doc_id")
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode([b.decode() for b in as_bytes(batch.column("text"))])):
+            for i, ids in enumerate(encode([b.decode() for b in as_bytes(batch.column("text"))])):
                 ids += end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
