@@ -58,18 +58,25 @@ def capped_weights(df: DataFrame, x: str, cap: float, renormalise: bool = False,
     return w.drop("_w", "_k", "_before", "_scale", "_fits", "_first")
 
 
-def bounded_weights(weights: DataFrame, floor: float, cap: float, across: str = "date") -> DataFrame:
-    """A few sleeves' weights moved into [floor, cap] with their sum kept: rounds of clipping and sharing out the rest, in an array per date."""
-    listed = weights.groupBy(across).agg(F.array_sort(F.collect_list(F.struct("sleeve", "weight"))).alias("s"), F.count("*").alias("n"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, e: acc + e.weight)
-    clip = lambda a: F.transform(a, lambda e: F.struct(e.sleeve.alias("sleeve"), F.greatest(F.least(e.weight, F.lit(cap)), F.lit(floor)).alias("weight")))
-    listed = listed.withColumn("target", total(F.col("s")))
-    for _ in range(8):
-        listed = listed.withColumn("s", clip(F.col("s"))).withColumn("gap", F.col("target") - total(F.col("s")))
-        listed = listed.withColumn("free", F.filter("s", lambda e: F.when(F.col("gap") > 0, e.weight < cap).otherwise(e.weight > floor)))
-        moved = lambda e: F.when(F.when(F.col("gap") > 0, e.weight < cap).otherwise(e.weight > floor), e.weight + F.try_divide(F.col("gap"), F.size("free"))).otherwise(e.weight)
-        listed = listed.withColumn("s", F.transform("s", lambda e: F.struct(e.sleeve.alias("sleeve"), moved(e).alias("weight"))))
-    return listed.select(across, F.explode(clip(F.col("s"))).alias("e")).select(across, "e.sleeve", "e.weight")
+def bounded_weights(scores: DataFrame, floor: float, cap: float, across: str = "date") -> DataFrame:
+    """(across, sleeve, weight): ``scores`` (across, sleeve, weight), none negative, scaled to a sum of one with every weight in [floor, cap].
+
+    A sleeve leaves its floor at the level floor / score and meets its cap at cap / score; between such breakpoints, in their order, the sum grows by a known
+    slope, so running sums find the level at which it is one.  Sleeves without a score share equally what is left when all others are at the cap.
+    Bounds that n sleeves cannot meet are widened to 1 / n.
+    """
+    group = Window.partitionBy(across)
+    x = scores.select(across, "sleeve", F.greatest(F.col("weight"), F.lit(0.0)).alias("w")).withColumn("n", F.count(F.lit(1)).over(group))
+    x = x.withColumns({"w": F.when(F.sum("w").over(group) > 0, F.col("w")).otherwise(1.0), "lo": F.least(F.lit(floor), 1 / F.col("n")), "hi": F.greatest(F.lit(cap), 1 / F.col("n"))})
+    known = x.filter("w > 0")
+    edges = known.select(across, "n", "lo", F.explode(F.array(F.struct((F.col("lo") / F.col("w")).alias("at"), F.col("w").alias("slope"), F.col("lo").alias("less")), F.struct((F.col("hi") / F.col("w")).alias("at"), (-F.col("w")).alias("slope"), (-F.col("hi")).alias("less")))).alias("e"))
+    up = Window.partitionBy(across).orderBy("e.at").rangeBetween(Window.unboundedPreceding, 0)
+    edges = edges.select(across, "e.at", F.sum("e.slope").over(up).alias("slope"), (F.col("n") * F.col("lo") + F.sum("e.slope").over(up) * F.col("e.at") - F.sum("e.less").over(up)).alias("total"))
+    last = edges.filter(F.col("total") <= 1 + 1e-12).groupBy(across).agg(F.max_by(F.struct("at", "slope", "total"), F.col("at")).alias("k"))
+    level = F.col("k.at") + F.when(F.col("k.slope") > 1e-12, (1 - F.col("k.total")) / F.col("k.slope")).otherwise(0.0)
+    y = x.join(last.select(across, level.alias("level")), across).withColumn("weight", F.greatest(F.least(F.col("w") * F.col("level"), F.col("hi")), F.col("lo")))
+    rest = (1 - F.sum("weight").over(group)) / F.nullif(F.count_if(F.col("w") == 0).over(group), F.lit(0))
+    return y.select(across, "sleeve", F.when(F.col("w") == 0, F.least(F.col("weight") + F.greatest(F.coalesce(rest, F.lit(0.0)), F.lit(0.0)), F.col("hi"))).otherwise(F.col("weight")).alias("weight"))
 
 
 def sticky(selected: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -78,16 +78,6 @@ def two_leg_value(spark, sf):
     return portfolio.top(clean, "cheap", n=20).select("date", "ticker", "place", half_up("cheap").alias("cheap"))
 
 
-@query("trend_tilt", f"""WITH {MARKET}, x AS (SELECT date, coalesce(lag(level) OVER o > avg(level) OVER (ORDER BY date ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING), false) AS up, coalesce(lag(rate) OVER o < lag(rate, 4) OVER o, false) AS easing FROM market WINDOW o AS (ORDER BY date))
-SELECT date, CAST(CASE WHEN up AND easing THEN 0.6 WHEN up THEN 0.45 WHEN easing THEN 0.3 ELSE 0.15 END AS DOUBLE) AS equity, CAST(CASE WHEN up AND easing THEN 0.4 WHEN up THEN 0.55 WHEN easing THEN 0.7 ELSE 0.85 END AS DOUBLE) AS cash FROM x""")
-def trend_tilt(spark, sf):
-    o = Window.orderBy("date")  # one row a week
-    m = a.market(spark, sf).withColumn("up", F.lag("level").over(o) > F.avg("level").over(o.rowsBetween(-26, -1))).withColumn("easing", F.lag("rate").over(o) < F.lag("rate", 4).over(o))
-    up, easing = (F.coalesce(k, F.lit(False)) for k in ("up", "easing"))
-    share = F.when(up & easing, 0.6).when(up, 0.45).when(easing, 0.3).otherwise(0.15)
-    return m.select("date", share.alias("equity"), F.when(up & easing, 0.4).when(up, 0.55).when(easing, 0.7).otherwise(0.85).alias("cash"))
-
-
 @query("dual_momentum", f"""WITH {SIGNALS}, s AS (SELECT date, lag(level, 1) OVER (ORDER BY date) / lag(level, 27) OVER (ORDER BY date) - 1 AS mm FROM market), t AS (SELECT date, avg(mom) AS pm FROM signals GROUP BY 1), l AS (SELECT t.date, mm, lag(pm) OVER (ORDER BY t.date) AS pm FROM t JOIN s USING (date))
 SELECT date, CASE WHEN greatest(coalesce(mm, -9), coalesce(pm, -9)) <= 0 THEN 'cash' WHEN coalesce(mm, -9) >= coalesce(pm, -9) THEN 'market' ELSE 'panel' END AS held FROM l""")
 def dual_momentum(spark, sf):

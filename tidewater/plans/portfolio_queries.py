@@ -265,11 +265,6 @@ def index_level(spark, sf):
     return rounded(portfolio.index_level(p.select("period", "ticker", "date", "close"), members), "period", "growth")
 
 
-@query("bounded_sleeves")
-def bounded_sleeves(spark, sf):
-    return rounded(portfolio.bounded_weights(portfolio.inverse_vol_sleeves(sleeve_returns(spark, sf).filter("sleeve <> 'cash'")), 0.2, 0.5), "date", "sleeve", "weight")
-
-
 @query("tax_carry_forward", f"""WITH RECURSIVE {PNL}, n AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY period) AS i FROM pnl),
 walk AS (SELECT account, period, i, pnl, sales, CAST(0 AS DOUBLE) AS carried, CASE WHEN sales > 20 OR pnl < 0 THEN greatest(0, -pnl) ELSE 0 END AS after FROM n WHERE i = 1
 UNION ALL SELECT n.account, n.period, n.i, n.pnl, n.sales, w.after, CASE WHEN n.sales > 20 OR n.pnl < 0 THEN greatest(0, w.after - n.pnl) ELSE w.after END FROM walk w JOIN n ON n.account = w.account AND n.i = w.i + 1)

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions.ewm import ewm
+from ..functions.prefix import Rolling
 from ..operators import fundamentals as fu
 from ..operators import grid, portfolio
 from . import adapters as a
 from . import spec_queries as specs
 from .oracle import CASH, lag, roll
+from .portfolio_queries import SLEEVES, sleeve_returns
 from .registry import half_up, query
 
 # Fixed values of the sleeves.
@@ -141,6 +143,52 @@ def prices(spark, sf, rule: str) -> DataFrame:
     return every.join(out, ["date", "fund"], "left").select("date", "fund", F.last("px", ignorenulls=True).over(c.history(c.by_time("fund"))).alias("px"))
 
 
+TILTED, SMA, MOST, FLOOR, TILT = ("dividend", "foreign"), 200, 0.60, 0.10, 3.0  # fixed values of the trend tilts
+
+
+def fund_days(spark, sf) -> DataFrame:
+    """(fund, day, px) of the tilted funds."""
+    items = a.table(spark, sf, "lineitem").filter("l_quantity > 0")
+    out = None
+    for fund in TILTED:
+        which, listed = FUNDS[fund]
+        day = items.filter(F.expr(which) & (F.col("l_shipdate") >= F.lit(listed).cast("date"))).groupBy(F.to_date("l_shipdate").alias("day")).agg(half_up(a.money() / F.sum("l_quantity")).alias("px")).withColumn("fund", F.lit(fund))
+        out = day if out is None else out.union(day)
+    return out
+
+
+def distances(spark, sf) -> DataFrame:
+    """(date, sleeve, dist): each tilted fund's distance from its 200-day mean at the month end before; NULL until there is one."""
+    r = Rolling(fund_days(spark, sf), {"px": F.col("px")}, exact=["px"], key="fund", time="day")
+    daily = r.select("fund", "day", (c.ratio("px", r.mean("px", SMA)) - 1).alias("dist"))
+    last = daily.groupBy("fund", F.last_day("day").alias("date")).agg(half_up(F.max_by("dist", F.when(F.col("dist").isNotNull(), F.col("day"))), 9).alias("dist"))
+    months = specs.flags(spark, sf).select("date").crossJoin(F.broadcast(spark.createDataFrame([(f,) for f in TILTED], "fund string")))  # two funds
+    known = months.join(last, ["date", "fund"], "left").withColumn("dist", F.last("dist", ignorenulls=True).over(c.history(c.by_time("fund"))))
+    return known.select("date", F.col("fund").alias("sleeve"), F.lag("dist").over(c.by_time("fund")).alias("dist"))
+
+
+def tilt(spark, sf, absorb: bool) -> DataFrame:
+    """(date, asset, weight).  ``absorb``: funds by their distance above the mean, cash by the distances below it, at most 0.6 each; else equal parts with cash,
+    tilted by three times the distance, at least 0.1 each.  Without any fund that has a mean all is cash."""
+    d = distances(spark, sf)
+    live = d.filter("dist is not null")
+    if absorb:
+        own = live.select("date", "sleeve", F.greatest(F.col("dist"), F.lit(0.0)).alias("weight"))
+        cash = live.groupBy("date").agg(F.sum(F.greatest(-F.col("dist"), F.lit(0.0))).alias("weight"))
+        scores = own.union(cash.select("date", F.lit("cash"), "weight"))
+        scores = scores.withColumn("all", F.sum("weight").over(Window.partitionBy("date"))).filter(F.col("all") > 0).drop("all")
+        out = portfolio.bounded_weights(scores, 0.0, MOST)
+    else:
+        base = 1.0 / (F.count(F.lit(1)).over(Window.partitionBy("date")) + 1)
+        own = live.select("date", "sleeve", F.greatest(base + TILT * F.col("dist"), F.lit(0.0)).alias("weight"))
+        cash = live.groupBy("date").agg((1.0 / (F.count(F.lit(1)) + 1)).alias("weight"))
+        scores = own.union(cash.select("date", F.lit("cash"), "weight")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("date")))
+        two, three = (portfolio.bounded_weights(scores.filter(F.col("n") == n).drop("n"), FLOOR, 1 - (n - 1) * FLOOR) for n in (2, 3))
+        out = two.union(three)
+    idle = d.select("date").distinct().join(out.select("date").distinct(), "date", "left_anti").select("date", F.lit("cash"), F.lit(1.0))
+    return out.select("date", F.col("sleeve").alias("asset"), "weight").union(idle).filter("weight > 1e-12")
+
+
 NESTED = {
     "qdl": lambda spark, sf, rule: qdl(spark, sf, rule),
     "qdl_equity": lambda spark, sf, rule: qdl(spark, sf, rule, None),
@@ -270,3 +318,50 @@ calmest AS (SELECT * FROM counted WHERE n >= {LEAST} AND place <= greatest({LEAS
 SELECT date, CAST(ticker AS VARCHAR) AS asset, round(weight, 6) AS weight FROM book""")
 def portfolio_low_vol_index(spark, sf):
     return rounded_book(low_vol_index(spark, sf))
+
+
+def bounded_sql(source: str, lo: str, hi: str, out: str) -> str:
+    """CTEs that end in ``out`` (date, sleeve, weight): ``source`` (date, sleeve, w, n) between the bounds, the level found among all breakpoints."""
+    return f"""{out}_x AS (SELECT date, sleeve, n, CASE WHEN sum(w) OVER (PARTITION BY date) > 0 THEN w ELSE 1.0 END AS w, least({lo}, 1.0 / n) AS lo, greatest({hi}, 1.0 / n) AS hi FROM {source}),
+{out}_e AS (SELECT date, lo / w AS edge FROM {out}_x WHERE w > 0 UNION SELECT date, hi / w FROM {out}_x WHERE w > 0),
+{out}_g AS (SELECT e.date, e.edge, sum(greatest(least(x.w * e.edge, x.hi), x.lo)) AS total, sum(CASE WHEN x.w > 0 AND x.lo / x.w <= e.edge AND e.edge < x.hi / x.w THEN x.w ELSE 0 END) AS slope FROM {out}_e e JOIN {out}_x x ON x.date = e.date GROUP BY 1, 2),
+{out}_l AS (SELECT date, arg_max(edge + CASE WHEN slope > 1e-12 THEN (1 - total) / slope ELSE 0 END, edge) AS level FROM {out}_g WHERE total <= 1 + 1e-12 GROUP BY 1),
+{out}_y AS (SELECT x.*, greatest(least(w * level, hi), lo) AS weight FROM {out}_x x JOIN {out}_l USING (date)),
+{out} AS (SELECT date, sleeve, CASE WHEN w = 0 THEN least(weight + greatest((1 - sum(weight) OVER d) / sum(CASE WHEN w = 0 THEN 1 ELSE 0 END) OVER d, 0), hi) ELSE weight END AS weight FROM {out}_y WINDOW d AS (PARTITION BY date))"""
+
+
+def tilt_sql(absorb: bool) -> str:
+    day = " UNION ALL ".join(
+        f"SELECT '{f}' AS ticker, CAST(l_shipdate AS DATE) AS date, round(CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity), 6) AS px FROM lineitem WHERE l_quantity > 0 AND {FUNDS[f][0]} AND l_shipdate >= DATE '{FUNDS[f][1]}' GROUP BY 1, 2"
+        for f in TILTED
+    )
+    own = "greatest(dist, 0)" if absorb else f"greatest(1.0 / (count(*) OVER (PARTITION BY date) + 1) + {TILT} * dist, 0)"
+    cash = "sum(greatest(-dist, 0))" if absorb else "1.0 / (count(*) + 1)"
+    bounds = ("0", str(MOST)) if absorb else (str(FLOOR), f"1 - (n - 1) * {FLOOR}")
+    return f"""WITH td AS ({day}), ts AS (SELECT *, px / {roll('avg', 'px', SMA)} - 1 AS dist FROM td),
+tl AS (SELECT ticker, last_day(date) AS date, round(arg_max(dist, date) FILTER (WHERE dist IS NOT NULL), 9) AS dist FROM ts GROUP BY 1, 2),
+tm AS (SELECT DISTINCT last_day(CAST(l_shipdate AS DATE)) AS date FROM lineitem WHERE l_quantity > 0),
+tg AS (SELECT m.date, f.ticker, last_value(dist IGNORE NULLS) OVER (PARTITION BY f.ticker ORDER BY m.date) AS dist FROM tm m CROSS JOIN (VALUES {', '.join(f"('{f}')" for f in TILTED)}) f(ticker) LEFT JOIN tl ON tl.ticker = f.ticker AND tl.date = m.date),
+live AS (SELECT date, ticker, dist FROM (SELECT date, ticker, {lag('dist')} AS dist FROM tg) WHERE dist IS NOT NULL),
+sc AS (SELECT date, ticker AS sleeve, {own} AS w FROM live UNION ALL SELECT date, 'cash', {cash} FROM live GROUP BY 1),
+sn AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM sc QUALIFY sum(w) OVER (PARTITION BY date) > 0), {bounded_sql('sn', *bounds, 'tb')}
+SELECT date, sleeve AS asset, round(weight, 6) AS weight FROM tb WHERE weight > 1e-12 UNION ALL SELECT date, 'cash', 1.0 FROM tm WHERE date NOT IN (SELECT date FROM tb)"""
+
+
+@query("portfolio_tilt_absorb", tilt_sql(True))
+def portfolio_tilt_absorb(spark, sf):
+    return rounded_book(tilt(spark, sf, True))
+
+
+@query("portfolio_tilt_floor", tilt_sql(False))
+def portfolio_tilt_floor(spark, sf):
+    return rounded_book(tilt(spark, sf, False))
+
+
+@query("bounded_sleeves", f"""WITH {SLEEVES}, bv AS (SELECT date, sleeve, nullif(CASE WHEN count(ret) OVER w >= 2 THEN stddev_samp(ret) OVER w END, 0) AS vol FROM sleeves WHERE sleeve <> 'cash' WINDOW w AS (PARTITION BY sleeve ORDER BY date ROWS BETWEEN 36 PRECEDING AND 1 PRECEDING)),
+bf AS (SELECT date, sleeve, coalesce(vol, avg(vol) OVER (PARTITION BY date)) AS vol FROM bv), bn AS (SELECT date, sleeve, 1 / vol AS w, count(*) OVER (PARTITION BY date) AS n FROM bf WHERE vol IS NOT NULL), {bounded_sql('bn', '0.2', '0.5', 'bs')}
+SELECT date, sleeve, round(weight, 6) AS weight FROM bs""")
+def bounded_sleeves(spark, sf):
+    """Inverse-volatility sleeves, none under a fifth or over a half."""
+    own = portfolio.inverse_vol_sleeves(sleeve_returns(spark, sf).filter("sleeve <> 'cash'"))
+    return portfolio.bounded_weights(own, 0.2, 0.5).select("date", "sleeve", half_up("weight").alias("weight"))
