@@ -18,8 +18,8 @@ def test_classes_and_isins(spark):
 
 def test_bulk_update(spark):
     target = spark.createDataFrame([(1, "a", None), (2, "b", 5), (3, None, 6)], "k int, x string, y int")
-    source = spark.createDataFrame([(1, "z", 7), (3, "w", None)], "k int, x string, y int")
-    update = lambda **o: {tuple(r) for r in identity.bulk_update(target, source, ["k"], ["x", "y"], **o).collect()}
+    source = spark.createDataFrame([(1, "z", 7, 2), (1, "old", 9, 1), (1, None, None, 2), (3, "w", None, 1)], "k int, x string, y int, at int")
+    update = lambda **o: {tuple(r) for r in identity.bulk_update(target, source, ["k"], ["x", "y"], ["at"], **o).collect()}
     assert update() == {(1, "z", 7), (2, "b", 5), (3, "w", 6)} and update(keep_known=True) == {(1, "a", 7), (2, "b", 5), (3, "w", 6)}
 
 

@@ -84,12 +84,6 @@ def ic_summary(ic: DataFrame, train_share: float = 0.7) -> DataFrame:
     return out.withColumn("ic_ir", ir).withColumn("t_stat", ir * F.sqrt("n_dates"))
 
 
-def lagged(features: DataFrame, n: int) -> DataFrame:
-    """Features as of n rows before; the mask is that of the later date."""
-    w = Window.partitionBy("feature", "ticker").orderBy("date")
-    return features.withColumn("value", F.lag("value", n).over(w)).filter("value is not null")
-
-
 def rank_turnover(features: DataFrame) -> DataFrame:
     """(feature, turnover): one minus the mean correlation of consecutive dates' ranks over names valid on both; NULL with no such date."""
     ranked = features.withColumn("r", pct_rank("value", ["feature", "date"]))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from .merge import keep_one
 
 # Share classes by the number that ends a ticker.
 CLASSES = {"3": "ON", "4": "PN", "5": "PNA", "6": "PNB", "11": "UNIT"}
@@ -71,9 +75,12 @@ def share_totals(classes: DataFrame, keys: list[str], shares: str = "shares") ->
     return classes.groupBy(*keys).agg(F.when(total > 0, total).alias(shares))
 
 
-def bulk_update(target: DataFrame, source: DataFrame, keys: list[str], values: list[str], keep_known: bool = False) -> DataFrame:
-    """``target`` with ``values`` taken from the matching row of ``source``, where that has one; with ``keep_known`` only where missing."""
-    new = source.select(*keys, *(F.col(v).alias(f"_new_{v}") for v in values)).dropDuplicates(keys)
+def bulk_update(target: DataFrame, source: DataFrame, keys: list[str], values: list[str], order: list[str], keep_known: bool = False) -> DataFrame:
+    """``target`` with ``values`` taken from the matching row of ``source``, where that has one; with ``keep_known`` only where missing.
+
+    Of several source rows of a key the last in ``order`` counts, and of those that tie there the one with the greater values.
+    """
+    new = keep_one(source, keys, [*order, *values]).select(*keys, *(F.col(v).alias(f"_new_{v}") for v in values))
     pick = lambda v: F.coalesce(v, f"_new_{v}") if keep_known else F.coalesce(f"_new_{v}", v)
     return target.join(new, keys, "left").select(*(pick(c).alias(c) if c in values else F.col(c) for c in target.columns))
 
@@ -118,7 +125,8 @@ def active_on(register: DataFrame, date: str) -> DataFrame:
 def ever_member(history: DataFrame, patterns: list[str], key: str = "company") -> DataFrame:
     """Keys whose sector held one of the patterns at any time, whatever the case."""
     sector = F.lower("sector")
-    return history.filter(F.coalesce(F.greatest(*(sector.contains(p.lower()) for p in [*patterns, *patterns])), F.lit(False))).select(key).distinct()
+    found = reduce(or_, (sector.contains(p.lower()) for p in patterns))
+    return history.filter(F.coalesce(found, F.lit(False))).select(key).distinct()
 
 
 def completed_quarters(dates: DataFrame) -> DataFrame:

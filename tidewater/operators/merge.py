@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,13 +33,16 @@ def keep_one(df: DataFrame, keys: list[str], order: list[str], last: bool = True
 
 
 def replace_table(df: DataFrame, path: str) -> int:
-    """Writes a validated set as the table's next version and returns its number; readers see the version before until this one is committed."""
+    """Writes a validated set as the table's next version and returns its number; readers see the version before until this one is committed.
+
+    A version is never written over: of two writers that took the same number the one that finds the other's folder fails.
+    """
     spark = df.sparkSession
     try:
         last = spark.read.parquet(path).agg(F.max("version")).first()[0] or 0
     except AnalysisException:  # no version yet
         last = 0
-    df.write.parquet(f"{path}/version={last + 1}")
+    df.write.mode("error").parquet(f"{path}/version={last + 1}")
     return last + 1
 
 
@@ -87,17 +93,24 @@ def fingerprint(df: DataFrame, time: str, value: str) -> DataFrame:
     return x.withColumn("fingerprint", F.substring(F.sha2(F.concat_ws("|", "rows", F.col("first").cast("string"), F.col("last").cast("string"), "known"), 256), 1, 16))
 
 
+# What an admitted quote meets; a missing price or volume fails the first rule that asks for it.
+REASONS = {"close": "close > 0", "volume": "volume > 0", "range": "high >= low", "close_outside": "close is null or low is null or high is null or close between low and high"}
+
+
+def fails(rule: str) -> Column:
+    return ~F.coalesce(F.expr(rule), F.lit(False))
+
+
 def admit_quotes(bars: DataFrame) -> DataFrame:
-    """Bars with positive close and volume and a close within [low, high]; missing ISINs become UNKNOWN, missing factors 1."""
-    sane = "close > 0 and volume > 0 and high >= low and close between low and high"
-    return bars.filter(sane).fillna({c: v for c, v in (("isin", "UNKNOWN"), ("quotation_factor", 1)) if c in bars.columns})
+    """Bars that fail none of the rules; missing ISINs become UNKNOWN, missing factors 1."""
+    sane = bars.filter(~reduce(or_, map(fails, REASONS.values())))
+    return sane.fillna({c: v for c, v in (("isin", "UNKNOWN"), ("quotation_factor", 1)) if c in bars.columns})
 
 
 def reject_counts(bars: DataFrame) -> DataFrame:
     """(reason, count): why quotes are not admitted; a row may fail for several reasons."""
-    reasons = {"close": "close is null or close <= 0", "volume": "volume is null or volume <= 0", "range": "high < low", "close_outside": "not close between low and high"}
-    counts = bars.agg(*(F.count_if(F.coalesce(F.expr(cond), F.lit(False))).alias(name) for name, cond in reasons.items()))
-    return counts.select(F.explode(F.create_map(*(x for name in reasons for x in (F.lit(name), F.col(name))))).alias("reason", "count"))
+    counts = bars.agg(*(F.count_if(fails(rule)).alias(name) for name, rule in REASONS.items()))
+    return counts.select(F.explode(F.create_map(*(x for name in REASONS for x in (F.lit(name), F.col(name))))).alias("reason", "count"))
 
 
 def catalog(scored: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def share_totals(spark, sf):
 @query("bulk_updated_customers", """SELECT c_custkey, coalesce(o.best, c_acctbal) AS c_acctbal, coalesce(o.segment, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS best, max(o_orderpriority) AS segment FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON o_custkey = c_custkey""")
 def bulk_updated_customers(spark, sf):
     source = a.table(spark, sf, "orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"), F.max("o_orderpriority").alias("c_mktsegment"))
-    return i.bulk_update(a.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), source, ["c_custkey"], ["c_acctbal", "c_mktsegment"])
+    return i.bulk_update(a.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), source, ["c_custkey"], ["c_acctbal", "c_mktsegment"], order=["c_acctbal"])
 
 
 @query("merged_statements", """WITH x AS (SELECT o_custkey AS company, CAST(o_orderdate AS DATE) AS period, o_orderstatus AS s, sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS v FROM orders GROUP BY 1, 2, 3), f AS (SELECT company, period, v AS income FROM x WHERE s = 'F'), o AS (SELECT company, period, v AS assets FROM x WHERE s = 'O'), p AS (SELECT company, period, v AS equity FROM x WHERE s = 'P'),
