@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,13 +133,50 @@ def level2(wide: DataFrame, singles: list[str], parents: list[str], category: di
     return r.select("date", "ticker", *(e.alias(k) for k, e in made.items()))
 
 
-def rank_correlations(features: DataFrame, every: int = 10, least_names: int = 10) -> DataFrame:
-    """(a, b, corr): mean over every tenth date of the rank correlation of two features, a < b, with ten common names at least."""
+def rank_correlations(features: DataFrame, every: int = 10, least_names: int = 10, block: int = 4096) -> DataFrame:
+    """(a, b, corr): mean over every tenth date of the rank correlation of two features, a < b, with ten common names at least.
+
+    Ranks of a date are laid out as blocks of names by features, with zero for a missing one; four matrix products of a block with itself give the counts, sums and
+    products of all pairs at once.  Blocks of a date add up, so no date need fit in a task, and pairs of features are rows only at the end.  The features' names, hundreds of them, are gathered first.
+    """
+    features = durable(features.select("feature", "date", "ticker", "value"))  # read for its names, its dates and its values
+    names = [r["feature"] for r in features.select("feature").distinct().orderBy("feature").collect()]
+    place, n = {f: i for i, f in enumerate(names)}, len(names)
     dates = features.select("date").distinct().withColumn("_n", F.row_number().over(Window.orderBy("date"))).filter(F.col("_n") % every == 1).select("date")
     ranked = features.join(F.broadcast(dates), "date").withColumn("r", pct_rank("value", ["feature", "date"])).select("feature", "date", "ticker", "r")
-    a, b = ranked.toDF("a", "date", "ticker", "ra"), ranked.toDF("b", "date", "ticker", "rb")
-    daily = a.join(b, ["date", "ticker"]).filter("a < b").groupBy("a", "b", "date").agg(safe_corr("ra", "rb").alias("c"), F.count("*").alias("n")).filter(f"n >= {least_names}")
-    return daily.groupBy("a", "b").agg(F.avg("c").alias("corr"))
+    parts = max(1, features.select("ticker").distinct().count() // block)
+    kind = features.schema["date"].dataType.simpleString()
+
+    def products(cells: pd.DataFrame) -> pd.DataFrame:
+        """One block: its sums, flattened."""
+        ticker, at = pd.factorize(cells["ticker"])[0], cells["feature"].map(place).to_numpy()
+        values, there = np.zeros((ticker.max() + 1, n)), np.zeros((ticker.max() + 1, n))
+        values[ticker, at], there[ticker, at] = cells["r"], 1.0
+        sums = (there.T @ there, values.T @ there, (values * values).T @ there, values.T @ values)
+        return pd.DataFrame({"date": [cells["date"].iloc[0]], "sums": [np.concatenate([s.ravel() for s in sums])]})
+
+    def correlations(blocks: pd.DataFrame) -> pd.DataFrame:
+        """One date, from all its blocks."""
+        count, a, aa, ab = np.sum(np.stack(blocks["sums"].to_list()), axis=0).reshape(4, n, n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = np.sqrt((aa - a * a / count) * (aa.T - a.T * a.T / count))
+            c = (ab - a * a.T / count) / spread
+        known = (count >= least_names) & (spread > 1e-9) & np.isfinite(c)
+        return pd.DataFrame({"date": [blocks["date"].iloc[0]], "sums": [np.where(known, c, 0.0).ravel()], "known": [known.ravel().astype(float)]})
+
+    def added(days: pd.DataFrame) -> pd.DataFrame:
+        """Several dates as one row."""
+        return pd.DataFrame({k: [np.sum(np.stack(days[k].to_list()), axis=0)] for k in ("sums", "known")})
+
+    split = ranked.withColumn("_part", F.pmod(F.xxhash64("ticker"), F.lit(parts)))
+    blocks = split.groupBy("date", "_part").applyInPandas(products, f"date {kind}, sums array<double>")
+    daily = blocks.groupBy("date").applyInPandas(correlations, f"date {kind}, sums array<double>, known array<double>")
+    some = daily.groupBy(F.pmod(F.xxhash64("date"), F.lit(16)).alias("bucket")).applyInPandas(added, "sums array<double>, known array<double>")
+    listed = some.select(F.posexplode(F.arrays_zip("sums", "known")).alias("at", "e")).filter("e.known > 0")
+    mean = listed.groupBy("at").agg((F.sum("e.sums") / F.sum("e.known")).alias("corr"))
+    name = lambda i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    row, column = F.floor(F.col("at") / n), F.col("at") % n
+    return mean.filter(row < column).select(name(row).alias("a"), name(column).alias("b"), "corr") if names else features.select(F.col("feature").alias("a"), F.col("feature").alias("b"), F.lit(0.0).alias("corr")).limit(0)
 
 
 def greedy_dedup(scored: DataFrame, correlated: DataFrame, most: float = 0.9) -> DataFrame:
