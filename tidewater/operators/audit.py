@@ -41,3 +41,8 @@ def outside_span(events: DataFrame, bars: DataFrame, key: str, at: str) -> DataF
     """Events before the first or after the last bar of their instrument: the spans are aggregated first, then joined."""
     spans = bars.groupBy(key).agg(F.min("date").alias("first"), F.max("date").alias("last"))
     return events.join(spans, key).filter((F.col(at) < F.col("first")) | (F.col(at) > F.col("last")))
+
+
+def table_sample(df: DataFrame, order: list[str], n: int = 100) -> DataFrame:
+    """The first ``n`` rows in ``order``, for a look at a table."""
+    return df.orderBy(*order).limit(n)

@@ -74,13 +74,16 @@ def ic_series(features: DataFrame, forward: DataFrame, least_names: int = 10) ->
     return ranked.groupBy(*keys).agg(safe_corr("rx", "ry").alias("ic"), F.count("*").alias("names")).filter(f"names >= {least_names} and ic is not null").drop("names")
 
 
-def ic_summary(ic: DataFrame, train_share: float = 0.7) -> DataFrame:
-    """Per feature and horizon: mean, deviation, ir, t-stat, share positive, and means of the first 70 % of dates and the rest."""
-    dates = ic.groupBy("horizon").agg(F.sort_array(F.collect_set("date")).alias("d")).select("horizon", F.element_at("d", F.greatest(F.lit(1), F.floor(F.size("d") * train_share).cast("int"))).alias("split"))
+def ic_summary(ic: DataFrame, train_share: float = 0.7, recent_months: int = 60) -> DataFrame:
+    """Per feature and horizon: mean, deviation, ir, t-stat, share positive, means of the first 70 % of dates and the rest, and of the last five years."""
+    dates = ic.groupBy("horizon").agg(F.sort_array(F.collect_set("date")).alias("d"))
+    split = F.element_at("d", F.greatest(F.lit(1), F.floor(F.size("d") * train_share).cast("int")))
+    dates = dates.select("horizon", split.alias("split"), F.add_months(F.element_at("d", -1), -recent_months).alias("since"))
     x = ic.join(F.broadcast(dates), "horizon")
     out = x.groupBy("feature", "horizon").agg(
         F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("sd_ic"), F.count("ic").alias("n_dates"), F.avg((F.col("ic") > 0).cast("double")).alias("pct_positive"),
         F.avg(F.when(F.col("date") <= F.col("split"), F.col("ic"))).alias("train_ic"), F.avg(F.when(F.col("date") > F.col("split"), F.col("ic"))).alias("test_ic"),
+        F.avg(F.when(F.col("date") > F.col("since"), F.col("ic"))).alias("recent_ic"),
     )
     ir = F.try_divide(F.col("mean_ic"), F.nullif(F.col("sd_ic"), F.lit(0.0)))
     return out.withColumn("ic_ir", ir).withColumn("t_stat", ir * F.sqrt("n_dates"))

@@ -26,6 +26,18 @@ def summary(returns: DataFrame, key: str = "strategy", per_year: int = 52, rate:
     return agg.withColumn("annual_return", annual).withColumn("calmar", F.try_divide(F.col("annual_return"), F.nullif(F.abs("max_drawdown"), F.lit(0.0))))
 
 
+def metric_row(returns: DataFrame, values: DataFrame, key: str = "strategy", per_year: int = 12) -> DataFrame:
+    """``summary`` of periodic returns, but drawdown and calmar from the path of daily ``values`` (key, date, value), which sees the lows between rebalances.
+
+    A key without such a path keeps those of its returns.
+    """
+    w = by_time(key)
+    peak = F.max("value").over(history(w))
+    path = values.filter("value is not null").withColumn("dd", F.col("value") / peak - 1).groupBy(key).agg(F.min("dd").alias("_path"), F.count("*").alias("_n"))
+    out = summary(returns, key, per_year).join(path.filter("_n > 1"), key, "left").withColumn("max_drawdown", F.coalesce("_path", "max_drawdown"))
+    return out.withColumn("calmar", F.try_divide(F.col("annual_return"), F.nullif(F.abs("max_drawdown"), F.lit(0.0)))).drop("_path", "_n")
+
+
 def value_returns(values: DataFrame, key: str = "strategy") -> DataFrame:
     """Returns of a value series with the period's contribution taken out."""
     w = by_time(key)

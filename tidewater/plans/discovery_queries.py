@@ -76,12 +76,19 @@ def ic_series(spark, sf):
     return rounded(ic(spark, sf), "feature", "horizon", "date", "ic")
 
 
-@query("ic_summary", f"""WITH {IC}, r AS (SELECT *, dense_rank() OVER (PARTITION BY horizon ORDER BY date) AS n FROM ic), k AS (SELECT horizon, greatest(1, CAST(floor(max(n) * 0.7) AS INTEGER)) AS cut FROM r GROUP BY 1)
-SELECT feature, r.horizon, count(ic) AS n_dates, round(avg(ic), 6) AS mean_ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 5) AS ic_ir, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS pct_positive, round(avg(ic) FILTER (WHERE n <= cut), 6) AS train_ic, round(avg(ic) FILTER (WHERE n > cut), 6) AS test_ic
+@query("ic_summary", f"""WITH {IC}, r AS (SELECT *, dense_rank() OVER (PARTITION BY horizon ORDER BY date) AS n FROM ic), k AS (SELECT horizon, greatest(1, CAST(floor(max(n) * 0.7) AS INTEGER)) AS cut, max(date) - INTERVAL 60 MONTH AS since FROM r GROUP BY 1)
+SELECT feature, r.horizon, count(ic) AS n_dates, round(avg(ic), 6) AS mean_ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 5) AS ic_ir, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END), 6) AS pct_positive, round(avg(ic) FILTER (WHERE n <= cut), 6) AS train_ic, round(avg(ic) FILTER (WHERE n > cut), 6) AS test_ic,
+round(stddev_samp(ic), 6) AS sd_ic, round(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(ic)), 4) AS t_stat, round(avg(ic) FILTER (WHERE r.date > k.since), 6) AS recent_ic
 FROM r JOIN k ON k.horizon = r.horizon GROUP BY 1, 2""")
 def ic_summary(spark, sf):
     s = d.ic_summary(ic(spark, sf)).withColumn("ic_ir", half_up("ic_ir", 5))
-    return s.select("feature", "horizon", "n_dates", half_up("mean_ic").alias("mean_ic"), "ic_ir", half_up("pct_positive").alias("pct_positive"), half_up("train_ic").alias("train_ic"), half_up("test_ic").alias("test_ic"))
+    return s.select("feature", "horizon", "n_dates", half_up("mean_ic").alias("mean_ic"), "ic_ir", half_up("pct_positive").alias("pct_positive"), half_up("train_ic").alias("train_ic"), half_up("test_ic").alias("test_ic"), half_up("sd_ic").alias("sd_ic"), half_up("t_stat", 4).alias("t_stat"), half_up("recent_ic").alias("recent_ic"))
+
+
+@query("ic_histogram", f"WITH {IC} SELECT feature, horizon, CAST(floor(round(ic, 9) / 0.05) AS BIGINT) AS bin, count(*) AS dates FROM ic GROUP BY 1, 2, 3")
+def ic_histogram(spark, sf):
+    """How many dates' correlations fall into each bin of a twentieth."""
+    return ic(spark, sf).groupBy("feature", "horizon", F.floor(half_up("ic", 9) / 0.05).alias("bin")).agg(F.count("*").alias("dates"))
 
 
 LAGS = (0, 1, 5, 20)
@@ -250,6 +257,12 @@ def table_summaries(spark, sf):
     return audit.table_summary(a.table(spark, sf, "lineitem"), "lineitem", "l_suppkey", "l_shipdate").union(audit.table_summary(a.table(spark, sf, "orders"), "orders", "o_custkey", "o_orderdate"))
 
 
+@query("table_sample", "SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_shipdate FROM lineitem ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey LIMIT 100")
+def table_sample(spark, sf):
+    sample = audit.table_sample(a.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"])
+    return sample.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+
+
 @query("actions_outside_span", f"WITH {BARS}, {SPLITS}, s AS (SELECT ticker, min(date) AS a, max(date) AS b FROM bars GROUP BY 1) SELECT ticker, ex_date, factor FROM splits JOIN s USING (ticker) WHERE ex_date < a + 200 OR ex_date > b - 200")
 def actions_outside_span(spark, sf):
     inner = a.bars(spark, sf).groupBy("ticker").agg(F.date_add(F.min("date"), 200).alias("_a"), F.date_sub(F.max("date"), 200).alias("_b"))

@@ -91,3 +91,13 @@ def cap_weighted_index(spark, sf):
     growth = portfolio.index_level(held, m.withColumnRenamed("date", "period"))
     level = F.log10(F.product("growth").over(Window.orderBy("period").rowsBetween(Window.unboundedPreceding, 0)))  # one row a quarter
     return growth.select("period", half_up("growth").alias("growth"), half_up(level).alias("level_log10"))
+
+
+@query("index_holdings", f"WITH {CONSTITUENTS} SELECT date AS rebalance_date, root, ticker, round(market_cap / 1e6, 4) AS market_cap_m, round(median_volume, 0) AS median_volume, round(roe, 4) AS roe, round(weight, 6) AS weight_market_cap, round(1.0 / count(*) OVER (PARTITION BY date), 6) AS weight_equal FROM members")
+def index_holdings(spark, sf):
+    """Every rebalance's holdings under both weightings, as they are exported."""
+    m = portfolio.equal_weights(members(spark, sf).withColumnRenamed("weight", "by_cap"))
+    return m.select(
+        F.col("date").alias("rebalance_date"), "root", "ticker", half_up(F.col("market_cap") / 1e6, 4).alias("market_cap_m"), half_up("median_volume", 0).alias("median_volume"),
+        half_up("roe", 4).alias("roe"), half_up("by_cap").alias("weight_market_cap"), half_up("weight").alias("weight_equal"),
+    )

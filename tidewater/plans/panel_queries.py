@@ -196,7 +196,13 @@ def true_range(spark, sf):
     return ewm(x.select("date", "ticker", "close", "tr"), "tr", 14).select("date", "ticker", half_up(c.ratio("tr_ewm_mean", "close"), 5).alias("atr"))
 
 
-@query("ewma_volatility")
+EWMA = "sum({}) OVER h / sum(CASE WHEN sq IS NOT NULL THEN pow(14.0 / 12.0, k) END) OVER h"
+
+
+@query("ewma_volatility", f"""WITH {PANEL}, x AS (SELECT date, ticker, ret * ret AS sq, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM panel),
+m AS (SELECT date, ticker, count(sq) OVER h AS n, {EWMA.format('sq * pow(14.0 / 12.0, k)')} AS mean, {EWMA.format('sq * sq * pow(14.0 / 12.0, k)')} AS square, sum(CASE WHEN sq IS NOT NULL THEN pow(14.0 / 12.0, k) END) OVER h AS w, sum(CASE WHEN sq IS NOT NULL THEN pow(14.0 / 12.0, 2 * k) END) OVER h AS v
+  FROM x WINDOW h AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT date, ticker, round(CASE WHEN n >= 13 THEN sqrt(52 * mean) END, 6) AS ewma_vol, round(CASE WHEN n >= 13 THEN sqrt(greatest(square - mean * mean, 0) * w * w / nullif(w * w - v, 0)) END, 5) AS sq_std FROM m""")
 def ewma_volatility(spark, sf) -> DataFrame:
     x = a.panel(spark, sf).withColumn("sq", F.col("ret") * F.col("ret"))
-    return ewm(x.select("date", "ticker", "sq", "ret"), "sq", 13).select("date", "ticker", half_up(F.sqrt(52 * F.col("sq_ewm_mean")), 6).alias("ewma_vol"), half_up("sq_ewm_std", 9).alias("sq_std"))
+    return ewm(x.select("date", "ticker", "sq", "ret"), "sq", 13).select("date", "ticker", half_up(F.sqrt(52 * F.col("sq_ewm_mean")), 6).alias("ewma_vol"), half_up("sq_ewm_std", 5).alias("sq_std"))

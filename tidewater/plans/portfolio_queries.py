@@ -241,18 +241,37 @@ def portfolio_turnover(spark, sf):
     return rounded(portfolio.turnover(held(spark, sf, "low_vol"), a.panel(spark, sf)), "date", "turnover")
 
 
-@query("drifted_nav", f"""WITH {SIGNALS}, {book_sql('low_vol')}, f AS (SELECT min(date) AS date FROM (SELECT DISTINCT date FROM low_vol) GROUP BY date_trunc('month', date)), r AS (SELECT date AS r, lead(date) OVER (ORDER BY date) AS until FROM f),
+NAV = f"""{SIGNALS}, {book_sql('low_vol')}, f AS (SELECT min(date) AS date FROM (SELECT DISTINCT date FROM low_vol) GROUP BY date_trunc('month', date)), r AS (SELECT date AS r, lead(date) OVER (ORDER BY date) AS until FROM f),
 days AS (SELECT r, d.date FROM (SELECT DISTINCT date FROM panel) d JOIN r ON d.date > r AND (until IS NULL OR d.date <= until)),
 h AS (SELECT days.r, days.date, b.ticker, b.weight, 1 + coalesce(greatest(least(p.ret, 5.0), -0.9), 0) AS g FROM days JOIN low_vol b ON b.date = days.r LEFT JOIN panel p ON p.date = days.date AND p.ticker = b.ticker),
 v AS (SELECT r, date, weight, weight * product(g) OVER (PARTITION BY r, ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM h),
 s AS (SELECT r, date, sum(v) + 1 - sum(weight) AS inside FROM v GROUP BY 1, 2), e AS (SELECT r, arg_max(inside, date) AS fin FROM s GROUP BY 1),
-c AS (SELECT r, coalesce(product(fin) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS start FROM e) SELECT date, round(log10(start * inside), 6) AS nav_log10 FROM s JOIN c USING (r)""")
+c AS (SELECT r, coalesce(product(fin) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS start FROM e)"""
+
+
+@query("drifted_nav", f"""WITH {NAV} SELECT date, round(log10(start * inside), 6) AS nav_log10 FROM s JOIN c USING (r)""")
 def drifted_nav(spark, sf):
     """The low-volatility book rebalanced on each month's first date that has one."""
+    return nav(spark, sf).select("date", half_up(F.log10("nav")).alias("nav_log10"))
+
+
+def nav(spark, sf):
     book = held(spark, sf, "low_vol")
     firsts = book.groupBy(F.trunc("date", "month")).agg(F.min("date").alias("date")).select("date")
-    nav = metrics.drifted_nav(book.join(F.broadcast(firsts), "date"), a.panel(spark, sf))  # dates: one row a month
-    return nav.select("date", half_up(F.log10("nav")).alias("nav_log10"))
+    return metrics.drifted_nav(book.join(F.broadcast(firsts), "date"), a.panel(spark, sf))  # dates: one row a month
+
+
+@query("nav_metric_row", f"""WITH {NAV}, path AS (SELECT date, start * inside AS value FROM s JOIN c USING (r)), pd AS (SELECT min(value / peak - 1) AS dd FROM (SELECT value, max(value) OVER (ORDER BY date) AS peak FROM path)),
+me AS (SELECT last_day(date) AS date, arg_max(value, date) AS value FROM path GROUP BY 1), mr AS (SELECT round(value / lag(value) OVER (ORDER BY date) - 1, 9) AS ret FROM me),
+t AS (SELECT count(ret) AS periods, product(1 + ret) AS total, stddev_samp(ret) AS sd, avg(ret) AS mean FROM mr WHERE ret IS NOT NULL)
+SELECT periods, round(log10(pow(total, 12.0 / periods)), 5) AS annual_log10, round(sd * sqrt(12), 5) AS volatility, round(mean / nullif(sd, 0) * sqrt(12), 5) AS sharpe, round(dd, 6) AS max_drawdown FROM t, pd""")
+def nav_metric_row(spark, sf):
+    """Monthly returns of the book above, with the drawdown of its daily path."""
+    path = nav(spark, sf).select(F.lit("low_vol").alias("strategy"), "date", F.col("nav").alias("value"))
+    ends = path.groupBy("strategy", F.last_day("date").alias("date")).agg(F.max_by("value", "date").alias("value"))
+    returns = ends.withColumn("ret", half_up(c.pct_change("value", 1, c.by_time("strategy")), 9))
+    m = metrics.metric_row(returns, path)
+    return m.select("periods", half_up(F.log10(1 + F.col("annual_return")), 5).alias("annual_log10"), half_up("volatility", 5).alias("volatility"), half_up("sharpe", 5).alias("sharpe"), half_up("max_drawdown").alias("max_drawdown"))
 
 
 @query("index_level", f"""WITH {BARS}, p AS (SELECT CAST(date_trunc('quarter', date) AS DATE) AS period, ticker, date, close, volume FROM bars), m AS (SELECT period, ticker, sum(volume) / sum(sum(volume)) OVER (PARTITION BY period) AS weight, arg_min(close, date) AS base, max(date) AS ends FROM p GROUP BY 1, 2),
