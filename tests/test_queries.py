@@ -13,7 +13,9 @@ import __spark_entry__  # noqa: E402
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 NAMES = ["momentum_rank", "rolling_basic", "beta_autocorr", "cross_section", "calendar_ends", "pit_metrics", "trailing_twelve_months", "split_adjusted_bars", "detected_splits", "portfolio_multifactor", "capped_cap_weights", "tax_carry_forward", "ic_summary", "two_leg_value", "upserted_orders",
          "portfolio_adaptive_low_vol", "portfolio_low_pe", "portfolio_teva_ivvb_cdi", "rolling_sharpe_books", "regime_budgets", "signal_guard", "mean_reversion_composite", "drifted_nav", "ic_decay", "feature_pairs",
-         "identity_map", "isin_tickers", "merged_statements", "rebalance_calendars", "index_constituents", "reversal_gates"]
+         "identity_map", "isin_tickers", "merged_statements", "rebalance_calendars", "index_constituents", "reversal_gates",
+         "level0_sweep", "sweep_level2", "portfolio_qdl", "portfolio_qdl_ivvb_cdi_thirds", "portfolio_baseline_thirds", "portfolio_low_vol_index", "portfolio_mean_reversion", "portfolio_tilt_absorb", "portfolio_tilt_floor", "portfolio_besst",
+         "portfolio_teva_ivvb_cdi", "cap_weighted_index", "nav_metric_row", "feature_correlations", "ewma_volatility", "bounded_sleeves"]
 
 
 def canonical(df: pd.DataFrame) -> list[tuple]:

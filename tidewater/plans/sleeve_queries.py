@@ -272,20 +272,20 @@ best AS (SELECT *, 1 / vol AS calm FROM passed WHERE n >= {LEAST} QUALIFY row_nu
 qdl AS (SELECT * FROM full_book UNION ALL SELECT date, 'cash', 1.0 FROM (SELECT DISTINCT i, date FROM l6) WHERE i >= 2 AND date NOT IN (SELECT date FROM sleeve))"""
 
 
-BOOK_SQL = {"qdl": (TARGET, "qdl"), "qdl_equity": (None, "qdl")}
+BOOK_SQL = {"qdl": (lambda rule: qdl_sql(rule, TARGET), "qdl"), "qdl_equity": (lambda rule: qdl_sql(rule, None), "qdl")}  # name to (CTEs, the one that is the book)
 
 
 def blend_sql(name: str) -> str:
     sleeves, rule, together = BLENDS[name]
     nested = [what for kind, what, _ in sleeves if kind == "book"]
-    own = f", {qdl_sql(rule, BOOK_SQL[nested[0]][0])}" if nested else ""
+    own = f", {BOOK_SQL[nested[0]][0](rule)}" if nested else ""
     day = " UNION ALL ".join(
         f"SELECT '{f}' AS fund, CAST(l_shipdate AS DATE) AS day, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / 100 / sum(l_quantity) AS px FROM lineitem WHERE l_quantity > 0 AND {which} AND l_shipdate >= DATE '{listed}' GROUP BY 1, 2"
         for f, (which, listed) in FUNDS.items()
     )
     table = ", ".join(f"('{what}', {w!r})" for kind, what, w in sleeves if kind == "fund")
     live = "SELECT date, max(m) OVER (ORDER BY date) AS live FROM (SELECT date, min(moved) AS m FROM fpx GROUP BY 1)" if together else "SELECT DISTINCT date, 1 AS live FROM fpx"
-    books = "".join(f" UNION ALL SELECT date, asset, weight * {w!r} FROM qdl" for kind, _, w in sleeves if kind == "book")
+    books = "".join(f" UNION ALL SELECT date, asset, weight * {w!r} FROM {BOOK_SQL[what][1]}" for kind, what, w in sleeves if kind == "book")
     return f"""WITH {PRICED}{own}, fday AS ({day}), flast AS (SELECT fund, {PERIOD[rule].format('day')} AS date, arg_max(px, day) AS px FROM fday GROUP BY 1, 2),
 fgrid AS (SELECT date, fund, target FROM (SELECT DISTINCT {PERIOD[rule].format('date')} AS date FROM bars), (VALUES {table}) t(fund, target)),
 ffill AS (SELECT g.*, last_value(px IGNORE NULLS) OVER (PARTITION BY g.fund ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS px FROM fgrid g LEFT JOIN flast l ON l.fund = g.fund AND l.date = g.date),

@@ -278,39 +278,3 @@ def spec_sql(name: str) -> str:
 
 for _name in SPECS:
     query(f"portfolio_{_name}", spec_sql(_name))(lambda spark, sf, n=_name: book(spark, sf, n).select("date", "asset", half_up("weight").alias("weight")))
-
-
-# ---- a fixed-weight blend that nests one of these books
-
-# Sleeves as (what it holds, weight); the book is nested whole, what it leaves free goes to cash.
-BLENDS = {
-    "teva_ivvb_cdi": ((("book", "value_quality", 1 / 3), ("fund", "market", 1 / 3), ("cash", "cash", 1 / 3)), "QE"),
-}
-
-
-def blend(spark, sf, name: str) -> DataFrame:
-    """(date, asset, weight): sleeves and nested books on quarter ends, the rest in cash on every date that holds anything."""
-    sleeves, _ = BLENDS[name]
-    month = flags(spark, sf).select("date")
-    grid = month.filter(F.col("date") == F.last_day(F.add_months(F.trunc("date", "quarter"), 2)))
-    out = None
-    for kind, what, weight in sleeves:
-        if kind == "book":
-            part = book(spark, sf, what).join(F.broadcast(grid), "date").select("date", "asset", (F.col("weight") * weight).alias("weight"))
-        else:
-            part = grid.select("date", F.lit(what).alias("asset"), F.lit(weight).alias("weight"))
-        out = part if out is None else out.union(part)
-    rest = out.groupBy("date").agg(F.greatest(1 - F.sum("weight"), F.lit(0.0)).alias("weight")).select("date", F.lit("cash").alias("asset"), "weight")
-    return out.union(rest).groupBy("date", "asset").agg(F.sum("weight").alias("weight")).filter("weight > 1e-12")
-
-
-def blend_sql(name: str) -> str:
-    sleeves, _ = BLENDS[name]
-    nested = ", ".join(book_sql(SPECS[what], f"_{what}") for kind, what, _ in sleeves if kind == "book")
-    parts = [f"SELECT date, asset, weight * {w!r} AS weight FROM book_{what} JOIN grid USING (date)" if kind == "book" else f"SELECT date, '{what}', {w!r} FROM grid" for kind, what, w in sleeves]
-    return f"""WITH {MONTHS}, grid AS (SELECT date FROM flags WHERE month(date) IN (3, 6, 9, 12)), {nested}, parts AS ({' UNION ALL '.join(parts)}),
-filled AS (SELECT * FROM parts UNION ALL SELECT date, 'cash', greatest(1 - sum(weight), 0) FROM parts GROUP BY 1) SELECT date, asset, round(sum(weight), 6) AS weight FROM filled GROUP BY 1, 2 HAVING sum(weight) > 1e-12"""
-
-
-for _name in BLENDS:
-    query(f"portfolio_{_name}", blend_sql(_name))(lambda spark, sf, n=_name: blend(spark, sf, n).select("date", "asset", half_up("weight").alias("weight")))
