@@ -131,12 +131,24 @@ def sticky_books(spark, sf):
     return portfolio.sticky(chosen.select("date", "ticker"), s.select("date").distinct())
 
 
+SLEEVE_BOOKS = ("low_vol", "momentum_sharpe", "multifactor")
+
+
 def sleeve_returns(spark, sf):
-    """(date, sleeve, ret): three books and cash."""
-    r = a.panel(spark, sf).select("date", "ticker", "ret")
-    books = [portfolio.portfolio_returns(held(spark, sf, n), r, 0).select("date", F.lit(n).alias("sleeve"), half_up("ret", 9).alias("ret")) for n in ("low_vol", "momentum_sharpe", "multifactor")]
-    cash = a.market(spark, sf).select("date", F.lit("cash").alias("sleeve"), F.col("rate").alias("ret"))
-    return books[0].union(books[1]).union(books[2]).union(cash)
+    """(date, sleeve, ret): three books and cash.
+
+    The books share eligibility and weighting and differ in their signal, so the signals are computed once and a book is part of every later key.
+    """
+    w = W()
+    seen = signals(spark, sf).withColumn("ok", F.expr(LIQUID)).select(
+        "date", "ticker", "root", "ret", F.lag("adtv").over(w).alias("adtv"), F.lag("ok").over(w).alias("ok"), *(F.lag(RANK_AND_HOLD[n][0]).over(w).alias(f"_{n}") for n in SLEEVE_BOOKS)
+    )
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("sleeve"), F.col(f"_{n}").alias("signal")) for n in SLEEVE_BOOKS)))
+    names = seen.select("date", "ticker", "root", "ret", "adtv", "ok", each.alias("e")).select("date", "ticker", "root", "ret", "adtv", "ok", "e.sleeve", "e.signal").filter("ok and signal is not null")
+    best = portfolio.best_per_root(names, ("sleeve", "date", "root"))
+    held = portfolio.equal_weights(portfolio.top(best, "signal", pct=0.1, least_names=5, least_held=5, across=("sleeve", "date")), ("sleeve", "date"))
+    books = held.groupBy("date", "sleeve").agg(half_up(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))), 9).alias("ret"))
+    return books.union(a.market(spark, sf).select("date", F.lit("cash").alias("sleeve"), F.col("rate").alias("ret")))
 
 
 def book_sql(name: str) -> str:
