@@ -198,7 +198,7 @@ def experiment_grid(spark, sf):
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     train, test = modelled(spark, sf, "beats_median")
-    return ml.permutation_importance(ml.fit(train, MODEL_FEATURES, "y", "forest", trees=20, depth=5), test, MODEL_FEATURES, "y", repeats=2)
+    return ml.permutation_importance(ml.fit(train, MODEL_FEATURES, "y", "forest", trees=20, depth=5), test, MODEL_FEATURES, "y")
 
 
 @query("model_overlap")
