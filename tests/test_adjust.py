@@ -47,6 +47,21 @@ def test_dividend_factor_uses_the_close_strictly_before(spark):
     assert closes(total, "adj_close") == pytest.approx([90.0, 80.0, 80.0])
 
 
+def test_total_adjustment_checks_its_actions(spark):
+    no_cash = spark.createDataFrame([], "ticker string, ex_date date, value double")
+    halved = bars(spark, [100.0] * 4 + [50.0] * 4)
+    kept = adjust.total_adjust(halved, actions(spark, [(4, "STOCK_SPLIT", 2.0)]), no_cash)
+    assert closes(kept, "adj_close") == pytest.approx([50.0] * 8)
+    corrected = adjust.total_adjust(halved, actions(spark, [(4, "STOCK_SPLIT", 10.0)]), no_cash)  # the prices halve, so the factor does too
+    assert closes(corrected, "adj_close") == pytest.approx([50.0] * 8)
+    dropped = adjust.total_adjust(bars(spark, [100.0] * 8), actions(spark, [(4, "STOCK_SPLIT", 2.0)]), no_cash)  # no price moves
+    assert closes(dropped, "adj_close") == pytest.approx([100.0] * 8)
+    rows = [("ABCD3", day(i), x, x, x, x, 1e6, q) for i, (x, q) in enumerate([(100.0, 1)] * 4 + [(50.0, 2)] * 4)]
+    factor_changed = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume double, quotation_factor int")
+    redundant = adjust.total_adjust(factor_changed, actions(spark, [(4, "STOCK_SPLIT", 2.0)]), no_cash)  # the quotation factor says it already
+    assert closes(redundant, "adj_close") == pytest.approx([100.0] * 4 + [50.0] * 4)
+
+
 def test_detection(spark):
     b = bars(spark, [100.0] * 5 + [50.0] * 5)
     (r,) = adjust.detect_splits(b, actions(spark, [])).collect()

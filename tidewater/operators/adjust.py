@@ -46,9 +46,16 @@ def dividend_factors(events: DataFrame, bars: DataFrame, key: str = "ticker") ->
     return prior.filter((F.col("value") > 0) & (F.col("prior_close") > 0) & (F.col("value") < 0.9 * F.col("prior_close"))).withColumn("dividend_factor", 1 - F.col("value") / F.col("prior_close"))
 
 
+def checked_actions(actions: DataFrame, bars: DataFrame, key: str = "ticker") -> DataFrame:
+    """``actions`` without those that a changed quotation factor expresses already or that no price move shows, factors corrected to the moves."""
+    if "quotation_factor" in bars.columns:
+        actions = drop_redundant(actions, bars, key=key)
+    return validate(actions, bars, key=key).filter("verdict <> 'DROP'").select(*actions.columns)
+
+
 def total_adjust(bars: DataFrame, actions: DataFrame, cash: DataFrame, key: str = "ticker") -> DataFrame:
-    """Split- and dividend-adjusted bars: adj_close, which falls back to the split-adjusted close where it is implausible."""
-    split = back_adjust(bars, split_factors(actions), key)
+    """Split- and dividend-adjusted bars by actions that hold against the prices: adj_close, which falls back to the split-adjusted close where it is implausible."""
+    split = back_adjust(bars, split_factors(checked_actions(actions, bars, key)), key)
     both = later_product(split, dividend_factors(cash, bars, key), "dividend_factor", "dividend_product", False, key)
     adj = F.col("split_adj_close") * F.col("dividend_product")
     sane = adj.isNotNull() & (F.abs(F.try_divide(adj, F.nullif(F.col("close"), F.lit(0.0)))) <= 1e5)
