@@ -10,7 +10,7 @@ characters, where a token always starts, or else within a run of letters, number
 maps the state before it to the state after it and a count, for the states that the text before the cut passes through; from any
 other state the transducer runs on until it meets the known run, as it does within a few bytes of ordinary text.  A document's maps, not
 its texts, then meet and are composed in order of their chunks.  Where a state neither is known nor meets the run (no text is known to do so) the
-document is counted whole.  Only a run of blanks is never cut.
+document is counted whole.  A long text without any such place, as one of short words on lines of their own or of blanks alone, is counted by one task.
 
 Defined results: null or empty text: no bytes, no tokens; special strings inside texts count as one token, as the
 library does by default; repeated rows give repeated results; an empty table gives an empty result; extra columns are
