@@ -85,3 +85,19 @@ def test_exposure_meets_the_target(spark):
     want = 0.12 / (statistics.stdev(daily) * math.sqrt(252))
     assert sleeves.exposure(book, days, 0.12).first().share == pytest.approx(want, abs=1e-9)
     assert sleeves.exposure(book, days, 9.0).first().share == 1.0
+
+
+def test_two_legs_rank_within_themselves(spark):
+    d = DAY
+    kind = "date date, ticker string, market_cap double, net_income double, equity double, roe double, ebitda double, net_debt double, revenue double, period_end date"
+    fresh, old = dt.date(2020, 6, 30), dt.date(2020, 1, 31)
+    rows = [
+        ("CHEAP", 1e8, 2e4, 1e5, 0.2, 5e4, 0.0, 1e5, fresh), ("DEAR", 1e8, 1e4, 1e5, 0.1, 2e4, None, 1e5, fresh), ("DEBT", 1e8, 1e4, 1e5, 0.1, 5e4, 1e6, 1e5, fresh),  # yields of 0.5, 0.2 and 0.045
+        ("BANK", 1e8, 2e4, 2e5, 0.1, None, 0.0, 1e5, fresh), ("HOLD", 1e8, 1e4, 1e5, 0.1, 9e4, 0.0, 0.0, fresh),  # no EBITDA, and no revenue: both by multiples
+        ("STALE", 1e8, 2e4, 1e5, 0.2, 9e4, 0.0, 1e5, old), ("LOSS", 1e8, -2e4, 1e5, -0.2, 9e4, 0.0, 1e5, fresh), ("MARGIN", 1e8, 2e4, 1e5, 0.2, -1.0, 0.0, 1e5, fresh), ("TRAP", 1e8, 4e3, 1e5, 0.04, 8e4, 0.0, 1e5, fresh),
+    ]
+    got = {r.ticker: (r.leg, r.place, r.cheap) for r in index.two_legs(spark.createDataFrame([(d, *x) for x in rows], kind)).collect()}
+    assert set(got) == {"CHEAP", "DEAR", "DEBT", "BANK", "HOLD"}  # a low return is ranked, so it takes the top of its leg, but not chosen
+    assert got["CHEAP"] == ("yield", 2, pytest.approx(0.75)) and got["DEAR"][2] == pytest.approx(0.5) and got["DEBT"][2] == pytest.approx(0.25)
+    assert got["BANK"] == ("book", 1, pytest.approx(1.0)) and got["HOLD"][0] == "book" and got["HOLD"][2] == pytest.approx(0.5)
+    assert [t for t, _ in sorted(got.items(), key=lambda x: x[1][1])] == ["BANK", "CHEAP", "DEAR", "HOLD", "DEBT"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import pct_rank
 from .adjust import share_multiplier
 from .fundamentals import known_on
 
@@ -12,14 +13,18 @@ MIN_TURNOVER = 1e-5  # fixed value: a median turnover below this share of the ma
 
 
 def at_rebalances(panel: DataFrame, rule, rows: int) -> DataFrame:
-    """(date, ticker, close, median_volume) at the last panel date of each period, the median over the last ``rows`` dates, a missing volume being zero.
+    """``at_dates`` for the last panel date of each period; ``rule`` maps the date column to its period."""
+    return at_dates(panel, panel.groupBy(rule("date").alias("period")).agg(F.max("date").alias("end")).select("end"), rows)
 
-    ``rule`` maps the date column to its period.  Only rows of a window that ends at a rebalance are looked at: dates are numbered once, a row a date, and
-    each date meets the one or two rebalances whose windows hold it.
+
+def at_dates(panel: DataFrame, ends: DataFrame, rows: int) -> DataFrame:
+    """(date, ticker, close, median_volume) at each date of ``ends`` (end), the median over the last ``rows`` dates, a missing volume being zero.
+
+    Only rows of a window that ends at such a date are looked at: dates are numbered once, a row a date, and each date meets the few windows that hold it.
     """
     days = panel.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")))  # one row a date
-    ends = days.groupBy(rule("date").alias("period")).agg(F.max("date").alias("end"), F.max("k").alias("last")).filter(F.col("last") >= rows)
-    held = ends.select("end", F.explode(F.sequence(F.col("last") - rows + 1, "last")).alias("k")).join(days, "k").select("end", "date")
+    last = ends.select("end").join(days, F.col("end") == F.col("date")).select("end", F.col("k").alias("last")).filter(F.col("last") >= rows)
+    held = last.select("end", F.explode(F.sequence(F.col("last") - rows + 1, "last")).alias("k")).join(days, "k").select("end", "date")
     met = panel.select("date", "ticker", "close", "volume").join(F.broadcast(held), "date")
     out = met.groupBy("end", "ticker").agg(F.percentile(F.coalesce("volume", F.lit(0.0)), F.lit(0.5)).alias("median_volume"), F.max_by("close", "date").alias("close"))
     return out.select(F.col("end").alias("date"), "ticker", "close", "median_volume")
@@ -58,3 +63,23 @@ def started(members: DataFrame, least: int) -> DataFrame:
     """``members`` from the first date on that has at least ``least`` of them."""
     first = members.groupBy("date").count().filter(F.col("count") >= least).agg(F.min("date").alias("first"))  # one row
     return members.join(F.broadcast(first), F.col("date") >= F.col("first")).drop("first")
+
+
+def two_legs(companies: DataFrame, max_age: int = 180, min_roe: float = 0.08, max_pe: float = 20.0, n: int = 20) -> DataFrame:
+    """(date, ticker, leg, cheap, place): the ``n`` cheapest clean companies of each date, two legs ranked within themselves and merged.
+
+    ``companies``: date, ticker, market_cap, net_income, equity, roe, ebitda, net_debt, revenue (money in thousands), period_end.  Companies without EBITDA or revenue count as
+    financial and rank by price to earnings plus price to book, low first; all others by EBITDA over enterprise value.  A balance older than ``max_age`` days, a loss or
+    a margin that is not positive shuts a company out; one with a low return on equity or a high price to earnings is ranked but not chosen.
+    That a pool of the cheapest is looked through before the rest changes nothing, as both are taken in one order.
+    """
+    fresh = companies.filter(F.datediff("date", "period_end") <= max_age)
+    financial = F.col("ebitda").isNull() | ~F.coalesce(F.col("revenue") > 0, F.lit(False))
+    pe, pb = F.try_divide("market_cap", F.col("net_income") * 1000), F.try_divide("market_cap", F.col("equity") * 1000)
+    value = F.col("market_cap") + F.coalesce("net_debt", F.lit(0.0)) * 1000
+    x = fresh.withColumns({"leg": F.when(financial, "book").otherwise("yield"), "pe": pe, "score": F.when(financial, -(pe + pb)).otherwise(F.try_divide(F.col("ebitda") * 1000, value))})
+    x = x.filter("pe > 0").filter((F.col("leg") == "book") | (F.col("ebitda") > 0)).withColumn("score", F.floor(F.col("score") * 1e12 + 0.5) / 1e12)
+    ranked = x.withColumn("cheap", pct_rank("score", ["date", "leg"]))
+    clean = ranked.filter((F.col("roe") >= min_roe) & (F.col("pe") <= max_pe))
+    placed = clean.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("cheap"), "ticker")))
+    return placed.filter(F.col("place") <= n).select("date", "ticker", "leg", "cheap", "place")

@@ -61,23 +61,6 @@ for _name, (_signal, _eligible, _down) in VALUE_BOOKS.items():
     )
 
 
-LEGS = f"""{VALUE}, legs AS (SELECT date, ticker, 'yield' AS leg, round(1 / pe, 9) AS s FROM val WHERE pe IS NOT NULL AND root % 5 <> 0 UNION ALL SELECT date, ticker, 'book', round(-(pe + pb), 9) FROM val WHERE pe IS NOT NULL AND pb IS NOT NULL AND root % 5 = 0),
-b AS (SELECT date, ticker, round({pct_rank('s', 'date, leg')}, 9) AS cheap FROM legs)"""
-
-
-@query("two_leg_value", f"""WITH {LEGS}, o AS (SELECT b.date, b.ticker, cheap, row_number() OVER (PARTITION BY b.date ORDER BY cheap DESC, b.ticker) AS place FROM b JOIN val v ON v.date = b.date AND v.ticker = b.ticker WHERE roe > 0 AND pe <= 20) SELECT date, ticker, place, round(cheap, 6) AS cheap FROM o WHERE place <= 20""")
-def two_leg_value(spark, sf):
-    """Two disjoint legs, each ranked within itself: earnings yield, and for financial companies (the given tables have no such mark: every fifth
-    company stands for one) price to earnings plus price to book.  The cheapest clean names of both fill twenty places; that a pool is
-    looked through before the rest changes nothing, as both are taken in one order."""
-    v = value(spark, sf).filter("pe is not null")
-    financial = F.col("root") % 5 == 0
-    legs = v.filter(~financial).select("date", "ticker", F.lit("yield").alias("leg"), half_up(1 / F.col("pe"), 9).alias("s")).union(v.filter(financial & F.col("pb").isNotNull()).select("date", "ticker", F.lit("book"), half_up(-(F.col("pe") + F.col("pb")), 9)))
-    ranked = legs.withColumn("cheap", half_up(c.pct_rank("s", ["date", "leg"]), 9))
-    clean = ranked.join(v.filter("roe > 0 and pe <= 20").select("date", "ticker"), ["date", "ticker"])
-    return portfolio.top(clean, "cheap", n=20).select("date", "ticker", "place", half_up("cheap").alias("cheap"))
-
-
 @query("dual_momentum", f"""WITH {SIGNALS}, s AS (SELECT date, lag(level, 1) OVER (ORDER BY date) / lag(level, 27) OVER (ORDER BY date) - 1 AS mm FROM market), t AS (SELECT date, avg(mom) AS pm FROM signals GROUP BY 1), l AS (SELECT t.date, mm, lag(pm) OVER (ORDER BY t.date) AS pm FROM t JOIN s USING (date))
 SELECT date, CASE WHEN greatest(coalesce(mm, -9), coalesce(pm, -9)) <= 0 THEN 'cash' WHEN coalesce(mm, -9) >= coalesce(pm, -9) THEN 'market' ELSE 'panel' END AS held FROM l""")
 def dual_momentum(spark, sf):
@@ -163,15 +146,3 @@ def portfolio_two_buckets(spark, sf):
     w = c.by_time("asset")
     d = levels.withColumn("dist", half_up(c.ratio("level", c.roll_mean("level", 26, w)) - 1, 9)).select("asset", "date", F.lag("dist").over(w).alias("dist"))
     return d.select("date", F.when(F.col("dist") > 0, F.col("asset")).otherwise("cash").alias("asset")).groupBy("date", "asset").agg(F.sum(F.lit(0.5)).alias("weight"))
-
-
-@query("portfolio_value_thirds", f"""WITH {LEGS}, o AS (SELECT b.date, b.ticker, row_number() OVER (PARTITION BY b.date ORDER BY cheap DESC, b.ticker) AS place FROM b JOIN val v ON v.date = b.date AND v.ticker = b.ticker WHERE roe > 0 AND pe <= 20), h AS (SELECT date, ticker, count(*) OVER (PARTITION BY date) AS n FROM o WHERE place <= 20)
-SELECT date, CAST(ticker AS VARCHAR) AS asset, round(1.0 / 3 / n, 6) AS weight FROM h UNION ALL SELECT DISTINCT date, unnest(['cash', 'market']), round(1.0 / 3, 6) FROM h UNION ALL SELECT DISTINCT date, 'cash', round(1.0, 6) FROM panel WHERE date NOT IN (SELECT date FROM h)""")
-def portfolio_value_thirds(spark, sf):
-    """A third in the two-leg value names, a third in the market, a third in cash; all in cash on dates without names."""
-    third = F.lit(1.0 / 3)
-    names = two_leg_value(spark, sf).select("date", F.col("ticker").cast("string").alias("asset")).withColumn("weight", third / F.count(F.lit(1)).over(Window.partitionBy("date")))
-    alive = names.select("date").distinct()
-    rest = alive.select("date", F.explode(F.array(F.lit("cash"), F.lit("market"))).alias("asset"), third.alias("weight"))
-    idle = a.panel(spark, sf).select("date").distinct().join(alive, "date", "left_anti").select("date", F.lit("cash"), F.lit(1.0))
-    return names.union(rest).union(idle).select("date", "asset", half_up("weight").alias("weight"))

@@ -38,15 +38,17 @@ def members(spark, sf) -> DataFrame:
     return portfolio.proportional_weights(index.started(passed, LEAST), "market_cap")
 
 
-CONSTITUENTS = f"""{PANEL}, {FILINGS}, {SPLITS},
+def valued_sql(ends: str, rows: int, least: float, earnings: bool = True) -> str:
+    """CTEs that end in ``iv``: companies with a market value, and with earnings if asked for, at the dates of ``ends``, a query (td, last) over the numbered days ``idays``."""
+    return f"""{PANEL}, {FILINGS}, {SPLITS},
 ip AS (SELECT date, ticker, round(close, 6) AS close, coalesce(volume, 0) AS volume FROM dense),
 idays AS (SELECT date, row_number() OVER (ORDER BY date) AS k FROM (SELECT DISTINCT date FROM ip)),
-iends AS (SELECT max(date) AS td, max(k) AS last FROM idays GROUP BY date_trunc('quarter', date) HAVING max(k) >= {WINDOW}),
-iq AS (SELECT td AS date, ticker, quantile_cont(volume, 0.5) AS median_volume, arg_max(close, ip.date) AS close FROM iends JOIN idays ON idays.k > last - {WINDOW} AND idays.k <= last JOIN ip ON ip.date = idays.date GROUP BY 1, 2),
+iends AS (SELECT td, last FROM ({ends}) WHERE last >= {rows}),
+iq AS (SELECT td AS date, ticker, quantile_cont(volume, 0.5) AS median_volume, arg_max(close, ip.date) AS close FROM iends JOIN idays ON idays.k > last - {rows} AND idays.k <= last JOIN ip ON ip.date = idays.date GROUP BY 1, 2),
 icl AS (SELECT s_suppkey AS ticker, s_nationkey AS root, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier),
 ij AS (SELECT iq.*, root, max(CASE WHEN n = 1 THEN close END) OVER c AS common, coalesce(max(CASE WHEN n = 2 THEN close END) OVER c, max(CASE WHEN n = 3 THEN close END) OVER c, max(CASE WHEN n = 4 THEN close END) OVER c) AS preferred,
   row_number() OVER (PARTITION BY date, root ORDER BY median_volume DESC, ticker DESC) AS place FROM iq JOIN icl USING (ticker) WHERE close > 0 WINDOW c AS (PARTITION BY date, root)),
-ic AS (SELECT * FROM ij WHERE place = 1 AND median_volume > {MIN_VOLUME}),
+ic AS (SELECT * FROM ij WHERE place = 1 AND median_volume > {least}),
 ifl AS (SELECT company % 25 AS root, filing_date, arg_max(net_income, (version, filing_id)) FILTER (WHERE net_income IS NOT NULL) AS ni, arg_max(equity, (version, filing_id)) FILTER (WHERE equity IS NOT NULL) AS eq,
   arg_max({{'s': shares, 'id': filing_id, 'p': period_end}}, (version, filing_id)) FILTER (WHERE shares IS NOT NULL) AS counts FROM filings GROUP BY 1, 2),
 ik AS (SELECT ic.*, CASE WHEN ic.date - n.filing_date <= 400 THEN n.ni END AS net_income, CASE WHEN ic.date - e.filing_date <= 400 THEN e.eq END AS equity, CASE WHEN ic.date - s.filing_date <= 400 THEN s.counts END AS counts FROM ic
@@ -54,8 +56,12 @@ ik AS (SELECT ic.*, CASE WHEN ic.date - n.filing_date <= 400 THEN n.ni END AS ne
   ASOF LEFT JOIN (SELECT * FROM ifl WHERE eq IS NOT NULL) e ON e.root = ic.root AND ic.date >= e.filing_date
   ASOF LEFT JOIN (SELECT * FROM ifl WHERE counts IS NOT NULL) s ON s.root = ic.root AND ic.date >= s.filing_date),
 im AS (SELECT date, root, ticker, close, median_volume, common, preferred, net_income, equity, counts.s AS shares, counts.id % 2 = 0 AS split,
-  coalesce((SELECT product(factor) FROM splits x WHERE x.ticker = ik.ticker AND x.ex_date > counts.p AND x.ex_date <= ik.date), 1) AS multiplier FROM ik WHERE counts.s > 0 AND net_income > 0 AND equity > 0),
-iv AS (SELECT *, multiplier * CASE WHEN split THEN shares * {COMMON} * coalesce(common, preferred, close) + shares * {1 - COMMON} * coalesce(preferred, common, close) ELSE shares * close END AS market_cap FROM im),
+  coalesce((SELECT product(factor) FROM splits x WHERE x.ticker = ik.ticker AND x.ex_date > counts.p AND x.ex_date <= ik.date), 1) AS multiplier FROM ik WHERE counts.s > 0 {'AND net_income > 0 AND equity > 0' if earnings else ''}),
+iv AS (SELECT *, multiplier * CASE WHEN split THEN shares * {COMMON} * coalesce(common, preferred, close) + shares * {1 - COMMON} * coalesce(preferred, common, close) ELSE shares * close END AS market_cap FROM im)"""
+
+
+QUARTERS = "SELECT max(date) AS td, max(k) AS last FROM idays GROUP BY date_trunc('quarter', date)"
+CONSTITUENTS = f"""{valued_sql(QUARTERS, WINDOW, MIN_VOLUME)},
 passed AS (SELECT * FROM iv WHERE median_volume >= market_cap * 1e-5 AND market_cap > {MIN_CAP}),
 members AS (SELECT *, net_income / equity AS roe, market_cap / sum(market_cap) OVER (PARTITION BY date) AS weight FROM passed WHERE date >= (SELECT min(date) FROM (SELECT date FROM passed GROUP BY 1 HAVING count(*) >= {LEAST})))"""
 
