@@ -47,8 +47,8 @@ def constituents(quotes: DataFrame, classes: DataFrame, filings: DataFrame, acti
     q = q.withColumns({"common": priced("3"), "preferred": F.coalesce(*(priced(s) for s in "456")), "volume": volume, "place": F.row_number().over(company.orderBy(volume.desc(), F.col("ticker").desc()))})
     chosen = q.filter((F.col("place") == 1) & (F.col("volume") > min_volume)).select("date", "root", "ticker", "close", "volume", "common", "preferred")
     counted = F.when(F.col("shares").isNotNull(), F.struct("shares", "shares_common", "shares_preferred", "period_end"))
-    known = known_on(chosen.select("root", "date"), filings.withColumn("counts", counted), ["net_income", "equity", "counts"], key="root")
-    out = chosen.join(known, ["root", "date"]).select("*", "counts.*").filter("shares > 0")
+    known = known_on(chosen, filings.withColumn("counts", counted), ["net_income", "equity", "counts"], key="root")
+    out = known.select("*", "counts.*").filter("shares > 0")
     if earnings:
         out = out.filter("net_income > 0 and equity > 0")
     out = share_multiplier(out, actions, "period_end", "date")

@@ -33,8 +33,8 @@ def two_legs(spark, sf) -> DataFrame:
     ends = identity.mid_quarter_dates(panel.select("date").distinct()).withColumnRenamed("rebalance", "end")
     f = figures(spark, sf)
     passed = index.constituents(index.at_dates(panel, ends, WINDOW), ix.classes(spark, sf), f, a.share_events(spark, sf), 0.0, MIN_VOLUME, earnings=False)
-    known = fu.known_on(passed.select("root", "date"), f, ["ebitda", "net_debt", "revenue", "earned"], key="root")
-    companies = passed.withColumn("market_cap", half_up("market_cap", 2)).join(known, ["root", "date"]).withColumnRenamed("earned", "period_end")
+    known = fu.known_on(passed.withColumn("market_cap", half_up("market_cap", 2)), f, ["ebitda", "net_debt", "revenue", "earned"], key="root")
+    companies = known.withColumnRenamed("earned", "period_end")
     chosen = index.two_legs(companies, MAX_AGE, MIN_ROE, MAX_PE, N)
     return index.started(chosen, LEAST)
 
