@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import pickle
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -221,6 +222,23 @@ class Counter:
             i = end
 
 
+STATES = 400_000  # how many compiled states a process keeps for its next texts; ten thousand varied documents make 160,000
+
+
+@lru_cache(maxsize=1)
+def kept_counter(path: str) -> Counter:
+    return Counter(path)
+
+
+def counter_of(path: str) -> Counter:
+    """One counter a process, since workers run many tasks and compiling takes as long as counting; a fresh one where it has grown large."""
+    counter = kept_counter(path)
+    if len(counter.machine.states) > STATES:
+        kept_counter.cache_clear()
+        counter = kept_counter(path)
+    return counter
+
+
 WINDOW = 4096  # how far a cut looks for a space, and how many bytes of a head are kept
 CONTEXT = 64
 
@@ -326,13 +344,13 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, chunk_chars: i
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def whole(batches):
-        counter = Counter(tokenizer)
         for batch in pieces(batches):
+            counter = counter_of(tokenizer)
             texts = as_bytes(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) for b in texts], pa.int64()), pa.array([counter.count(b.decode()) for b in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     def chunks(batches):
-        counter = Counter(tokenizer)
+        counter = counter_of(tokenizer)
         for batch in pieces(batches):
             for i, (row, text) in enumerate(zip(batch.column("row").to_pylist(), as_bytes(batch.column("text")))):
                 for part, (chunk, context, goes_on) in enumerate(chunks_of(text.decode(), chunk_chars, counter)):
@@ -342,7 +360,7 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, chunk_chars: i
                     )
 
     def maps(batches):
-        counter = Counter(tokenizer)
+        counter = counter_of(tokenizer)
         for batch in pieces(batches):
             chunk = [b.decode() for b in as_bytes(batch.column("text"))]
             made = [pickle.dumps(chunk_map(*x, counter)) for x in zip(chunk, batch.column("context").to_pylist(), batch.column("goes_on").to_pylist())]
@@ -350,7 +368,7 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int = 512, chunk_chars: i
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(x.encode()) for x in chunk], pa.int64()), m], ["row", "doc_id", "n_bytes", "m"])
 
     def closed(batches):
-        counter = Counter(tokenizer)
+        counter = counter_of(tokenizer)
         for batch in batches:
             n = [composed([pickle.loads(x["map"]) for x in ms], counter) for ms in batch.column("ms").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["row", "doc_id", "n_bytes", "n_tokens"])
