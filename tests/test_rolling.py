@@ -78,3 +78,23 @@ def test_rolling_of_an_empty_panel(spark):
     assert r.select("ticker", r.mean("x", 3).alias("m")).collect() == [] and ewm(empty, "x", 3).collect() == []
 
 
+
+
+def test_moments_around_a_return_of_thousands(spark):
+    """Fourth powers that fill more than 38 digits; what comes after one, and what a large first value leaves behind, keeps its digits."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for t, jumps in enumerate(((30, 31, 32), (0,))):
+        x = rng.normal(0, 0.3, 120).round(6)
+        x[list(jumps)] = (4000.0, 3900.5, 5200.25)[: len(jumps)]
+        x[80:] = 0.0 if t else x[80:]
+        rows += [(t, k, float(v)) for k, v in enumerate(x)]
+    r = Rolling(spark.createDataFrame(rows, "ticker int, date int, x double"), {"x": F.col("x")}, moments=["x"], exact=["x"])
+    made = {"std": r.std("x", 20, 5), "skew": r.skew("x", 20, 10), "kurt": r.kurt("x", 20, 10)}
+    for g in by_ticker(r.select("ticker", "date", "x", *(c.alias(k) for k, c in made.items()))):
+        frames = g.x.rolling(20, min_periods=10)
+        flat = (frames.max() == frames.min()).to_numpy()
+        assert (g["std"].to_numpy()[flat] == 0.0).all() and g["skew"][flat].isna().all() and g["kurt"][flat].isna().all()
+        for name in ("skew", "kurt"):
+            each = frames.apply(lambda v, name=name: getattr(v, name)(), raw=False)  # pandas' own sliding sums lose digits after a jump
+            close(g[name][~flat], each[~flat], 1e-7)
