@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from ..functions.ewm import ewm
-from ..functions.prefix import Rolling
+from ..functions.prefix import UNIT
 from . import adapters as a
 from . import spec_queries as specs
 from .oracle import lag, pct_rank
@@ -18,29 +22,138 @@ from .sleeve_queries import PRICED
 START, WINS, SWINGS, LIQUID, LONG, SHORT, SHORT_GROSS, RISK_OFF, LEAST, LEAST_SHORT = 14, 1.5, 2.0, 0.20, 0.20, 0.20, 0.20, 0.30, 5, 3
 
 
+def running(x: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the last n whole numbers."""
+    total = np.append(0, np.cumsum(x))
+    return total[1:] - total[np.maximum(np.arange(1, len(x) + 1) - n, 0)]
+
+
+def trailing(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count and sum of the known ones of the last n whole numbers, exactly."""
+    there = ~np.isnan(x)
+    return running(there.astype(np.int64), n), running(np.where(there, x, 0.0).astype(np.int64), n)
+
+
+def products(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the products of the last n whole numbers; they are cut at 20 bits, so that what is summed stays whole."""
+    (a, b), (d, e) = (np.divmod(np.where(np.isnan(v), 0.0, v).astype(np.int64), 1 << 20) for v in (x, y))
+    return running(a * d, n) * 2.0**40 + running(a * e + b * d, n) * 2.0**20 + running(b * e, n)
+
+
+def held(x: np.ndarray) -> np.ndarray:
+    """The last known value."""
+    last = np.maximum.accumulate(np.where(np.isnan(x), -1, np.arange(len(x))))
+    return np.where(last >= 0, x[last], np.nan)
+
+
+def before(x: np.ndarray, n: int = 1) -> np.ndarray:
+    return np.append(np.full(n, np.nan), x)[: len(x)]
+
+
+def over(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.where(y != 0, x / np.where(y != 0, y, 1.0), np.nan)
+
+
+def nearest(x: np.ndarray, n: int = 9) -> np.ndarray:
+    """As half_up rounds."""
+    return np.floor(x * 10.0**n + 0.5) / 10.0**n
+
+
+def whole_ratio(a: np.ndarray, b: np.ndarray, digits: int, known: np.ndarray) -> np.ndarray:
+    """a / b of whole numbers, rounded half up to digits; exact where doubles cannot tell a half from what is next to it."""
+    b = np.where(known, b, 1)
+    x = np.where(known, a, 0) / b * 10.0**digits
+    out = np.floor(x + 0.5)
+    for k in np.flatnonzero(np.abs(x - np.floor(x) - 0.5) < 1e-4 + np.abs(x) * 1e-14):
+        out[k] = (2 * int(a[k]) * 10**digits + int(b[k])) // (2 * int(b[k]))
+    return np.where(known, out / 10.0**digits, np.nan)
+
+
+def variance(x: np.ndarray, n: int) -> np.ndarray:
+    """Of the last n whole numbers; missing where over half of them are."""
+    k, total = trailing(x, n)
+    square = k * products(x, x, n)
+    top = square - total * 1.0 * total
+    for i in np.flatnonzero((top < 1e-6 * square) & (k > 1)):  # values nearly alike
+        v = x[max(0, i + 1 - n) : i + 1]
+        v = v[~np.isnan(v)]
+        top[i] = k[i] * np.sum((v - v.mean()) ** 2) if v.max() > v.min() else 0.0
+    return np.where(k >= max(n // 2, 2), top / np.maximum(k * (k - 1), 1), np.nan)
+
+
+def autocorrelation(x: np.ndarray, n: int) -> np.ndarray:
+    """Covariance with the row before over the variance; missing where the last n do not vary or over half of them are missing."""
+    past = before(x)
+    pair = ~np.isnan(x) & ~np.isnan(past)
+    now, past = np.where(pair, x, np.nan), np.where(pair, past, np.nan)
+    (k, s), (_, t) = trailing(now, n), trailing(past, n)
+    cov = (k * products(now, past, n) - s * 1.0 * t) / np.maximum(k * (k - 1), 1)
+    return np.where(k >= max(n // 2, 2), over(cov, variance(x, n)), np.nan)
+
+
+LAST = ("vol20", "hlr", "vol_ratio", "ret60", "ac20", "ac60", "range_ratio", "wins", "swings")
+
+
+def month_levels(bars: Mapping[str, np.ndarray], starts: np.ndarray, days: int) -> dict[str, np.ndarray]:
+    """px, adtv and the measures of LAST at each month's end, from one ticker's bars at days 0 to ``days`` - 1; ``starts``: each month's first day."""
+    high, low, close, volume = (np.full(days, np.nan) for _ in range(4))
+    for name, x in (("high", high), ("low", low), ("close", close), ("volume", volume)):
+        x[np.asarray(bars["_k"], int)] = np.asarray(bars[name], float)
+    high, low, close = held(high), held(low), held(close)
+    span, digit = nearest(over(high - low, close)), 1e9
+    paid, quantity = np.rint(volume / UNIT), np.rint(over(volume, close) / UNIT)
+    (n, money), (k, pieces) = trailing(paid, 63), trailing(quantity, 63)
+    close = held(whole_ratio(money, pieces, 6, (n > 0) & (k > 0) & (pieces != 0)))
+    ret = nearest(over(close, before(close)) - 1)
+    units, win = np.rint(ret * digit), np.where(ret > 0, 1.0, 0.0)
+
+    def mean(x: np.ndarray, n: int, least: int, unit: int = 1) -> np.ndarray:
+        """Of whole billionths, or of counts where ``unit`` is a billion, rounded to billionths."""
+        k, total = trailing(x, n)
+        return whole_ratio(total * unit, k * 10**9, 9, k >= least)
+
+    def own(x: np.ndarray, more: float = 0.0) -> np.ndarray:
+        k, total = trailing(np.rint(x * digit), 60)
+        return over(x, np.where(k >= 30, total / np.maximum(k, 1) / digit, np.nan) + more)
+
+    hlr, wr = before(mean(np.rint(span * digit), 20, 10)), mean(win, 20, 10, 10**9)
+    vol20, vol60 = (before(nearest(np.sqrt(variance(units, n)) / digit)) for n in (20, 60))
+    atr = nearest(pd.Series(np.abs(ret)).ewm(span=14, min_periods=14).mean().to_numpy())
+    made = {
+        "vol20": vol20, "hlr": hlr, "vol_ratio": over(vol60, vol20), "ret60": over(close, before(close, 60)) - 1, "ac20": before(nearest(autocorrelation(units, 20))), "ac60": before(nearest(autocorrelation(units, 60))),
+        "range_ratio": own(hlr), "wins": own(wr, 1e-8), "swings": own(atr),
+    }
+    ends = np.append(starts[1:], days) - 1
+    at = {x: np.maximum.accumulate(np.where(np.isnan(v), -1, np.arange(days)))[ends] for x, v in made.items()}
+    cents = np.rint(volume * 100)
+    k, total = np.add.reduceat((~np.isnan(cents)).astype(np.int64), starts), np.add.reduceat(np.where(np.isnan(cents), 0.0, cents).astype(np.int64), starts)
+    return {"px": close[ends], "adtv": whole_ratio(total, k * 100, 4, k > 0)} | {x: nearest(np.where(at[x] >= starts, made[x][at[x]], np.nan)) for x in LAST}
+
+
 def levels(spark, sf) -> DataFrame:
-    """(date, i, ticker, px, adtv, glitch, vol20, hlr, vol_ratio, ret60, ac20, ac60, range_ratio, wins, swings) at month ends."""
+    """(date, i, ticker, px, adtv, glitch, vol20, hlr, vol_ratio, ret60, ac20, ac60, range_ratio, wins, swings) at month ends.
+
+    Bars are shuffled once, by ticker, and a ticker's dense days live only while its months are made: four in five of them have no bar.
+    The calendar, one row a day, is gathered first.
+    """
     w = c.by_time()
-    d = specs.days(spark, sf).withColumn("past", F.lag("ret").over(w))
-    both = F.col("ret").isNotNull() & F.col("past").isNotNull()
-    fine = lambda x: (x, 1e-9)
-    r = Rolling(d, {"ret": fine(F.col("ret")), "range": fine(F.col("range")), "win": c.flag(F.col("ret") > 0), "now": fine(F.when(both, F.col("ret"))), "past": fine(F.when(both, F.col("past")))}, [("now", "past")], exact=["ret"])
-    zero = F.lit(0.0)
-    auto = lambda n: c.ratio(r.cov("now", "past", n, n // 2), F.nullif(r.var("ret", n, n // 2), zero))
-    x = r.select(
-        "date", "ticker", "close", "volume", F.abs("ret").alias("move"), c.pct_change("close", 60, w).alias("ret60"), r.mean("range", 20, 10).alias("hlr"), r.std("ret", 20, 10).alias("vol20"),
-        r.std("ret", 60, 30).alias("vol60"), auto(20).alias("ac20"), auto(60).alias("ac60"), half_up(r.mean("win", 20, 10), 9).alias("wr"),
-    )
-    x = ewm(x, "move", 14)
-    before = lambda k: F.lag(k).over(w)
-    x = x.select("date", "ticker", "close", "volume", "ret60", "wr", half_up("move_ewm_mean", 9).alias("atr"), half_up(before("hlr"), 9).alias("hlr"), *(half_up(before(k), 9).alias(k) for k in ("vol20", "vol60", "ac20", "ac60")))
-    m = Rolling(x, {k: fine(F.col(k)) for k in ("hlr", "wr", "atr")})
-    own = lambda k, e=0.0: c.ratio(k, F.nullif(m.mean(k, 60, 30) + e, zero))
-    y = m.select("date", "ticker", "close", "volume", "ret60", "hlr", "vol20", c.ratio("vol60", F.nullif(F.col("vol20"), zero)).alias("vol_ratio"), "ac20", "ac60", own("hlr").alias("range_ratio"), own("wr", 1e-8).alias("wins"), own("atr").alias("swings"))
-    last = lambda k: half_up(F.max_by(k, F.when(F.col(k).isNotNull(), F.col("date"))), 9).alias(k)
-    out = y.groupBy("ticker", F.last_day("date").alias("date")).agg(
-        F.max_by("close", "date").alias("px"), half_up(F.avg("volume"), 4).alias("adtv"), *(last(k) for k in ("vol20", "hlr", "vol_ratio", "ret60", "ac20", "ac60", "range_ratio", "wins", "swings"))
-    )
+    bars = a.bars(spark, sf, "day", together=True).select("ticker", F.unix_date("date").alias("day"), "high", "low", "close", "volume")
+    traded = a.table(spark, sf, "lineitem").filter("l_quantity > 0").select(F.unix_date(F.to_date("l_shipdate")).alias("day")).distinct()
+    dates = np.array([r["day"] for r in traded.filter("day is not null").orderBy("day").collect()], int)
+    months, starts = np.unique(dates.astype("datetime64[D]").astype("datetime64[M]"), return_index=True)
+    ends = ((months + 1).astype("datetime64[D]") - 1).astype("int32")
+
+    def of_ticker(rows: pa.Table) -> pa.Table:
+        ticker, day = rows["ticker"][0], rows["day"].to_numpy().astype(float)
+        dated = ~np.isnan(day) & ticker.is_valid
+        mine = {x: rows[x].to_numpy()[dated] for x in ("high", "low", "close", "volume")} | {"_k": np.searchsorted(dates, day[dated])}
+        made = month_levels(mine, starts, len(dates))
+        return pa.table({"ticker": pa.repeat(ticker, len(ends)), "day": ends, **{x: pa.array(v, from_pandas=True) for x, v in made.items()}})
+
+    kind = bars.schema["ticker"].dataType.simpleString()
+    schema = f"ticker {kind}, day int, px double, adtv double, {', '.join(f'{x} double' for x in LAST)}"
+    out = bars.groupBy("ticker").applyInArrow(of_ticker, schema) if len(dates) else spark.createDataFrame([], schema)
+    out = out.select("ticker", F.date_from_unix_date("day").alias("date"), "px", "adtv", *LAST)
     out = out.withColumns({"i": F.row_number().over(w) - 1, "ret": half_up(c.pct_change("px", 1, w), 9)})
     jump = F.coalesce(((F.col("ret") > 1.0) | (F.col("ret") < -0.45)).cast("double"), F.lit(0.0))
     return out.withColumn("glitch", c.rolling(F.max, jump, 12, w)).drop("ret")
@@ -106,7 +219,6 @@ def auto_sql(n: int) -> str:
     return f"CASE WHEN count(past2) {frame(n)} >= {n // 2} AND max(ret) {frame(n)} > min(ret) {frame(n)} THEN covar_samp(now2, past2) {frame(n)} / ({least('ret', 'var_samp(ret)', n, n // 2)}) END"
 
 
-LAST = ("vol20", "hlr", "vol_ratio", "ret60", "ac20", "ac60", "range_ratio", "wins", "swings")
 SCORES = f"""{PRICED},
 v0 AS (SELECT p.*, round((d.high - d.low) / d.close, 9) AS range, lag(p.ret) OVER (PARTITION BY p.ticker ORDER BY p.date) AS past, row_number() OVER (PARTITION BY p.ticker ORDER BY p.date) AS k FROM priced p JOIN panel d ON d.ticker = p.ticker AND d.date = p.date),
 v1 AS (SELECT *, CASE WHEN past IS NOT NULL THEN ret END AS now2, CASE WHEN ret IS NOT NULL THEN past END AS past2, abs(ret) AS move, CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END AS win FROM v0),
