@@ -98,3 +98,16 @@ def test_moments_around_a_return_of_thousands(spark):
         for name in ("skew", "kurt"):
             each = frames.apply(lambda v, name=name: getattr(v, name)(), raw=False)  # pandas' own sliding sums lose digits after a jump
             close(g[name][~flat], each[~flat], 1e-7)
+
+
+def test_a_ratio_of_sums_at_a_half_goes_up(spark):
+    """Mean prices with seven digits after the point, the last a five: doubles sent some of them down."""
+    rng = np.random.default_rng(6)
+    pieces = 2 ** rng.integers(0, 7, 4000) * 10000 // 2 ** rng.integers(0, 7, 4000) + 1
+    cents = rng.integers(90000, 10**7, 4000)
+    half = [(int(c), 20000) for c in cents if c % 2 and c % 5]  # c / 100 / 20000 ends in a five at the seventh digit
+    rows = [(k, 0, c / 100, float(q)) for k, (c, q) in enumerate(half + list(zip(cents.tolist(), pieces.tolist())))]
+    r = Rolling(spark.createDataFrame(rows, "ticker int, date int, paid double, pieces double"), {"paid": F.col("paid"), "pieces": F.col("pieces")})
+    got = {x.ticker: x.price for x in r.select("ticker", r.ratio("paid", "pieces", 63, 1).alias("price")).collect()}
+    expected = {k: (2 * round(c * 100) * 10**4 + int(q)) // (2 * int(q)) / 1e6 for k, _, c, q in rows}
+    assert got == expected and len(half) > 1000

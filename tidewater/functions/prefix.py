@@ -78,6 +78,13 @@ class Rolling:
     def mean(self, x: str, n: int, least: int | None = None) -> Column:
         return self._if(x, n, least, f"try_divide({self._total(x, n)}, {self._sum(f'_n_{x}', n)}) * {self.unit[x]!r}")
 
+    def ratio(self, x: str, y: str, n: int, least: int, digits: int = 6) -> Column:
+        """Sum of x over sum of y, of values not below zero, rounded half up to digits; exact where doubles cannot tell a half from what is next to it."""
+        a, b, scale = self._total(x, n), self._total(y, n), round(self.unit[x] / self.unit[y] * 10**digits)
+        near, top, base = f"({a} / nullif({b}, 0D) * {scale}D)", f"CAST({a} AS {WHOLE}) * {2 * scale}", f"CAST({b} AS {WHOLE})"
+        value = f"CASE WHEN abs({near} - floor({near}) - 0.5D) < 1e-4D + {near} * 1e-14D THEN CAST(({top} + {base}) div (2 * {base}) AS DOUBLE) ELSE CAST(floor({near} + 0.5D) AS DOUBLE) END / {10**digits}D"
+        return F.expr(f"CASE WHEN {self._sum(f'_n_{x}', n)} >= {least} AND {self._sum(f'_n_{y}', n)} >= {least} AND {b} <> 0 THEN {value} END")
+
     def _square(self, x: str, n: int) -> str:
         """Count times the sum of squared deviations, in units; exactly zero where all values are alike."""
         k, s = self._sum(f"_n_{x}", n), self._sum(f"_s_{x}", n)

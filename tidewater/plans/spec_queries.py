@@ -74,8 +74,7 @@ def days(spark, sf) -> DataFrame:
     w = c.by_time()
     daily = a.panel(spark, sf, "day").select("date", "ticker", "volume", "close", half_up(c.ratio(F.col("high") - F.col("low"), "close"), 9).alias("range"))
     traded = Rolling(daily, {"volume": F.col("volume"), "quantity": c.ratio("volume", "close")})
-    known = half_up(c.ratio(traded.sum("volume", 63, 1), traded.sum("quantity", 63, 1)))
-    priced = traded.select("date", "ticker", "volume", "range", known.alias("known"))
+    priced = traded.select("date", "ticker", "volume", "range", traded.ratio("volume", "quantity", 63, 1).alias("known"))
     priced = priced.select("date", "ticker", "volume", "range", F.last("known", ignorenulls=True).over(c.history(w)).alias("close"))
     return priced.withColumn("ret", half_up(c.pct_change("close", 1, w), 9))
 
